@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import line_dedup, simhash, url_filter
+from tessera.llm import html_text, line_dedup, packing, simhash, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op3_url_filter": url_filter.op3_url_filter,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op7_packing": packing.op7_packing,
+        "op8_html_text": html_text.op8_html_text,
     }
 
 
