@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import html_text, line_dedup, packing, simhash, url_filter
+from tessera.llm import decontaminate, html_text, line_dedup, packing, quality, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_simhash": simhash.op2_simhash,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_quality": quality.op6_quality,
         "op7_packing": packing.op7_packing,
         "op8_html_text": html_text.op8_html_text,
     }
