@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, html_text, line_dedup, packing, quality, simhash, url_filter
+from tessera.llm import decontaminate, hnsw, html_text, line_dedup, packing, quality, simhash, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": hnsw.op1_embedding_dedup,
         "op2_simhash": simhash.op2_simhash,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_decontamination": decontaminate.op4_decontamination,
