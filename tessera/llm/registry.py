@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, hnsw, html_text, line_dedup, packing, quality, simhash, url_filter
+from tessera.llm import decontaminate, hnsw, html_text, licenses, line_dedup, packing, quality, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "op6_quality": quality.op6_quality,
         "op7_packing": packing.op7_packing,
         "op8_html_text": html_text.op8_html_text,
+        "op9_token_counts": token_counts.op9_token_counts,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
