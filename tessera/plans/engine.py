@@ -101,7 +101,8 @@ class QueryEngine:
         if records.root == "scalar":
             raise ValueError("a table needs a JSON object or array")
         # Records are read for inference, for the rows and for the facts; serialized, and on disk where memory is short.
-        records = replace(records, raw=records.raw.persist(StorageLevel.MEMORY_AND_DISK))
+        raw = records.raw if records.raw.sparkSession is self.spark else self._adopt(records.raw)
+        records = replace(records, raw=raw.persist(StorageLevel.MEMORY_AND_DISK))
         self._cached.append(records.raw)
         table = build_table(records, self.max_depth)
         self._publish(name, table.df, records, source=records.source, path=path, row_count=records.raw.count(), value_wrapped=table.wrapped, description=description)
