@@ -81,6 +81,12 @@ def _depth(kind: T.DataType) -> int:
     return 0
 
 
+def _distinct_names(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return len({f.name.lower() for f in kind.fields}) == len(kind.fields) and all(_distinct_names(f.dataType) for f in kind.fields)
+    return _distinct_names(kind.elementType) if isinstance(kind, T.ArrayType) else True
+
+
 def _plain(kind: T.DataType) -> bool:
     """Only types of the inferred model, and no keys that differ in case alone."""
     if isinstance(kind, T.StructType):
@@ -91,7 +97,10 @@ def _plain(kind: T.DataType) -> bool:
 
 
 def _parse(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    return raw.select("rec_id", F.from_json("raw", schema, {"mode": "FAILFAST", "maxNestingDepth": "2000"}).alias("r"))
+    if not _distinct_names(schema):  # keys that differ in case alone are columns of their own, for this session from now on
+        raw.sparkSession.conf.set("spark.sql.caseSensitive", "true")
+    text = F.when(~F.col("raw").rlike(r"^\s*null\s*$"), F.col("raw"))
+    return raw.select("rec_id", F.from_json(text, schema, {"mode": "FAILFAST", "maxNestingDepth": "2000"}).alias("r"))
 
 
 def build_table(records: Records, max_depth: int = DEFAULT_MAX_DEPTH, facts: Facts | None = None) -> Table:
