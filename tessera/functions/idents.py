@@ -17,7 +17,10 @@ def _reserved() -> frozenset[str]:
     spark = SparkSession.getActiveSession()
     if spark is None:
         raise RuntimeError("a running Spark session is needed to know its keywords")
-    return frozenset(r[0].lower() for r in spark.sql("SELECT keyword FROM sql_keywords() WHERE reserved").collect())
+    strict = spark.newSession()  # only there does the list tell which words the standard reserves
+    for key in ("spark.sql.ansi.enabled", "spark.sql.ansi.enforceReservedKeywords"):
+        strict.conf.set(key, "true")
+    return frozenset(r[0].lower() for r in strict.sql("SELECT keyword FROM sql_keywords() WHERE reserved").collect())
 
 
 def is_plain(name: str) -> bool:
