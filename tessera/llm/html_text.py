@@ -61,6 +61,7 @@ def blocks(page: str | None) -> list[Block]:
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int, int]] = []  # tag, main, boiler
+    opened: dict[str, int] = {}  # how many of a tag are in the stack
     in_main = in_boiler = in_link = heading = at = 0
 
     def flush() -> None:
@@ -72,6 +73,23 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(line, words, min(words, len(html.unescape(" ".join(linked)).split())), in_main > 0, in_boiler > 0, heading > 0))
             text, linked = [], []
 
+    def push(tag: str, main: int, boiler: int) -> None:
+        nonlocal in_main, in_boiler
+        stack.append((tag, main, boiler))
+        opened[tag] = opened.get(tag, 0) + 1
+        in_main += main
+        in_boiler += boiler
+
+    def close(tag: str) -> None:
+        """Take elements off the stack down to the last open one of this tag."""
+        nonlocal in_main, in_boiler
+        name = ""
+        while opened.get(tag) and name != tag:
+            name, main, boiler = stack.pop()
+            opened[name] -= 1
+            in_main -= main
+            in_boiler -= boiler
+
     while True:
         m = TOKEN.search(page, at)
         end = m.start() if m else len(page)
@@ -90,29 +108,24 @@ def blocks(page: str | None) -> list[Block]:
             if tag not in INLINE:
                 flush()
             if not attributes.rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else (len(page) if tag in ("script", "style", "textarea", "title") else at)
+                end_tag = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = end_tag.end() if end_tag else (len(page) if tag in ("script", "style", "textarea", "title") else at)
             continue
         if tag == "a":
             in_link = 0 if closing else 1
         if tag == "br":
             text.append(" ")
         side = tag in HEAD_TAGS
-        if tag in INLINE:
-            if closing or tag in VOID:
-                if closing and any(s[0] == tag and (s[1] or s[2]) for s in stack):
-                    while stack:
-                        name, main, boiler = stack.pop()
-                        in_main -= main
-                        in_boiler -= boiler
-                        if name == tag:
-                            break
-            elif attributes:
-                main, boiler = _hint(tag, attributes)
-                if boiler:
+        if tag in INLINE:  # on the stack only where its text isn't of the block around it
+            if closing:
+                if opened.get(tag):
                     flush()
-                    stack.append((tag, 0, 1))
-                    in_boiler += 1
+                    close(tag)
+            elif attributes and tag not in VOID and _hint(tag, attributes)[1]:
+                flush()
+                push(tag, 0, 1)
+            elif opened.get(tag):
+                push(tag, 0, 0)
             continue
         flush()
         if tag[0] == "h" and tag[1:] in ("1", "2", "3", "4", "5", "6"):
@@ -120,24 +133,13 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         if not closing:
-            if tag in ("p", "li", "tr", "td", "th", "dd", "dt", "option"):  # their end tags may be left out
-                if stack and stack[-1][0] == tag:
-                    _, main, boiler = stack.pop()
-                    in_main -= main
-                    in_boiler -= boiler
+            if tag in ("p", "li", "tr", "td", "th", "dd", "dt") and stack and stack[-1][0] == tag:  # end tags that may be left out
+                close(tag)
             if not attributes.endswith("/"):
                 main, boiler = _hint(tag, attributes)
-                boiler = max(boiler, int(side))
-                stack.append((tag, main, boiler))
-                in_main += main
-                in_boiler += boiler
-        elif any(s[0] == tag for s in reversed(stack)):
-            while stack:
-                name, main, boiler = stack.pop()
-                in_main -= main
-                in_boiler -= boiler
-                if name == tag:
-                    break
+                push(tag, main, max(boiler, int(side)))
+        else:
+            close(tag)
     flush()
     return out
 

@@ -123,8 +123,8 @@ def candidate_keys(host: Column, path: Column, host_lengths: list[int], path_len
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url_col: str = "url", default: str = "allow") -> DataFrame:
     """pages with __host, __path, __rule and __verdict.
 
-    Each url's verdict is that of its longest fitting rule, else default: what no cascade lists isn't blocked. A
-    null url, one without :// and an empty one have empty host and path and fit no rule. An empty rule list or
+    Each url's verdict is that of its longest fitting rule (ties: the longest host), else default: what no cascade
+    lists isn't blocked. A null url, one without :// and an empty one have empty host and path and fit no rule. An empty rule list or
     table is fine. Rules that differ in the verdict only: block wins.
     """
     spark, rules = pages.sparkSession, RULES if rules is None else rules
