@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tessera.functions.idents import check_table_name, quote
 from tessera.operators.facts import Facts, collect_facts
 from tessera.operators.infer import DEFAULT_MAX_DEPTH, build_table
 from tessera.operators.structure import Samples, Shape, print_schema, root_shape
-from tessera.plans.guard import Guard, ReadOnlyViolationError, ResultTooLargeError, SecurityConfig, cell_bytes, time_limit
+from tessera.plans.guard import Guard, ReadOnlyViolationError, ResultTooLargeError, SecurityConfig, time_limit
 from tessera.plans.prompt import build_prompt
 from tessera.plans.table_text import check_format, table_text
 from tessera.sources.records import STREAM_MIN_BYTES, Records, load
@@ -142,24 +143,30 @@ class QueryEngine:
         return self.spark.sql(sql)
 
     def _fetch(self, sql: str) -> tuple[list[str], list[tuple]]:
-        """Columns and rows within the limits; rows come one partition at a time, so no more is held than the caps allow."""
+        """Columns and rows within the limits.
+
+        Rows come as Arrow batches and become Python objects only after the caps are checked. What the driver takes
+        at all is bounded by the row cap and by spark.driver.maxResultSize.
+        """
         rows_cap, bytes_cap = self.security.max_result_rows, self.security.max_result_bytes
         with time_limit(self.spark, self.security.query_timeout):
             df = self._plan(sql)
-            columns, rows, held = df.columns, [], 0
-            limited = df if rows_cap is None else df.limit(rows_cap + 1)
+            columns = df.columns
+            limited = df.toDF(*[f"c{i}" for i in range(len(columns))]).limit(rows_cap + 1) if rows_cap is not None else df.toDF(*[f"c{i}" for i in range(len(columns))])
             if bytes_cap is not None and any(_can_be_large(t) for _, t in df.dtypes):
                 self._check_bytes(limited, bytes_cap)
-            for row in limited.toLocalIterator():
-                values = tuple(_plain(v) for v in row)
-                rows.append(values)
-                if rows_cap is not None and len(rows) > rows_cap:
-                    raise ResultTooLargeError(f"over {rows_cap:,} rows: add a LIMIT or aggregate, raise max_result_rows, or use query_iter() or query_arrow()")
-                if bytes_cap is not None:
-                    held += sum(map(cell_bytes, values))
-                    if held > bytes_cap:
-                        raise ResultTooLargeError(f"over {bytes_cap:,} bytes: select less, raise max_result_bytes, or use query_iter()")
-        return columns, rows
+            try:
+                table = limited.toArrow()
+            except Exception as error:
+                if "maxResultSize" in str(error):
+                    raise ResultTooLargeError("the result is over spark.driver.maxResultSize: select less, or use query_iter()") from error
+                raise
+            if rows_cap is not None and table.num_rows > rows_cap:
+                raise ResultTooLargeError(f"over {rows_cap:,} rows: add a LIMIT or aggregate, raise max_result_rows, or use query_iter() or query_arrow()")
+            large = [c for c, (_, t) in zip(table.columns, limited.dtypes, strict=True) if _can_be_large(t)]
+            if bytes_cap is not None and sum(c.nbytes for c in large) > bytes_cap:
+                raise ResultTooLargeError(f"over {bytes_cap:,} bytes: select less, raise max_result_bytes, or use query_iter()")
+            return columns, list(zip(*[_values(c) for c in table.columns], strict=True)) if columns else []
 
     @staticmethod
     def _check_bytes(df: DataFrame, cap: int) -> None:
@@ -167,8 +174,6 @@ class QueryEngine:
         if not any(word in df._jdf.queryExecution().logical().toString().lower() for word in ("repeat", "pad(", "array_repeat", "sequence", "collect_", "array_agg", "string_agg", "listagg", "concat")):
             return
         size = lambda c, t: F.octet_length(F.col(f"`{c}`")) if t in ("string", "binary") else F.octet_length(F.to_json(F.struct(F.col(f"`{c}`"))))
-        if len(set(df.columns)) < len(df.columns):
-            return
         large = [size(c, t).cast("long") for c, t in df.dtypes if _can_be_large(t)]
         total = df.agg(F.sum(sum((F.coalesce(x, F.lit(0)) for x in large), F.lit(0))).alias("n")).first()["n"]
         if (total or 0) > cap:
@@ -299,6 +304,13 @@ def _can_be_large(kind: str) -> bool:
     return kind.startswith(("string", "binary", "array", "struct", "map", "varchar", "char", "variant"))
 
 
+def _values(column: pa.ChunkedArray) -> list:
+    """Python values; moments without a zone, in UTC, as Spark's rows have them."""
+    if pa.types.is_timestamp(column.type) and column.type.tz is not None:
+        column = column.cast(pa.timestamp("us"))
+    return column.to_pylist()
+
+
 def _plain(value: Any) -> Any:
     """Spark's rows as dicts, nested ones too."""
     if hasattr(value, "asDict"):

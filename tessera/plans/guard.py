@@ -182,14 +182,3 @@ def time_limit(spark: SparkSession, seconds: float | None) -> Iterator[None]:
     finally:
         timer.cancel()
         context.setLocalProperty("spark.jobGroup.id", None)
-
-
-def cell_bytes(value) -> int:
-    """Bytes of text in a value, nested ones too."""
-    if isinstance(value, (str, bytes, bytearray)):
-        return len(value)
-    if isinstance(value, dict):
-        return sum(cell_bytes(k) + cell_bytes(v) for k, v in value.items())
-    if isinstance(value, (list, tuple)):
-        return sum(map(cell_bytes, value))
-    return 0
