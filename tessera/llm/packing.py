@@ -26,35 +26,41 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, and how often each occurs."""
+    ids = np.sort(ids.astype(np.uint16) if len(ids) and ids.max() < 65536 else ids)
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return ids[first], np.diff(np.append(first, len(ids)))
+
+
 class Bm25Shard:
     """Inverted index of one shard: for each term the documents that hold it and their BM25 weights."""
 
     def __init__(self, docs: list[np.ndarray]):
         self.n = len(docs)
-        terms, counts = zip(*(np.unique(d.astype(np.uint16) if len(d) and d.max() < 65536 else d, return_counts=True) for d in docs), strict=True)
-        sizes = np.array([len(t) for t in terms])
-        owner = np.repeat(np.arange(self.n), sizes)
-        term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
+        self.distinct, counts = zip(*map(distinct, docs), strict=True)
+        owner = np.repeat(np.arange(self.n), [len(t) for t in self.distinct])
+        term, tf = np.concatenate(self.distinct), np.concatenate(counts)
         length = np.array([len(d) for d in docs], np.float64)
         order = np.argsort(term, kind="stable")
-        self.terms, first, df = np.unique(term[order], return_index=True, return_counts=True)
-        self.first, self.df = first, df
-        self.owner = owner[order]
-        idf = np.maximum(0.0, np.log((self.n - df + 0.5) / (df + 0.5)))  # none for terms that most documents hold
-        tf = tf[order]
+        term, tf, self.owner = term[order], tf[order].astype(np.float64), owner[order]
+        self.first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
+        self.df = np.diff(np.append(self.first, len(term)))
+        idf = np.maximum(0.0, np.log((self.n - self.df + 0.5) / (self.df + 0.5)))  # none for terms that most documents hold
         norm = K1 * (1 - B + B * length[self.owner] / max(1.0, length.mean()))
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm)
-        self.useful = idf > 0
-
-    def scores(self, ids: np.ndarray) -> np.ndarray:
-        """BM25 scores of all documents of the shard for the distinct terms of ids."""
-        at = np.searchsorted(self.terms, np.unique(ids))
-        at = at[at < len(self.terms)]
-        at = at[np.isin(self.terms[at], ids) & self.useful[at]]
+        self.weight = np.repeat(idf, self.df) * tf * (K1 + 1) / (tf + norm)
+        self.place = np.full(int(term[-1]) + 1, -1, np.int32)  # of a term in first and df; -1: of no use
+        self.place[term[self.first]] = np.where(idf > 0, np.arange(len(self.first)), -1)
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """BM25 scores of all documents of the shard for distinct terms."""
+        at = self.place[terms[terms < len(self.place)]]
+        at = at[at >= 0]
         size = self.df[at]
-        if not size.sum():
+        total = int(size.sum())
+        if not total:
             return np.zeros(self.n)
-        rows = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        rows = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(total)
         return np.bincount(self.owner[rows], self.weight[rows], self.n)
 
 
@@ -89,7 +95,7 @@ class Packer:
         index, unused, at = Bm25Shard(docs), np.ones(len(docs), bool), 0
         while True:
             if self.fill:
-                ranks = np.argsort(-np.where(unused, index.scores(self.seed), -1.0), kind="stable")
+                ranks = np.argsort(-np.where(unused, index.scores(distinct(self.seed)[0]), -1.0), kind="stable")
                 for i in ranks[: unused.sum()].tolist():
                     sequence = self.sequence
                     unused[i] = False

@@ -12,7 +12,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Words, and pre-tokens, that are kept; on overflow only those of the running block stay. Bounds memory.
-MAX_CACHE = 800_000
+MAX_CACHE = 1_200_000
 #: Characters of a block of texts.
 BLOCK_CHARS = 3_000_000
 NO_RANK = np.int32(1 << 30)
@@ -171,19 +171,25 @@ class WordEncoder:
         out: list[np.ndarray] = []
         at = 0
         while at < len(texts):
-            block, chars = [], 0
+            block, chars, get = [], 0, self.cache.get
+            fresh: set[str] = set()
             while at < len(texts) and (not block or chars + len(texts[at] or "") <= BLOCK_CHARS):
                 chars += len(texts[at] or "")
-                block.append((texts[at] or "").replace("\n", " ").split(" "))
+                words = (texts[at] or "").replace("\n", " ").split(" ")
+                found = list(map(get, words))
+                if None in found:
+                    fresh.update([w for w, ids in zip(words, found, strict=True) if ids is None])
+                block.append((words, found))
                 at += 1
-            own = set().union(*block)
-            fresh = own - self.cache.keys()
-            if len(self.cache) + len(fresh) > MAX_CACHE:
-                self.cache = {w: self.cache[w] for w in own - fresh} | {"": b""}
             if fresh:
+                if len(self.cache) + len(fresh) > MAX_CACHE:
+                    self.cache = {"": b""}  # what the block has found already stays in its lists
                 self._learn(list(fresh))
-            get = self.cache.__getitem__
-            out += [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in block]
+            get = self.cache.get
+            for words, found in block:
+                if None in found:
+                    found = [get(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
+                out.append(np.frombuffer(b"".join(found), np.uint32))
         return out
 
 
