@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +14,12 @@ from tessera.sources.records import Records
 
 DEFAULT_MAX_DEPTH = 64
 _FAMILY = {"int": "number", "float": "number", "bool": "bool", "str": "str", "object": "object", "array": "array"}
-#: What Spark's own inference would lose or change: empty objects, integers over 18 digits, numbers that are no strict JSON.
-_HAZARD = r"\{\s*\}|[0-9]{19}|[-:,\[\s](?:NaN|-?Infinity)\b"
+_STRICT = {"mode": "FAILFAST", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _hazard(raw: Column) -> Column:
+    """What Spark's own inference would lose or change: empty objects, integers over 18 digits, numbers that are no strict JSON."""
+    return raw.rlike(r"\{\s*\}") | raw.rlike(r"(?<![.0-9])[0-9]{19}") | raw.contains("NaN") | raw.contains("Infinity")
 
 
 def resolve(facts: Facts, path: tuple[str, ...] = (), depth: int = DEFAULT_MAX_DEPTH) -> T.DataType:
@@ -55,7 +59,7 @@ def _clean_schema(records: Records, max_depth: int) -> T.StructType | None:
     if records.root != "array":
         return None
     quick = records.raw.agg(
-        F.bool_or(F.col("raw").rlike(_HAZARD)).alias("hazard"),
+        F.bool_or(_hazard(F.col("raw"))).alias("hazard"),
         F.bool_and(F.col("raw").rlike(r"^\s*(\{|null\s*$)")).alias("objects"),
         F.bool_or(F.col("raw").rlike(r"^\s*\{")).alias("some"),
     ).first()
@@ -65,7 +69,7 @@ def _clean_schema(records: Records, max_depth: int) -> T.StructType | None:
     kept = spark.conf.get("spark.sql.caseSensitive")
     spark.conf.set("spark.sql.caseSensitive", "true")
     try:
-        reader = spark._jsparkSession.read().option("mode", "FAILFAST")
+        reader = spark._jsparkSession.read().options(_STRICT)
         encoder = spark._jvm.org.apache.spark.sql.Encoders.STRING()
         found = T.StructType.fromJson(json.loads(reader.json(getattr(records.raw.select("raw")._jdf, "as")(encoder)).schema().json()))
     finally:
@@ -100,7 +104,7 @@ def _parse(raw: DataFrame, schema: T.StructType) -> DataFrame:
     if not _distinct_names(schema):  # keys that differ in case alone are columns of their own, for this session from now on
         raw.sparkSession.conf.set("spark.sql.caseSensitive", "true")
     text = F.when(~F.col("raw").rlike(r"^\s*null\s*$"), F.col("raw"))
-    return raw.select("rec_id", F.from_json(text, schema, {"mode": "FAILFAST", "maxNestingDepth": "2000"}).alias("r"))
+    return raw.select("rec_id", F.from_json(text, schema, _STRICT | {"maxNestingDepth": "2000"}).alias("r"))
 
 
 def build_table(records: Records, max_depth: int = DEFAULT_MAX_DEPTH, facts: Facts | None = None) -> Table:
