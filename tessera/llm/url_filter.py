@@ -16,7 +16,7 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 LEVEL_FPP = 0.01
 MAX_LEVELS = 64
 #: Bits of a level; the levels follow the rule list, not the corpus, so this bounds the list.
-MAX_LEVEL_BITS = 1 << 28
+MAX_LEVEL_BITS = 1 << 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,12 +38,12 @@ class Level:
     seed: int
 
     def holds(self, key: Column) -> Column:
-        words = F.expr(f"array({', '.join(f'{w}L' if w > -(1 << 63) else '(-9223372036854775807L - 1L)' for w in self.words)})")
-        out = F.lit(True)
-        for at in bit_positions(key, len(self.words) * 64, self.probes, self.seed):
-            word = F.get(words, F.floor(at / 64).cast("int"))
-            out = out & (F.call_function("getbit", word, (at % 64).cast("int")) == 1)
-        return out
+        one = lambda at: F.call_function("getbit", F.get(self.column(), F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1
+        return F.forall(F.array(*bit_positions(key, len(self.words) * 64, self.probes, self.seed)), one)
+
+    def column(self) -> Column:
+        """The words as one constant of the plan."""
+        return F.expr(f"array({', '.join(f'{w}L' if w > -(1 << 63) else '(-9223372036854775807L - 1L)' for w in self.words)})")
 
 
 def bit_positions(key: Column, bits: int, probes: int, seed: int) -> list[Column]:
