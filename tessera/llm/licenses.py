@@ -42,6 +42,8 @@ TEMPLATES = [
 LEAST_COSINE = 0.75
 LICENSE_FILE = re.compile(r"(?i)(?:licen[cs]es?|copying|unlicense)(?:[.\-_][a-z0-9.\-_]*)?$")
 FAN_IN = 16
+#: Parts into which the rows of one directory are dealt when they meet its licence.
+SALTS = 32
 _VOCABULARY = sorted({w for _, text in TEMPLATES for w in words(text)})
 
 
@@ -137,7 +139,9 @@ def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_c
     parts = F.split("folder", "/")
     chain = folders.withColumn("above", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))).distinct()
     nearest = chain.join(stated, "above").groupBy("folder").agg(F.max_by("given", F.length("above")).alias("given")).withColumnRenamed("folder", "__folder")
-    joined = own.join(nearest, own["folder"] == nearest["__folder"], "left")
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "path"), F.lit(SALTS)).cast("int"))
+    nearest = nearest.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.join(nearest, (salted["folder"] == nearest["__folder"]) & (salted["salt"] == nearest["__salt"]), "left")
     inherits = F.col("license").isNull() & F.col("given").isNotNull() & F.col("doc_id").isNotNull()
     return joined.select(
         "doc_id",
