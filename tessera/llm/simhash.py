@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ MAX_BITS = 3
 #: Fingerprints that a trie should hold at most; decides how many leading bits part the tries, never what is compared.
 TRIE_SIZE = 65_536
 MIN_CELL_BITS, MAX_CELL_BITS = 4, 16
+#: Fingerprints of a trie at most; a hot cell is dealt into several by hash, and all pairs of those are walked.
+LARGEST_TRIE = 4 * TRIE_SIZE
 #: Node pairs that are expanded at once; bounds memory only.
 FRONTIER = 1 << 18
 
@@ -120,7 +123,7 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, depth: int, error: int, budge
         stack.append((depth + 1, np.concatenate(sides, axis=1)))
 
 
-def near_edges(fps: DataFrame, cell_bits: int | None = None) -> DataFrame:
+def near_edges(fps: DataFrame, cell_bits: int | None = None, largest: int = LARGEST_TRIE) -> DataFrame:
     """Edges (u, v) with the components of "differ in at most MAX_BITS bits" over fps(fp, node), fp distinct.
 
     The leading cell_bits part the fingerprints into tries. Each pair of tries whose prefixes are within the
@@ -131,28 +134,28 @@ def near_edges(fps: DataFrame, cell_bits: int | None = None) -> DataFrame:
         n = fps.count()
         cell_bits = min(MAX_CELL_BITS, max(MIN_CELL_BITS, int(np.ceil(np.log2(max(1, n / TRIE_SIZE))))))
 
-    def pack(frame):
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(frame["fp"].to_numpy().view(np.uint64))
-        import pandas as pd
+        return pd.DataFrame({"cell": [int(frame["cell"].iloc[0])], "chunk": [int(frame["chunk"].iloc[0])], "fps": [frame["fp"].to_numpy()[order].tobytes()], "nodes": [frame["node"].to_numpy()[order].tobytes()]})
 
-        return pd.DataFrame({"cell": [int(frame["cell"].iloc[0])], "fps": [frame["fp"].to_numpy()[order].tobytes()], "nodes": [frame["node"].to_numpy()[order].tobytes()]})
-
-    cells = fps.withColumn("cell", F.shiftrightunsigned("fp", 64 - cell_bits).cast("int")).groupBy("cell").applyInPandas(pack, "cell int, fps binary, nodes binary")
-    cells = materialize(cells, "tries")
+    placed = fps.withColumn("cell", F.shiftrightunsigned("fp", 64 - cell_bits).cast("int"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / largest).cast("int").alias("chunks"))
+    placed = placed.join(sizes.where("chunks > 1"), "cell", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("fp"), "chunks"), F.lit(0)).cast("int"))
+    cells = materialize(placed.groupBy("cell", "chunk").applyInPandas(pack, "cell int, chunk int, fps binary, nodes binary"), "tries")
     masks = [m for m in range(1 << cell_bits) if bin(m).count("1") <= MAX_BITS]
     partners = cells.withColumn("mask", F.explode(F.lit(masks).cast("array<int>"))).withColumn("other", F.col("cell").bitwiseXOR(F.col("mask"))).where("cell <= other")
-    right = cells.select(F.col("cell").alias("other"), F.col("fps").alias("fps2"), F.col("nodes").alias("nodes2"))
+    right = cells.select(F.col("cell").alias("other"), F.col("chunk").alias("chunk2"), F.col("fps").alias("fps2"), F.col("nodes").alias("nodes2"))
     n_tasks = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = partners.join(right, "other").repartition(n_tasks, "cell", "other")
+    pairs = partners.join(right, "other").where("cell < other or chunk <= chunk2").repartition(n_tasks, "cell", "other", "chunk", "chunk2")
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                mask, f1, n1, f2, n2 = (batch.column(i)[row].as_py() for i in range(5))
+                mask, same, f1, n1, f2, n2 = (batch.column(i)[row].as_py() for i in range(6))
                 a, b = np.frombuffer(f1, np.uint64), np.frombuffer(f2, np.uint64)
                 na, nb = np.frombuffer(n1, np.int64), np.frombuffer(n2, np.int64)
                 u, v, held = [], [], 0
-                for x, y in trie_join(a, None if mask == 0 else b, cell_bits, bin(mask).count("1")):
+                for x, y in trie_join(a, None if same else b, cell_bits, bin(mask).count("1")):
                     u.append(na[x])
                     v.append(nb[y])
                     held += len(x)
@@ -163,7 +166,7 @@ def near_edges(fps: DataFrame, cell_bits: int | None = None) -> DataFrame:
                     p, q = local_forest(np.concatenate(u), np.concatenate(v))
                     yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], names=["u", "v"])
 
-    return pairs.select("mask", "fps", "nodes", "fps2", "nodes2").mapInArrow(run, "u long, v long")
+    return pairs.select("mask", F.expr("cell = other and chunk = chunk2"), "fps", "nodes", "fps2", "nodes2").mapInArrow(run, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -80,6 +80,20 @@ def test_trie_join_finds_all_pairs(seed):
     assert got == {(int(x), int(y)) for x in left for y in right if bin(int(x) ^ int(y)).count("1") <= 3}
 
 
+@pytest.mark.parametrize("largest", [3, 10_000])
+def test_hot_cells_are_dealt_out(spark, largest):
+    rng = random.Random(3)
+    center = rng.getrandbits(64)
+    fps = {center}
+    while len(fps) < 60:
+        fps.add(center ^ sum(1 << b for b in rng.sample(range(48), rng.randint(1, 4))))
+    fps |= {rng.getrandbits(64) for _ in range(60)}
+    fps = sorted(fps)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, node long")
+    got = [(r.u, r.v) for r in simhash.near_edges(df, 4, largest).collect()]
+    assert components(range(len(fps)), got) == components(range(len(fps)), near(fps))
+
+
 def texts_fixture():
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(400)]
