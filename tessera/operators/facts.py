@@ -19,6 +19,8 @@ KINDS = ("str", "int", "float", "bool", "null", "object", "array")
 PRIMITIVES = ("str", "int", "float", "bool", "null")
 ITEM = "["  # a step into an array; a step to a key is "." and the key
 UNIQUE_CHARS = 100
+#: Groups in which the partitions' facts are merged first.
+MERGE_GROUPS = 64
 _NAMES = {str: "str", int: "int", float: "float", bool: "bool", type(None): "null", dict: "object", list: "array"}
 _FACT = "path array<string>, kind string, n bigint, low double, high double, total double, n_empty bigint, big boolean, size bigint, size_low bigint, size_high bigint, extra bigint, per_low bigint, per_high bigint, parents bigint, dates boolean, uniq array<string>, samples array<struct<h:bigint,ord:bigint,v:string>>"
 
@@ -155,15 +157,15 @@ def collect_facts(raw: DataFrame, k: int = 3, max_unique: int = 100, seed: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     parts = raw.select("rec_id", "raw").mapInArrow(run, _FACT)
-    merged = parts.groupBy("path", "kind").agg(
-        *[F.sum(c).alias(c) for c in ("n", "total", "n_empty", "size", "extra", "parents")],
-        *[F.min(c).alias(c) for c in ("low", "size_low", "per_low")],
-        *[F.max(c).alias(c) for c in ("high", "size_high", "per_high")],
-        F.bool_or("big").alias("big"),
-        F.bool_and("dates").alias("dates"),
+    sums = [F.sum(c).alias(c) for c in ("n", "total", "n_empty", "size", "extra", "parents")]
+    ends = [F.min(c).alias(c) for c in ("low", "size_low", "per_low")] + [F.max(c).alias(c) for c in ("high", "size_high", "per_high")]
+    lists = [
         F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("uniq")))), 1, max(1, max_unique)).alias("uniq"),
         F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, max(1, k)).alias("samples"),
-    )
+    ]
+    every = [*sums, *ends, F.bool_or("big").alias("big"), F.bool_and("dates").alias("dates"), *lists]
+    # In two steps, so that no group holds the lists of all partitions at once.
+    merged = parts.withColumn("part", F.spark_partition_id() % MERGE_GROUPS).groupBy("path", "kind", "part").agg(*every).groupBy("path", "kind").agg(*every)
     facts = Facts(k=k, max_unique=max_unique)
     for row in merged.collect():
         facts.cells.setdefault(tuple(row["path"]), {})[row["kind"]] = row.asDict(recursive=True)
