@@ -125,42 +125,54 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
         yield block
 
 
+class Scanner:
+    """Finds the passages of some items in batches of texts; the index is built once in each worker process."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.items, self.index = items, None
+
+    def __getstate__(self):
+        return {"items": self.items, "index": None}
+
+    def find(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, item id, start, end, same words) for each row and item with a passage."""
+        if self.index is None:
+            self.index = SeedIndex(self.items)
+        seeds, at = self.index, 0
+        get = seeds.vocabulary.get
+        while at < len(texts):  # texts side by side, with a gap that no seed can cross
+            parts, bounds, first, size = [], [], at, 0
+            while at < len(texts) and size < 1 << 20:
+                own = words(texts[at].as_py())
+                parts.append(np.fromiter(map(get, own, repeat(0)), np.int64, len(own)))
+                parts.append(np.zeros(_PAD, np.int64))
+                bounds.append((size, size + len(own)))
+                size += len(own) + _PAD
+                at += 1
+            ids = np.concatenate(parts)
+            lows = np.array([b[0] for b in bounds])
+            best: dict[tuple[int, int], tuple] = {}
+            starts, items_at = seeds.hits(ids)
+            for start, k in zip(starts.tolist(), items_at.tolist(), strict=True):
+                middle = max(start, 0)
+                for d in {int(np.searchsorted(lows, middle, "right")) - 1, int(np.searchsorted(lows, min(middle + len(seeds.items[k][1]) - 1, size - 1), "right")) - 1}:
+                    got = seeds.verify(ids, *bounds[d], start, k)
+                    if got and ((d, k) not in best or got[2] > best[d, k][2]):
+                        best[d, k] = got
+            for (d, k), (a, b, s) in sorted(best.items()):
+                yield first + d, seeds.items[k][0], a - bounds[d][0], b - bounds[d][0], s
+
+
 def _scan(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    index: list[SeedIndex] = []
+    scanner = Scanner(items)
 
     def run(batches):
-        if not index:
-            index.append(SeedIndex(items))
-        seeds = index[0]
-        get = seeds.vocabulary.get
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            at, n = 0, len(doc_ids)
-            while at < n:  # texts side by side, with a gap that no seed can cross
-                parts, bounds, owners, size = [], [], [], 0
-                while at < n and size < 1 << 20:
-                    own = words(texts[at].as_py())
-                    parts.append(np.fromiter(map(get, own, repeat(0)), np.int64, len(own)))
-                    parts.append(np.zeros(_PAD, np.int64))
-                    bounds.append((size, size + len(own)))
-                    owners.append(doc_ids[at])
-                    size += len(own) + _PAD
-                    at += 1
-                ids = np.concatenate(parts)
-                lows = np.array([b[0] for b in bounds])
-                best: dict[tuple[int, int], tuple] = {}
-                starts, items_at = seeds.hits(ids)
-                for start, k in zip(starts.tolist(), items_at.tolist(), strict=True):
-                    middle = max(start, 0)
-                    for d in {int(np.searchsorted(lows, middle, "right")) - 1, int(np.searchsorted(lows, min(middle + len(seeds.items[k][1]) - 1, size - 1), "right")) - 1}:
-                        got = seeds.verify(ids, *bounds[d], start, k)
-                        if got and ((d, k) not in best or got[2] > best[d, k][2]):
-                            best[d, k] = got
-                rows = [(owners[d], seeds.items[k][0], a - bounds[d][0], b - bounds[d][0], s, s / (b - a)) for (d, k), (a, b, s) in sorted(best.items())]
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    kinds = [pa.int64()] * 5 + [pa.float64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
+            rows = [(batch.column(0)[row].as_py(), item, a, b, s, s / (b - a)) for row, item, a, b, s in scanner.find(batch.column(1))]
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                kinds = [pa.int64()] * 5 + [pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
 
     return docs.mapInArrow(run, FOUND)
 
@@ -183,10 +195,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold a passage of the benchmark; rows with a null id stay."""
-    found = contaminated(docs, benchmark, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs[id_col] == found["__gone"], "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows that hold a passage of the benchmark; each row is judged where it is, so none is shuffled."""
+    for block in item_blocks(benchmark, item_col, item_text):
+        docs = docs.mapInArrow(_cleaner(Scanner(block), docs.columns.index(text_col)), docs.schema)
+    return docs
+
+
+def _cleaner(scanner: Scanner, column: int):
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[row for row, *_ in scanner.find(batch.column(column))] or slice(0, 0)] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -51,20 +51,22 @@ class Table:
 
     df: DataFrame
     wrapped: bool
+    n_rows: int
     facts: Facts | None = None
 
 
-def _clean_schema(records: Records, max_depth: int) -> T.StructType | None:
-    """Spark's own inference, which runs in the JVM, if nothing in the records is beyond it; else None."""
+def _clean_schema(records: Records, max_depth: int) -> tuple[T.StructType | None, int]:
+    """Spark's own inference, which runs in the JVM, if nothing in the records is beyond it, else None; and how many there are."""
     if records.root != "array":
-        return None
+        return None, 1
     quick = records.raw.agg(
+        F.count("raw").alias("n"),
         F.bool_or(_hazard(F.col("raw"))).alias("hazard"),
         F.bool_and(F.col("raw").rlike(r"^\s*(\{|null\s*$)")).alias("objects"),
         F.bool_or(F.col("raw").rlike(r"^\s*\{")).alias("some"),
     ).first()
     if quick["hazard"] or not quick["objects"] or not quick["some"]:
-        return None
+        return None, quick["n"]
     spark = records.raw.sparkSession
     kept = spark.conf.get("spark.sql.caseSensitive")
     spark.conf.set("spark.sql.caseSensitive", "true")
@@ -74,7 +76,7 @@ def _clean_schema(records: Records, max_depth: int) -> T.StructType | None:
         found = T.StructType.fromJson(json.loads(reader.json(getattr(records.raw.select("raw")._jdf, "as")(encoder)).schema().json()))
     finally:
         spark.conf.set("spark.sql.caseSensitive", kept)
-    return found if _depth(found) <= max_depth and _plain(found) else None
+    return (found if _depth(found) <= max_depth and _plain(found) else None), quick["n"]
 
 
 def _depth(kind: T.DataType) -> int:
@@ -116,12 +118,13 @@ def build_table(records: Records, max_depth: int = DEFAULT_MAX_DEPTH, facts: Fac
     spark = records.raw.sparkSession
     if records.root == "scalar":
         raise ValueError("a table needs a JSON object or array, not a scalar")
-    schema = _clean_schema(records, max_depth) if facts is None else None
+    schema, n = _clean_schema(records, max_depth) if facts is None else (None, 0)
     if schema is None:
         facts = facts or collect_facts(records.raw)
+        n = sum(c["n"] for c in facts.at(()).values())
         kinds = set(facts.at(()))
         if not kinds:
-            return Table(spark.createDataFrame([], "value string"), True, facts)
+            return Table(spark.createDataFrame([], "value string"), True, 0, facts)
         resolved = resolve(facts, (), max_depth)
         if isinstance(resolved, T.StructType) and "object" in kinds:
             schema = resolved
@@ -129,6 +132,6 @@ def build_table(records: Records, max_depth: int = DEFAULT_MAX_DEPTH, facts: Fac
             # Under a key, every value keeps its text where types conflict.
             wrapped = F.concat(F.lit('{"value":'), F.col("raw"), F.lit("}"))
             rows = _parse(records.raw.withColumn("raw", wrapped), T.StructType([T.StructField("value", resolved)]))
-            return Table(rows.select("r.value"), True, facts)
+            return Table(rows.select("r.value"), True, n, facts)
     rows = _parse(records.raw, schema)
-    return Table(rows.select(*[F.col("r").getField(f.name).alias(f.name) for f in schema.fields]), False, facts)
+    return Table(rows.select(*[F.col("r").getField(f.name).alias(f.name) for f in schema.fields]), False, n, facts)

@@ -106,7 +106,7 @@ class QueryEngine:
         records = replace(records, raw=raw.persist(StorageLevel.MEMORY_AND_DISK))
         self._cached.append(records.raw)
         table = build_table(records, self.max_depth)
-        self._publish(name, table.df, records, source=records.source, path=path, row_count=records.raw.count(), value_wrapped=table.wrapped, description=description)
+        self._publish(name, table.df, records, source=records.source, path=path, row_count=table.n_rows, value_wrapped=table.wrapped, description=description)
         self.tables[name]._facts = table.facts
         return self
 
@@ -305,10 +305,25 @@ def _can_be_large(kind: str) -> bool:
 
 
 def _values(column: pa.ChunkedArray) -> list:
-    """Python values; moments without a zone, in UTC, as Spark's rows have them."""
-    if pa.types.is_timestamp(column.type) and column.type.tz is not None:
-        column = column.cast(pa.timestamp("us"))
-    return column.to_pylist()
+    """Python values, column by column at every level; moments without a zone, in UTC, as Spark's rows have them."""
+    return [v for chunk in column.chunks for v in _array_values(chunk)]
+
+
+def _array_values(array: pa.Array) -> list:
+    kind = array.type
+    if pa.types.is_timestamp(kind) and kind.tz is not None:
+        array = array.cast(pa.timestamp("us"))
+    if pa.types.is_struct(kind):
+        names = [f.name for f in kind]
+        out = [dict(zip(names, row, strict=True)) for row in zip(*map(_array_values, array.flatten()), strict=True)] if names else [{}] * len(array)
+    elif pa.types.is_list(kind):
+        flat, ends = _array_values(array.values), array.offsets.to_pylist()
+        out = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    elif pa.types.is_string(kind) or not array.null_count and (pa.types.is_integer(kind) or pa.types.is_floating(kind)):
+        return array.to_numpy(zero_copy_only=False).tolist()
+    else:
+        return array.to_pylist()
+    return [v if ok else None for v, ok in zip(out, array.is_valid().to_pylist(), strict=True)] if array.null_count else out
 
 
 def _plain(value: Any) -> Any:

@@ -15,8 +15,6 @@ from tessera.sources import json_text as J
 
 #: Files of at least this size are read and split by executors; smaller ones by the driver.
 STREAM_MIN_BYTES = 4 * 1024 * 1024
-#: Characters of a record's text that a row of the driver's hands over holds at most in one partition, as a target.
-_SLICE_ROWS = 20_000
 
 
 @dataclass
@@ -34,8 +32,7 @@ def _root_of(value: Any) -> str:
 
 def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
     table = pa.table({"rec_id": pa.array(range(len(texts)), pa.int64()), "raw": pa.array(texts, pa.string())})
-    raw = spark.createDataFrame(table)
-    return raw.repartition(-(-len(texts) // _SLICE_ROWS)) if len(texts) > 2 * _SLICE_ROWS else raw
+    return spark.createDataFrame(table)  # Spark deals local rows out to all cores
 
 
 def from_value(spark: SparkSession, value: Any, source: str = "memory") -> Records:
