@@ -9,6 +9,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from tessera.functions.idents import check_table_name, quote
 from tessera.operators.facts import Facts, collect_facts
 from tessera.operators.infer import DEFAULT_MAX_DEPTH, build_table
 from tessera.operators.structure import Samples, Shape, print_schema, root_shape
+from tessera.plans.dialect import texts
 from tessera.plans.guard import Guard, ReadOnlyViolationError, ResultTooLargeError, SecurityConfig, time_limit
 from tessera.plans.prompt import build_prompt
 from tessera.plans.table_text import check_format, table_text
@@ -71,8 +73,14 @@ def start_session(config: SecurityConfig) -> SparkSession:
 class QueryEngine:
     """Tables from JSON, and SQL over them, in a Spark session of their own."""
 
-    def __init__(self, security: SecurityConfig | None = None, *, spark: SparkSession | None = None, max_depth: int = DEFAULT_MAX_DEPTH, stream_min_bytes: int = STREAM_MIN_BYTES, **overrides: Any):
-        """overrides: fields of SecurityConfig; they are ignored where security is given."""
+    def __init__(self, security: SecurityConfig | None = None, *, spark: SparkSession | None = None, max_depth: int = DEFAULT_MAX_DEPTH, stream_min_bytes: int = STREAM_MIN_BYTES, dialect: str = "spark", **overrides: Any):
+        """dialect: spark, or compat for queries with unnest, QUALIFY, 1-based indexes and NULLS LAST by default.
+
+        overrides: fields of SecurityConfig; they are ignored where security is given.
+        """
+        if dialect not in ("spark", "compat"):
+            raise ValueError(f"unknown dialect {dialect!r}: use spark or compat")
+        self.dialect = dialect
         self.security = security or replace(SecurityConfig(), **overrides)
         self.spark = (spark or start_session(self.security)).newSession()
         for key, value in {
@@ -139,8 +147,16 @@ class QueryEngine:
     # ---- queries
 
     def _plan(self, sql: str) -> DataFrame:
-        self.guard.check(sql)
-        return self.spark.sql(sql)
+        """The guarded query, not yet run; of two readings the first that resolves."""
+        readings = texts(sql) if self.dialect == "compat" else [sql]
+        for last, text in enumerate(readings, 1 - len(readings)):
+            self.guard.check(text)
+            try:
+                return self.spark.sql(text)
+            except AnalysisException:
+                if not last:
+                    raise
+        raise AssertionError("there is always a reading")
 
     def _fetch(self, sql: str) -> tuple[list[str], list[tuple]]:
         """Columns and rows within the limits.
@@ -214,6 +230,7 @@ class QueryEngine:
         return self._plan(sql)
 
     def explain(self, sql: str) -> str:
+        sql = texts(sql)[0] if self.dialect == "compat" else sql
         self.guard.check(sql)
         return "\n".join(str(r[0]) for r in self.spark.sql(f"EXPLAIN {sql}").collect())
 
