@@ -186,7 +186,7 @@ def test_passages_edges(spark):
     docs = spark.createDataFrame([(None, "one two three four five six seven"), (1, "nothing of it")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "one two three four five six seven")], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(None, 9)]
-    assert decontaminate.remove_contaminated(docs, bench).count() == 2
+    assert [r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()] == [1]
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
