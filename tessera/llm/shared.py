@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -27,29 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}-{tag}"
-    atexit.register(remove_path, spark, path)
-    return path
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}-{tag}"
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path, by Spark's own file system API so that any store works."""
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    try:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception as error:  # the session may have ended before us
-        if "Connection refused" not in str(error) and "stopped" not in str(error).lower():
-            print(f"scratch path {path} stays: {str(error)[:200]}")
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM remove a path when it ends; by Hadoop's file systems, so any shared store will do."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
