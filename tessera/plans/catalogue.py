@@ -65,6 +65,9 @@ sql("select_without_from", "SELECT 1 AS one, 'a' AS letter")
 sql("range_function", "SELECT i AS i, i * i AS square FROM range(100) t(i)")
 sql("quoted_identifiers", "SELECT `end`.`first-name` AS name FROM (SELECT named_struct('first-name', c_name) AS `end` FROM customer)", 'SELECT c_name AS name FROM customer')
 
+sql("regex_functions", "SELECT p_partkey, regexp_extract(p_name, '([a-z]+)', 1) AS first_word, regexp_replace(p_name, '[aeiou]', '') AS bare, p_brand RLIKE '[13]$' AS odd FROM part", "SELECT p_partkey, regexp_extract(p_name, '([a-z]+)', 1) AS first_word, regexp_replace(p_name, '[aeiou]', '', 'g') AS bare, regexp_matches(p_brand, '[13]$') AS odd FROM part")
+sql("not_in_null_safe", "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%') AND n_name IS NOT NULL AND NOT (n_nationkey = 3 OR n_nationkey < 2)")
+
 # ---- aggregation
 
 sql("agg_global", "SELECT COUNT(*) AS n, COUNT(l_tax) AS n_tax, CAST(SUM(l_linenumber) AS BIGINT) AS s, ROUND(AVG(l_quantity), 4) AS a, MIN(l_discount) AS lo, MAX(l_extendedprice) AS hi, ROUND(SUM(l_extendedprice * (1 - l_discount)), 1) AS revenue FROM lineitem")
@@ -162,6 +165,17 @@ def _array_index_first(spark, d):
     return own.join(read(spark, d, "part"), F.col("first_part") == F.col("p_partkey")).select("o_orderkey", "first_part", F.col("p_name").alias("name"), "beyond")
 
 
+@frame("array_last", "SELECT l_orderkey AS o_orderkey, max(l_linenumber) AS last_line FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey")
+def _array_last(spark, d):
+    return order_documents(spark, d).select("o_orderkey", F.try_element_at("items", F.lit(-1)).getField("l_linenumber").alias("last_line"))
+
+
+@frame("array_agg_struct_sorted", "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice DESC, o_orderkey) AS keys FROM orders GROUP BY o_custkey")
+def _array_agg_struct_sorted(spark, d):
+    per = read(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey"))).alias("o"))
+    return per.select("o_custkey", F.array_join(F.transform("o", lambda x: x["o_orderkey"].cast("string")), ",").alias("keys"))
+
+
 @frame("array_contains_filter", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def _array_contains_filter(spark, d):
     return order_documents(spark, d).where(F.array_contains("flags", "R")).select("o_orderkey")
