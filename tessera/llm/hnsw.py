@@ -159,7 +159,7 @@ class Hnsw:
             r, c = flat // len(self.x), flat % len(self.x)
             visited[live[r], c] = True
             s = np.einsum("ij,ij->i", self.x[c], q[live[r]])
-            better = s > sims[live[r]].min(1) if beam < 16 else s > np.minimum.reduce(sims[live], axis=1)[r]
+            better = s > sims[live].min(1)[r]
             r, c, s = r[better], c[better], s[better]
             if not len(r):
                 continue
