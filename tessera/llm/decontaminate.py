@@ -69,9 +69,9 @@ class SeedIndex:
             out *= np.uint64(0xBF58476D1CE4E5B9)
         return out
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (start of the item in ids, item) that share a seed."""
-        starts, owners = [], []
+    def hits(self, ids: np.ndarray, lows: np.ndarray) -> np.ndarray:
+        """Distinct columns (start of the item in ids, item, document that holds the seed); lows: where documents start."""
+        starts, owners, holders = [], [], []
         for m, mask in enumerate(MASKS):
             n = len(ids) - len(mask) + 1
             if n <= 0:
@@ -91,10 +91,10 @@ class SeedIndex:
             rows = np.repeat(self.first[seed] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(seed) else np.empty(0, np.int64)
             starts.append(np.repeat(at, size) - self.place[rows])
             owners.append(self.owner[rows])
+            holders.append(np.repeat(np.searchsorted(lows, at, "right") - 1, size))
         if not starts or not sum(map(len, starts)):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.unique(np.stack([np.concatenate(starts), np.concatenate(owners)]), axis=1)
-        return both[0], both[1]
+            return np.empty((3, 0), np.int64)
+        return np.unique(np.stack([np.concatenate(starts), np.concatenate(owners), np.concatenate(holders)]), axis=1)
 
     def verify(self, ids: np.ndarray, low: int, high: int, start: int, owner: int) -> tuple[int, int, int] | None:
         """(start, end, same words) of the passage of the item in ids[low:high] on this diagonal, if a window of it agrees."""
@@ -152,13 +152,10 @@ class Scanner:
             ids = np.concatenate(parts)
             lows = np.array([b[0] for b in bounds])
             best: dict[tuple[int, int], tuple] = {}
-            starts, items_at = seeds.hits(ids)
-            for start, k in zip(starts.tolist(), items_at.tolist(), strict=True):
-                middle = max(start, 0)
-                for d in {int(np.searchsorted(lows, middle, "right")) - 1, int(np.searchsorted(lows, min(middle + len(seeds.items[k][1]) - 1, size - 1), "right")) - 1}:
-                    got = seeds.verify(ids, *bounds[d], start, k)
-                    if got and ((d, k) not in best or got[2] > best[d, k][2]):
-                        best[d, k] = got
+            for start, k, d in seeds.hits(ids, lows).T.tolist():  # the item may reach beyond the document on both sides
+                got = seeds.verify(ids, *bounds[d], start, k)
+                if got and ((d, k) not in best or got[2] > best[d, k][2]):
+                    best[d, k] = got
             for (d, k), (a, b, s) in sorted(best.items()):
                 yield first + d, seeds.items[k][0], a - bounds[d][0], b - bounds[d][0], s
 

@@ -190,6 +190,23 @@ def test_passages_edges(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_excerpts_from_the_middle_of_an_item_between_other_documents(spark):
+    item = [f"t{i}" for i in range(40)]
+    texts, want = [], {}
+    for a in range(0, 28):
+        for n in (13, 20, 40):
+            part = item[a : a + n]
+            if len(part) >= 13:
+                texts += [" ".join(f"other{j}" for j in range(60)), " ".join(part)]
+                want[len(texts) - 1] = (0, len(part), len(part))
+    texts.append("the last one")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert {r.doc_id: (r.start_word, r.end_word, r.n_same) for r in got} == want and len(got) == len(want)
+    assert {r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()} == set(range(len(texts))) - set(want)
+
+
 def test_many_items_take_several_scans(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
     items = [(k, " ".join(f"i{k}w{j}" for j in range(14))) for k in range(4)]
