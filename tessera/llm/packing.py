@@ -1,8 +1,13 @@
-"""Sequence packing by lexical retrieval: BM25 neighbours of a seed document fill its window."""
+"""Sequence packing by lexical retrieval: BM25 neighbours of a seed document fill its window.
+
+Documents of all partitions are first brought into one order in which lexically like ones stand together; shards of
+the index are runs of that order, and document frequencies and the mean length are those of all rows.
+"""
 
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +15,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import materialize
 from tessera.llm.word_bpe import encoder
 
 WINDOW = 4096
 END_ID = 2
-#: A shard of the index: consecutive documents of a partition, up to so many rows or characters.
+#: A shard of the index: consecutive documents in lexical order, up to so many rows or characters.
 SHARD_DOCS, SHARD_CHARS = 1024, 4_000_000
 K1, B = 1.2, 0.75
+#: Random directions of the sketch by which documents are ordered; sampled documents a leaf, and at most in all.
+SKETCH, LEAF_SAMPLE, MAX_SAMPLE = 64, 16, 1 << 18
+#: Tokens that a partition of the ordered documents should hold.
+PARTITION_TOKENS = 1 << 22
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -33,10 +43,62 @@ def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[first], np.diff(np.append(first, len(ids)))
 
 
+@lru_cache(1)
+def _axes(n_terms: int) -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((n_terms, SKETCH), np.float32)
+
+
+class Statistics:
+    """Of all documents: how many, their mean length in tokens, and for each term how many hold it."""
+
+    def __init__(self, n: int, tokens: int, df: np.ndarray):
+        self.n, self.mean, self.df = n, max(1.0, tokens / max(1, n)), df
+
+    def idf(self, df: np.ndarray) -> np.ndarray:
+        return np.maximum(0.0, np.log((self.n - df + 0.5) / (df + 0.5)))  # none for terms that most documents hold
+
+    def sketch(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Unit vectors whose products are close to the cosines of the documents' BM25 vectors."""
+        axes = _axes(len(self.df))
+        out, idf = np.zeros((len(docs), SKETCH), np.float32), self.idf(self.df)
+        for i, doc in enumerate(docs):
+            terms, tf = distinct(doc)
+            weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(doc) / self.mean))
+            out[i] = weight.astype(np.float32) @ axes[terms]
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+class LexicalOrder:
+    """A binary tree over sketches; each node halves its sample along the direction in which that varies most."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.depth = depth
+        self.axis, self.cut = np.zeros((2 << depth, SKETCH), np.float32), np.zeros(2 << depth, np.float32)
+        nodes = {1: sample}
+        for node in range(1, 2 << depth):
+            own = nodes.pop(node)
+            if not len(own):
+                own = np.zeros((1, SKETCH), np.float32)
+            centred = own - own.mean(axis=0)
+            self.axis[node] = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+            along = own @ self.axis[node]
+            self.cut[node] = np.median(along)
+            nodes[2 * node], nodes[2 * node + 1] = own[along <= self.cut[node]], own[along > self.cut[node]]
+
+    def keys(self, sketches: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Leaf and the place along its own direction; copies are told apart by id, so that they needn't share a partition."""
+        node = np.ones(len(sketches), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + (np.einsum("ij,ij->i", sketches, self.axis[node]) > self.cut[node])
+        along = np.clip(np.einsum("ij,ij->i", sketches, self.axis[node]), -1, 1).astype(np.float64)
+        spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.float64) / (1 << 24)
+        return node - (1 << self.depth) + 0.4995 * (along + 1) + 1e-6 * spread
+
+
 class Bm25Shard:
     """Inverted index of one shard: for each term the documents that hold it and their BM25 weights."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], whole: Statistics | None = None):
         self.n = len(docs)
         self.distinct, counts = zip(*map(distinct, docs), strict=True)
         owner = np.repeat(np.arange(self.n), [len(t) for t in self.distinct])
@@ -46,8 +108,9 @@ class Bm25Shard:
         term, tf, self.owner = term[order], tf[order].astype(np.float64), owner[order]
         self.first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
         self.df = np.diff(np.append(self.first, len(term)))
-        idf = np.maximum(0.0, np.log((self.n - self.df + 0.5) / (self.df + 0.5)))  # none for terms that most documents hold
-        norm = K1 * (1 - B + B * length[self.owner] / max(1.0, length.mean()))
+        of_all = whole or Statistics(self.n, length.sum(), self.df)
+        idf = of_all.idf(whole.df[term[self.first]] if whole else self.df)
+        norm = K1 * (1 - B + B * length[self.owner] / of_all.mean)
         self.weight = np.repeat(idf, self.df) * tf * (K1 + 1) / (tf + norm)
         self.place = np.full(int(term[-1]) + 1, -1, np.int32)  # of a term in first and df; -1: of no use
         self.place[term[self.first]] = np.where(idf > 0, np.arange(len(self.first)), -1)
@@ -67,8 +130,8 @@ class Bm25Shard:
 class Packer:
     """Fills windows one after the other; a document that doesn't fit is cut and its rest seeds the next window."""
 
-    def __init__(self, first_sequence: int, window: int = WINDOW):
-        self.window, self.sequence, self.fill = window, first_sequence, 0
+    def __init__(self, first_sequence: int, window: int = WINDOW, whole: Statistics | None = None):
+        self.window, self.sequence, self.fill, self.whole = window, first_sequence, 0, whole
         self.open: list[tuple] = []  # pieces of the window that isn't full
         self.seed: np.ndarray | None = None
         self.out: list[tuple] = []
@@ -92,7 +155,7 @@ class Packer:
         self.open, self.fill, self.seed = [], 0, None
 
     def shard(self, doc_ids: list, docs: list[np.ndarray]) -> None:
-        index, unused, at = Bm25Shard(docs), np.ones(len(docs), bool), 0
+        index, unused, at = Bm25Shard(docs, self.whole), np.ones(len(docs), bool), 0
         while True:
             if self.fill:
                 ranks = np.argsort(-np.where(unused, index.scores(distinct(self.seed)[0]), -1.0), kind="stable")
@@ -135,41 +198,114 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
+def _encoded(docs: DataFrame, path: str) -> DataFrame:
+    """(id, chars, n, ids): each text's token ids, two bytes each where that is enough for the row."""
+
+    def run(batches):
+        words, end = encoder(path), np.array([END_ID], np.uint32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SHARD_DOCS):
+                part = batch.slice(at, SHARD_DOCS)
+                texts = [t.as_py() or "" for t in part.column(1)]
+                ids = [np.concatenate([x, end]) for x in words.encode(texts)]
+                packed = [x.astype("<u2" if x.max() < 65536 else "<u4").tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(packed, pa.binary())], names=["id", "chars", "n", "ids"])
+
+    return docs.mapInArrow(run, "id long, chars long, n long, ids binary")
+
+
+def _unpacked(ids: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype(np.uint32)
+
+
+def _documents(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [_unpacked(x, n) for x, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+
+
+def _statistics(encoded: DataFrame) -> Statistics:
+    """Counts of all rows; partitions add up first, and the driver gets a row for each term of the vocabulary."""
+
+    def partial(batches):
+        n, tokens, df = 0, 0, np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for doc in _documents(batch):
+                terms = distinct(doc)[0]
+                if int(terms[-1]) >= len(df):
+                    df = np.append(df, np.zeros(int(terms[-1]) + 1, np.int64))
+                df[terms] += 1
+                n, tokens = n + 1, tokens + len(doc)
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-2, -1], held))), pa.array(np.concatenate(([n, tokens], df[held])))], names=["term", "n"])
+
+    rows = encoded.mapInArrow(partial, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    found = dict(zip(rows["term"].tolist(), rows["n"].tolist(), strict=True))
+    n, tokens = found.pop(-2, 0), found.pop(-1, 0)
+    df = np.zeros(max(found, default=-1) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Statistics(n, tokens, df)
+
+
+def _placed(encoded: DataFrame, whole: Statistics) -> DataFrame:
+    """The rows in lexical order: (id, chars, n, ids) sorted within partitions that are ranges of one order."""
+    parts = max(1, int(np.ceil(whole.mean * whole.n / PARTITION_TOKENS)))
+    depth = max(0, int(np.ceil(np.log2(max(1, whole.n) / SHARD_DOCS))))
+    size = min(MAX_SAMPLE, LEAF_SAMPLE << depth)
+
+    def sketch(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([v.tobytes() for v in whole.sketch(_documents(batch))], pa.binary())], names=["id", "sketch"])
+
+    share = int(np.ceil((1 << 20) * min(1.0, size / max(1, whole.n))))
+    taken = encoded.where(F.pmod(F.xxhash64("id", "ids"), F.lit(1 << 20)) < share).mapInArrow(sketch, "id long, sketch binary").limit(2 * size).collect()
+    sample = np.frombuffer(b"".join(bytes(r["sketch"]) for r in taken), np.float32).reshape(-1, SKETCH)
+    order = LexicalOrder(sample, depth)
+    known = np.sort(order.keys(sample, np.array([r["id"] or 0 for r in taken], np.int64)))
+    bounds = known[np.arange(1, parts) * len(known) // parts] if len(known) else np.empty(0)
+
+    def place(batches):
+        for batch in batches:
+            ids = np.array([i or 0 for i in batch.column("id").to_pylist()], np.int64)
+            keys = order.keys(whole.sketch(_documents(batch)), ids)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys), pa.array(np.searchsorted(bounds, keys, "right").astype(np.int32))], names=[*batch.schema.names, "key", "part"])
+
+    placed = encoded.mapInArrow(place, "id long, chars long, n long, ids binary, key double, part int")
+    return placed.repartitionById(parts, "part").sortWithinPartitions("key", "id", "ids")
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW) -> DataFrame:
     """Pieces of sequences of at most window tokens, one row each.
 
-    The shards of the index are runs of a partition's rows, so no row is shuffled, no key can be hot and a task
-    that is run again gives the same rows. Every document ends with END_ID; a null or empty text is that id
-    alone. A window is filled with the best unused neighbours of the document that began it, and rows with no
-    common term come last, in their order. Only the last window of a partition isn't full; it is cut into powers
-    of two. Rows with a null or repeated id are packed like any other, each for itself. No rows: none out.
+    Token ids are written once. A tree over sketches of all documents' BM25 vectors then brings like documents of all
+    partitions together; a shard of the index is a run of that order, with the document frequencies and mean length
+    of all rows. A seed's candidates are the unused documents of its run, whatever partition they came from; a
+    neighbour that the tree puts elsewhere isn't one (README: how many). Copies may lie in several partitions, so no
+    key is hot. Every document ends with END_ID; a null or empty text is that id alone. A window is filled with the
+    best unused neighbours of the document that began it, and rows with no common term come last, in their order. Only
+    the last window of a partition isn't full; it is cut into powers of two. Rows with a null or repeated id are packed
+    like any other, each for itself. No rows: none out.
     """
-    path = path or tokenizer_path()
+    encoded = materialize(_encoded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), path or tokenizer_path()), "tokens")
+    whole = _statistics(encoded)
 
     def run(batches):
-        words, packer = encoder(path), Packer(TaskContext.get().partitionId() << 40, window)
-
-        def shard(ids, texts):
-            end = np.array([END_ID], np.uint32)
-            packer.shard(ids, [np.concatenate([x, end]) for x in words.encode(texts)])
-            return packer.drain()
-
-        ids, texts, chars = [], [], 0
+        packer = Packer(TaskContext.get().partitionId() << 40, window, whole)
+        ids, docs, chars = [], [], 0
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                if ids and (len(ids) >= SHARD_DOCS or chars + len(text) > SHARD_CHARS):
-                    yield shard(ids, texts)
-                    ids, texts, chars = [], [], 0
+            for i, size, doc in zip(batch.column("id").to_pylist(), batch.column("chars").to_pylist(), _documents(batch), strict=True):
+                if ids and (len(ids) >= SHARD_DOCS or chars + size > SHARD_CHARS):
+                    packer.shard(ids, docs)
+                    yield packer.drain()
+                    ids, docs, chars = [], [], 0
                 ids.append(i)
-                texts.append(text)
-                chars += len(text)
+                docs.append(doc)
+                chars += size
         if ids:
-            yield shard(ids, texts)
+            packer.shard(ids, docs)
+            yield packer.drain()
         packer.finish()
         yield packer.drain()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return _placed(encoded, whole).select("id", "chars", "n", "ids").mapInArrow(run, SCHEMA)
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:

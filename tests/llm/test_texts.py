@@ -99,6 +99,29 @@ def test_bm25_equals_the_formula():
         assert shard.scores(q)[k] == pytest.approx(want)
 
 
+def test_like_documents_of_all_partitions_share_windows(spark, path, monkeypatch):
+    rng = random.Random(5)
+    topics = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)] for _ in range(64)]
+    rows = [(i, " ".join(rng.choices(topics[i % 64], k=60))) for i in range(640)]  # a run of 64 rows has one of each topic
+    monkeypatch.setattr(packing, "SHARD_DOCS", 64)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(4)
+    by_sequence = {}
+    for r in packing.pack(docs, window=1024).collect():
+        by_sequence.setdefault(r.sequence_id, []).append(r.doc_id % 64)
+    pure = [max(map(t.count, t)) / len(t) for t in by_sequence.values()]
+    assert sum(pure) >= 0.5 * len(pure), sum(pure) / len(pure)  # storage order gives 0.27
+
+
+def test_statistics_are_those_of_all_rows(spark, path):
+    texts = corpus(50)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
+    whole = packing._statistics(packing._encoded(docs, path))
+    library = Tokenizer.from_file(path)
+    ids = [[*library.encode(t, add_special_tokens=False).ids, packing.END_ID] for t in texts]
+    assert whole.n == 50 and whole.mean == sum(map(len, ids)) / 50
+    assert {t: n for t, n in enumerate(whole.df.tolist()) if n} == {t: sum(t in d for d in ids) for d in ids for t in d}
+
+
 # ---- main text
 
 PAGES = [
