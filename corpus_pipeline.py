@@ -29,7 +29,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates the document with the smallest id; near is op2's rule, 3 of 64 bits of 3-word shingles.
+
+    That is tighter than a five-word Jaccard of 0.8: most pairs between 0.8 and 0.95 stay in (README: measured recall).
+    """
     return simhash_dedup(docs)
 
 
