@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ LICENSE_FILE = re.compile(r"(?i)(?:licen[cs]es?|copying|unlicense)(?:[.\-_][a-z0
 FAN_IN = 16
 #: Parts into which the rows of one directory are dealt when they meet its licence.
 SALTS = 32
+#: Marks of comments at either end of a line.
+_COMMENT = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/?|//+!?|#+|--+|;+|%+|<!--|dnl\b|REM\b|\"\"\")?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$")
 _VOCABULARY = sorted({w for _, text in TEMPLATES for w in words(text)})
 
 
@@ -72,11 +75,12 @@ class Matcher:
     def __init__(self, n: int, frequencies: dict[bytes, int]):
         self.weight = {w: 1.0 + math.log((n + 1) / (frequencies.get(w, 0) + 1)) for w in _VOCABULARY}
         self.unknown = 1.0 + math.log(n + 1)
-        self.templates, self.postings, self.signal = [], {}, set()
+        self.templates, self.vectors, self.postings, self.signal = [], [], {}, set()
         for k, (name, text) in enumerate(TEMPLATES):
             vector = {w: c * self.weight[w] for w, c in Counter(words(text)).items()}
             norm = math.sqrt(sum(x * x for x in vector.values()))
             self.templates.append((name, norm))
+            self.vectors.append((sum(Counter(words(text)).values()), vector))
             low = 0.0
             for w, x in sorted(vector.items(), key=lambda p: (p[1], p[0])):
                 self.postings.setdefault(w, []).append((k, x))
@@ -98,16 +102,34 @@ class Matcher:
         cosine, k = max((d / (self.templates[k][1] * math.sqrt(total)), -k) for k, d in dots.items())
         return (cosine, self.templates[-k][0]) if cosine >= LEAST_COSINE else None
 
+    def windows(self, own: list[bytes]) -> list[list[bytes]]:
+        """Runs of own as long as a template that can reach the cosine with it; none that can is left out."""
+        out, weight = [], self.weight
+        square = np.concatenate(([0.0], np.cumsum([weight.get(w, self.unknown) ** 2 for w in own])))
+        for (_, norm), (size, vector) in zip(self.templates, self.vectors, strict=True):
+            n = min(size, len(own))
+            dot = np.concatenate(([0.0], np.cumsum([vector.get(w, 0.0) * weight.get(w, 0.0) for w in own])))
+            # a vector is at least as long as its words would be if all were different
+            able = dot[n:] - dot[: len(dot) - n] >= LEAST_COSINE * norm * np.sqrt(square[n:] - square[: len(square) - n]) * (1 - 1e-9) - 1e-9
+            out += [own[i : i + n] for i in np.flatnonzero(able & (dot[n:] > dot[: len(dot) - n])).tolist()]
+        return out
+
     def scan(self, text: str | None) -> tuple[float, str] | None:
-        """The best licence of any line, sentence-like part, paragraph or the whole of the text; ties: the first found."""
+        """The best licence of any line, sentence-like part, paragraph, the whole of the text, or run of words; ties: the first found.
+
+        Comment marks are taken off and lines joined before sentences and runs as long as each template are compared.
+        """
         if not text or self.signal.isdisjoint(words(text)):
             return None
         parts = text.split("\n")
         parts += [s for line in parts for s in re.split(r"(?<=[.;])\s+", line) if s != line]
         parts += re.split(r"\n\s*\n", text)
         found = None
-        for part in dict.fromkeys(parts):
-            got = self.best(words(part))
+        joined = " ".join(_COMMENT.sub("", text).split())
+        parts += [joined, *re.split(r"(?<=[.;])\s+", joined)]
+        runs = [words(part) for part in dict.fromkeys(parts)]
+        for own in runs + [list(r) for r in dict.fromkeys(map(tuple, self.windows(words(joined))))]:
+            got = self.best(own)
             if got and (found is None or got[0] > found[0] + 1e-12):
                 found = got
         return found

@@ -252,6 +252,39 @@ def test_license_edges(spark):
     assert sorted(str((r.doc_id, r.license)) for r in licenses.scan_licenses(root, F.col("path")).collect()) == sorted(["(1, 'MIT')", "(2, 'MIT')", "(2, 'MIT')", "(None, None)"])
 
 
+MIT_HEADER = """Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD_HEADER = """Copyright (c) 2020, Some Body. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Neither the name of the author nor the names of its contributors may be used."""
+GPL_HEADER = """Some program, which does this and that for everyone who needs it.
+This work is licensed under the GNU General
+Public License, version 3. It comes with documentation, examples and a test
+suite of many parts."""
+
+
+@pytest.mark.parametrize("header, name", [(MIT_HEADER, "MIT"), (BSD_HEADER, "BSD-3-Clause"), (GPL_HEADER, "GPL-3.0")])
+@pytest.mark.parametrize("mark", ["", "// ", " * ", "# ", "-- "])
+def test_wrapped_headers(header, name, mark):
+    common = {b"the": 45_000, b"of": 44_000, b"and": 44_000, b"to": 44_000, b"in": 43_000, b"this": 30_000, b"is": 40_000, b"a": 45_000}
+    text = "\n".join((mark + line).rstrip() for line in header.split("\n")) + "\n\nint main() { return 0; }\n"
+    got = licenses.Matcher(50_000, common).scan("/*\n" + text + " */" if mark == " * " else text)
+    assert got and got[1] == name
+
+
 def test_signal_filter_is_exact():
     matcher = licenses.Matcher(1000, {b"the": 900, b"of": 800, b"under": 300})
     full = licenses.Matcher(1000, {b"the": 900, b"of": 800, b"under": 300})
