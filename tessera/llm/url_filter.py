@@ -15,7 +15,7 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 #: A level passes about this share of the keys that it must not hold; each level shrinks what the next one encodes.
 LEVEL_FPP = 0.01
 MAX_LEVELS = 64
-#: Bits of a level; the levels follow the rule list, not the corpus, so this bounds the list.
+#: Bits of a level; the first follows the rule list, later ones also the keys of the corpus that pass, so this bounds both.
 MAX_LEVEL_BITS = 1 << 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
