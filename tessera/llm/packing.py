@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ END_ID = 2
 #: A shard of the index: consecutive documents in lexical order, up to so many rows or characters.
 SHARD_DOCS, SHARD_CHARS = 1024, 4_000_000
 K1, B = 1.2, 0.75
+#: A term that one in so many documents of a shard holds has its weights in a dense row.
+DENSE_SHARE = 32
 #: Random directions of the sketch by which documents are ordered; sampled documents a leaf, and at most in all.
 SKETCH, LEAF_SAMPLE, MAX_SAMPLE = 64, 16, 1 << 18
 #: Tokens that a partition of the ordered documents should hold.
@@ -38,9 +41,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids, ascending, and how often each occurs."""
-    ids = np.sort(ids.astype(np.uint16) if len(ids) and ids.max() < 65536 else ids)
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    return ids[first], np.diff(np.append(first, len(ids)))
+    ids = np.sort(ids if ids.dtype == np.uint16 or not len(ids) or ids.max() > 65535 else ids.astype(np.uint16))
+    new = np.ones(len(ids) + 1, bool)
+    np.not_equal(ids[1:], ids[:-1], out=new[1:-1])
+    first = np.flatnonzero(new)
+    return ids[first[:-1]], first[1:] - first[:-1]
 
 
 @lru_cache(1)
@@ -96,35 +101,50 @@ class LexicalOrder:
 
 
 class Bm25Shard:
-    """Inverted index of one shard: for each term the documents that hold it and their BM25 weights."""
+    """Inverted index of one shard: for each term the documents that hold it and their BM25 weights.
+
+    Terms of many documents have a weight for each document instead, zero where it lacks them: a row is added faster
+    than a list of documents is followed.
+    """
 
     def __init__(self, docs: list[np.ndarray], whole: Statistics | None = None):
         self.n = len(docs)
         self.distinct, counts = zip(*map(distinct, docs), strict=True)
-        owner = np.repeat(np.arange(self.n), [len(t) for t in self.distinct])
+        sizes = np.array([len(t) for t in self.distinct])
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         term, tf = np.concatenate(self.distinct), np.concatenate(counts)
         length = np.array([len(d) for d in docs], np.float64)
-        order = np.argsort(term, kind="stable")
-        term, tf, self.owner = term[order], tf[order].astype(np.float64), owner[order]
-        self.first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
-        self.df = np.diff(np.append(self.first, len(term)))
-        of_all = whole or Statistics(self.n, length.sum(), self.df)
-        idf = of_all.idf(whole.df[term[self.first]] if whole else self.df)
-        norm = K1 * (1 - B + B * length[self.owner] / of_all.mean)
-        self.weight = np.repeat(idf, self.df) * tf * (K1 + 1) / (tf + norm)
-        self.place = np.full(int(term[-1]) + 1, -1, np.int32)  # of a term in first and df; -1: of no use
-        self.place[term[self.first]] = np.where(idf > 0, np.arange(len(self.first)), -1)
+        of_all = whole or Statistics(self.n, length.sum(), np.bincount(term))
+        norm = K1 * (1 - B + B * length / of_all.mean)
+        weight = of_all.idf(of_all.df[term]) * tf * (K1 + 1) / (tf + np.repeat(norm, sizes))
+        use = weight > 0
+        term, owner, weight = term[use], owner[use], weight[use].astype(np.float32)
+        df = np.bincount(term, minlength=1)
+        self.df, self.place = df, np.full(len(df), -1, np.int32)  # place: the row of a term in dense
+        common = np.flatnonzero(df * DENSE_SHARE >= self.n)
+        self.place[common] = np.arange(len(common))
+        row = self.place[term]
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        self.dense[row[row >= 0], owner[row >= 0]] = weight[row >= 0]
+        rare = np.flatnonzero(row < 0)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.owner, self.weight = owner[rare], weight[rare]
+        self.size = np.where(self.place < 0, df, 0)
+        self.first = np.concatenate(([0], np.cumsum(self.size)[:-1]))
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 scores of all documents of the shard for distinct terms."""
-        at = self.place[terms[terms < len(self.place)]]
-        at = at[at >= 0]
-        size = self.df[at]
-        total = int(size.sum())
-        if not total:
-            return np.zeros(self.n)
-        rows = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(total)
-        return np.bincount(self.owner[rows], self.weight[rows], self.n)
+        terms = terms[terms < len(self.df)]
+        terms = terms[self.df[terms] > 0]
+        rows = self.place[terms]
+        out = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float32).astype(np.float64)
+        terms = terms[rows < 0]
+        size = self.size[terms]
+        ends = np.cumsum(size)
+        if len(ends):
+            at = np.repeat(self.first[terms] - ends + size, size) + np.arange(ends[-1])
+            out += np.bincount(self.owner[at], self.weight[at], self.n)
+        return out
 
 
 class Packer:
@@ -206,16 +226,16 @@ def _encoded(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SHARD_DOCS):
                 part = batch.slice(at, SHARD_DOCS)
-                texts = [t.as_py() or "" for t in part.column(1)]
-                ids = [np.concatenate([x, end]) for x in words.encode(texts)]
+                chars = pc.utf8_length(part.column(1)).fill_null(0).cast(pa.int64())
+                ids = [np.concatenate([x, end]) for x in words.encode(part.column(1))]
                 packed = [x.astype("<u2" if x.max() < 65536 else "<u4").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(packed, pa.binary())], names=["id", "chars", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), chars, pa.array(map(len, ids), pa.int64()), pa.array(packed, pa.binary())], names=["id", "chars", "n", "ids"])
 
     return docs.mapInArrow(run, "id long, chars long, n long, ids binary")
 
 
 def _unpacked(ids: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype(np.uint32)
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
 
 
 def _documents(batch: pa.RecordBatch) -> list[np.ndarray]:

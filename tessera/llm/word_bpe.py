@@ -1,4 +1,4 @@
-"""Token ids of a word-end BPE file for many texts at once: each distinct word is encoded once, in NumPy.
+"""Token ids of a word-end BPE file for many texts at once, in NumPy: words are hashed, looked up, and merged once.
 
 The ids equal those of the tokenizers library, which encodes the rare words that the fast way leaves out.
 """
@@ -8,13 +8,20 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-#: Words, and pre-tokens, that are kept; on overflow only those of the running block stay. Bounds memory.
-MAX_CACHE = 1_200_000
-#: Characters of a block of texts.
-BLOCK_CHARS = 3_000_000
+#: Slots of the table of known words (a power of two), the share that is filled and the ids that are kept before all are
+#: forgotten. Bounds memory between blocks: 12 bytes a slot, 8 a word and 4 an id, 75 MB in all.
+WORD_BITS, FULL = 21, 0.6
+MAX_IDS = 8 << 20
+#: Bytes of the texts that are encoded at once; a text is never cut.
+BLOCK = 4 << 20
+#: Bytes of the longest word that is remembered.
+LONGEST = 64
+#: Bytes that are hashed at once.
+SEGMENT = 1 << 20
 NO_RANK = np.int32(1 << 30)
 
 
@@ -25,44 +32,91 @@ def _byte_chars() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
-class PairTable:
-    """(left, right) -> (rank, merged id), by open addressing over arrays."""
-
-    def __init__(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray, bits: int = 20):
-        self.mask = (1 << bits) - 1
-        self.keys = np.full(1 << bits, -1, np.int64)
-        self.ranks = np.full(1 << bits, NO_RANK, np.int32)
-        self.made = np.zeros(1 << bits, np.int32)
-        keys = left.astype(np.int64) << 32 | right
-        todo, step = np.arange(len(keys)), 0
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    return np.maximum(x ^ x >> np.uint64(29), np.uint64(1))
+
+
+class HashTable:
+    """Positive 64-bit keys -> int32 values, by open addressing over arrays."""
+
+    def __init__(self, bits: int):
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys that aren't there; the table grows where they don't fit."""
+        if self.n + len(keys) > 0.85 * len(self.keys):
+            held = np.flatnonzero(self.keys)
+            keys, values = np.concatenate([self.keys[held], keys]), np.concatenate([self.values[held], values])
+            self.__init__(max(self.bits, int(np.ceil(np.log2(len(keys) / 0.6)))))
+        self.n += len(keys)
+        todo, at = np.arange(len(keys)), self._slots(keys)
         while len(todo):
-            at = self._slot(keys[todo]) + step & self.mask
-            free = self.keys[at] < 0
+            free = self.keys[at] == 0
             first = np.zeros(len(todo), bool)
             first[np.unique(at, return_index=True)[1]] = True
             put = free & first
-            self.keys[at[put]], self.ranks[at[put]], self.made[at[put]] = keys[todo[put]], todo[put], merged[todo[put]]
-            todo, step = todo[~put], step + 1
-        self.steps = step
+            self.keys[at[put]], self.values[at[put]] = keys[todo[put]], values[todo[put]]
+            todo, at = todo[~put], at[~put] + 1 & len(self.keys) - 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' values, -1 where there is none."""
+        at = self._slots(keys)
+        got = self.keys[at]
+        out = np.where(got == keys, self.values[at], np.int32(-1))
+        todo = np.flatnonzero((got != keys) & (got != 0))
+        at = at[todo]
+        while len(todo):
+            at = at + 1 & len(self.keys) - 1
+            got = self.keys[at]
+            hit = got == keys[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            go = ~hit & (got != 0)
+            todo, at = todo[go], at[go]
+        return out
+
+
+class PairTable:
+    """(left, right) -> (rank, merged id)."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray):
+        self.table, self.merged = HashTable(18), np.append(merged, 0).astype(np.int32)
+        self.table.put(self._keys(left, right), np.arange(len(left), dtype=np.int32))
 
     @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+    def _keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) + np.uint64(1)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = left.astype(np.int64) << 32 | right
-        start = self._slot(keys)
-        rank, made = np.full(len(keys), NO_RANK, np.int32), np.zeros(len(keys), np.int32)
-        todo = np.arange(len(keys))
-        for step in range(self.steps):
-            at = start[todo] + step & self.mask
-            got = self.keys[at]
-            hit = got == keys[todo]
-            rank[todo[hit]], made[todo[hit]] = self.ranks[at[hit]], self.made[at[hit]]
-            todo = todo[~hit & (got >= 0)]
-            if not len(todo):
-                break
-        return rank, made
+        rank = self.table.find(self._keys(left, right))
+        return np.where(rank < 0, NO_RANK, rank), self.merged[rank]
+
+
+class Words:
+    """Hashes of byte strings that stand in one array: sums of a random number a byte times a power of its place."""
+
+    def __init__(self) -> None:
+        rng = np.random.default_rng(11)
+        self.of_byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+        base = 0x5851F42D4C957F2D
+        step = lambda x: np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(SEGMENT + LONGEST, x))))
+        self.power, self.inverse = step(np.uint64(base)), step(np.uint64(pow(base, -1, 1 << 64)))
+
+    def hashes(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts), np.uint64)
+        edges = np.searchsorted(starts, np.arange(0, len(raw) + SEGMENT, SEGMENT))
+        for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            if i < j:
+                part = raw[k * SEGMENT : (k + 1) * SEGMENT + LONGEST]
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(self.of_byte[part] * self.power[: len(part)], out=sums[1:])
+                at = starts[i:j] - k * SEGMENT
+                out[i:j] = (sums[at + sizes[i:j]] - sums[at]) * self.inverse[at]
+        return _mixed(out + sizes.astype(np.uint64))
 
 
 class WordEncoder:
@@ -72,15 +126,39 @@ class WordEncoder:
             spec = json.load(file)
         vocab, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         end = spec["model"]["end_of_word_suffix"]
-        self.pattern = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
+        pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        self.parts = regex.compile(f"(?:{pattern})|\n")
+        self.plain = regex.compile(r"(?V0)[!-įı-ɏ]*")
         chars = _byte_chars()
         self.inner = np.array([vocab[c] for c in chars], np.int32)
         self.last = np.array([vocab[c + end] for c in chars], np.int32)
         ids = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int64)
         self.table = PairTable(ids[:, 0], ids[:, 1], ids[:, 2])
-        self.cache: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-        self.plain = regex.compile(r"(?V0)[!-įı-ɏ]*")
+        self.words = Words()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = HashTable(WORD_BITS)
+        self.ids, self.first, self.n = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keep lists of these sizes, one after the other; their places."""
+        used = int(self.first[self.n])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.empty(len(ids) + used // 2, np.uint32)])
+        if self.n + len(sizes) >= len(self.first):
+            self.first = np.concatenate([self.first[: self.n + 1], np.zeros(len(sizes) + self.n // 2, np.int64)])
+        self.ids[used : used + len(ids)] = ids
+        self.first[self.n + 1 : self.n + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self.n += len(sizes)
+        return np.arange(self.n - len(sizes), self.n, dtype=np.int32)
+
+    def _take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists at these places, joined, and their sizes."""
+        start = self.first[places]
+        sizes = self.first[places + 1] - start
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(start - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
 
     def bpe(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths): the merges of all pieces, none empty, run side by side: each round joins every piece's lowest pair."""
@@ -132,66 +210,95 @@ class WordEncoder:
         order = np.argsort(piece, kind="stable")
         return ids[order].astype(np.uint32), np.bincount(piece, minlength=len(pieces))
 
-    def _parts(self, word: str) -> list[str] | None:
-        """The pre-tokens of a word of the plain alphabet; None: leave it to the library."""
-        if word.isascii():
-            if word.isalpha():
-                return [word.lower()]
-            if word[-1] in ".,;:!?" and word[:-1].isalpha():
-                return [word[:-1].lower(), word[-1]]
-        if "<|" in word or not self.plain.fullmatch(word):
-            return None
-        return [word.lower()] if word.isalpha() else self.pattern.findall(word.lower())
-
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of words into the cache."""
-        cache, pieces = self.cache, self.pieces
-        parts = list(map(self._parts, words))
-        fresh = list({p for own in parts if own for p in own} - pieces.keys())
-        if len(pieces) + len(fresh) > MAX_CACHE:
-            used = {p for own in parts if own for p in own if p in pieces}
-            self.pieces = pieces = {p: pieces[p] for p in used}
-        if fresh:
-            ids, sizes = self.bpe([p.encode("utf-8") for p in fresh])
-            raw, cut = ids.tobytes(), (np.concatenate(([0], np.cumsum(sizes))) * 4).tolist()
-            for i, p in enumerate(fresh):
-                pieces[p] = raw[cut[i] : cut[i + 1]]
-        hard = []
-        for w, own in zip(words, parts, strict=True):
-            if own is None:
-                hard.append(w)
-            else:
-                cache[w] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
-        if hard:
-            for w, e in zip(hard, self.library.encode_batch(hard, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _plain_places(self, words: list[str]) -> np.ndarray:
+        """Places of words of the plain alphabet, by way of their pre-tokens, of which those that aren't known are merged."""
+        parts = self.parts.findall("\n".join(words).lower())
+        raw = np.frombuffer(" ".join(parts).encode("utf-8"), np.uint8)
+        bounds = np.flatnonzero(raw == 32)
+        starts, ends = np.concatenate(([0], bounds + 1)), np.append(bounds, len(raw))
+        sizes = ends - starts
+        gap = raw[starts] == 10  # between one word's pre-tokens and the next one's
+        owner = np.cumsum(gap)[~gap]
+        starts, sizes = starts[~gap], sizes[~gap]
+        keys, first, code = np.unique(self.words.hashes(raw, starts, sizes), return_index=True, return_inverse=True)
+        places = self.known.find(keys)
+        fresh = np.flatnonzero(places < 0)
+        if len(fresh):
+            data = raw.tobytes()
+            a = starts[first[fresh]]
+            places[fresh] = self._add(*self.bpe([data[i:j] for i, j in zip(a.tolist(), (a + sizes[first[fresh]]).tolist(), strict=True)]))
+            self.known.put(keys[fresh], places[fresh])  # a pre-token alone is a word, too
+        place, n = places[code], np.bincount(owner, minlength=len(words))
+        out = np.empty(len(words), np.int32)
+        single = n == 1
+        of_single = single[owner]
+        out[single] = place[of_single]
+        ids, lengths = self._take(place[~of_single])
+        several = np.flatnonzero(~single)
+        out[several] = self._add(ids, np.bincount(np.searchsorted(several, owner[~of_single]), lengths, len(several)).astype(np.int64))
+        return out
+
+    def _library(self, words: list[str]) -> np.ndarray:
+        ids = [np.array(e.ids, np.uint32) for e in self.library.encode_batch(words, add_special_tokens=False)]
+        return self._add(np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Places of words that aren't known."""
+        if not words:
+            return np.empty(0, np.int32)
+        if "<|" not in (text := "\n".join(words)) and self.plain.fullmatch(text.replace("\n", "")):
+            return self._plain_places(words)
+        hard = np.array(["<|" in w or not self.plain.fullmatch(w) for w in words])
+        out = np.empty(len(words), np.int32)
+        out[hard] = self._library([w for w, is_hard in zip(words, hard, strict=True) if is_hard])
+        if not hard.all():
+            out[~hard] = self._plain_places([w for w, is_hard in zip(words, hard, strict=True) if not is_hard])
+        return out
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """The ids of each whole text; null is empty."""
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()).fill_null("")
         out: list[np.ndarray] = []
-        at = 0
-        while at < len(texts):
-            block, chars, get = [], 0, self.cache.get
-            fresh: set[str] = set()
-            while at < len(texts) and (not block or chars + len(texts[at] or "") <= BLOCK_CHARS):
-                chars += len(texts[at] or "")
-                words = (texts[at] or "").replace("\n", " ").split(" ")
-                found = list(map(get, words))
-                if None in found:
-                    fresh.update([w for w, ids in zip(words, found, strict=True) if ids is None])
-                block.append((words, found))
-                at += 1
-            if fresh:
-                if len(self.cache) + len(fresh) > MAX_CACHE:
-                    self.cache = {"": b""}  # what the block has found already stays in its lists
-                self._learn(list(fresh))
-            get = self.cache.get
-            for words, found in block:
-                if None in found:
-                    found = [get(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
-                out.append(np.frombuffer(b"".join(found), np.uint32))
+        if len(column):
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+            while len(out) < len(column):
+                at = len(out)
+                stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+                out += self._block(raw[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at])
         return out
 
+    def _block(self, raw: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """The ids of the texts raw[bounds[i] : bounds[i + 1]]."""
+        if self.known.n > FULL * (1 << WORD_BITS) or self.first[self.n] > MAX_IDS:
+            self._forget()
+        if not len(raw):
+            return [np.empty(0, np.uint32)] * (len(bounds) - 1)
+        # Words: runs without space or line end that don't cross from one text into the next.
+        inside = (raw != 32) & (raw != 10)
+        breaks = np.zeros(len(raw) + 1, bool)
+        breaks[bounds] = True
+        starts = np.flatnonzero(inside & (breaks[:-1] | np.concatenate(([True], ~inside[:-1]))))
+        sizes = np.flatnonzero(inside & (breaks[1:] | np.concatenate((~inside[1:], [True])))) + 1 - starts
+        short = sizes <= LONGEST
+        keys = self.words.hashes(raw, starts, np.minimum(sizes, LONGEST))
+        places = np.where(short, self.known.find(keys), -1)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            text = raw.tobytes()
+            word = lambda k: [text[a:b].decode() for a, b in zip(starts[k].tolist(), (starts[k] + sizes[k]).tolist(), strict=True)]
+            long, new = new[~short[new]], new[short[new]]
+            fresh, first, code = np.unique(keys[new], return_index=True, return_inverse=True)
+            found = self._learn(word(new[first]))
+            unknown = self.known.find(fresh) < 0  # a word can have become known as a pre-token of another
+            self.known.put(fresh[unknown], found[unknown])
+            places[new] = found[code]
+            if len(long):
+                places[long] = self._library(word(long))
+        ids, lengths = self._take(places)
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, bounds)].tolist()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
 
 _encoders: dict[str, WordEncoder] = {}
 

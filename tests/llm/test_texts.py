@@ -35,8 +35,8 @@ def test_ids_equal_the_library(path, monkeypatch):
     library = Tokenizer.from_file(path)
     want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert [x.tolist() for x in WordEncoder(path).encode(texts)] == want
-    monkeypatch.setattr(module, "MAX_CACHE", 50)
-    monkeypatch.setattr(module, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(module, "WORD_BITS", 6)
+    monkeypatch.setattr(module, "BLOCK", 500)
     assert [x.tolist() for x in WordEncoder(path).encode(texts)] == want
 
 
