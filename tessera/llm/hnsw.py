@@ -17,11 +17,12 @@ THRESHOLD = 0.9
 M = 12
 #: Beam while building, and the beam a search begins with.
 BUILD_BEAM, FIRST_BEAM = 48, 32
-#: Vectors of a shard at most, and shards at least; each query goes to every shard.
-SHARD_VECTORS, LEAST_SHARDS = 65_536, 4
-BLOCK_VECTORS = 4096
-#: Queries of an audit in each block and shard, and the share of planted neighbours they have to find.
-AUDIT_QUERIES, AUDIT_RECALL = 192, 0.995
+#: Bytes of vectors and links that a shard should hold, and shards at least; each query goes to every shard.
+SHARD_BYTES, LEAST_SHARDS = 48 << 20, 4
+#: Bytes of a block of queries, and blocks that a task takes to one copy of a shard: only blocks travel to every shard.
+BLOCK_BYTES, TASK_BLOCKS = 1 << 20, 16
+#: Queries of an audit of a shard, and the share of planted neighbours they have to find.
+AUDIT_QUERIES, AUDIT_RECALL = 512, 0.995
 #: Bytes of a table of visited nodes; decides how many queries walk side by side.
 VISITED_BYTES = 32 << 20
 
@@ -68,7 +69,7 @@ class Hnsw:
 
     def _choose(self, ids: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
         """Of each row's candidates up to width: first those nearer to the row than to any chosen one, then the nearest."""
-        k = min(ids.shape[1], 3 * width)
+        k = min(ids.shape[1], 2 * width)
         order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         valid = (ids >= 0) & (sims > -1.5)
@@ -100,14 +101,25 @@ class Hnsw:
         to, source = to[order], source[order]
         target, first, count = np.unique(to, return_index=True, return_counts=True)
         place = np.arange(len(to)) - np.repeat(first, count)
-        fits = place < 2 * width
-        fresh = np.full((len(target), 2 * width), -1, np.int64)
-        fresh[np.repeat(np.arange(len(target)), count)[fits], place[fits]] = source[fits]
-        old = links[target].astype(np.int64)
-        fresh[(fresh[:, :, None] == old[:, None, :]).any(2)] = -1
-        both = np.concatenate([old, fresh], axis=1)
-        sims = np.where(both >= 0, np.einsum("ijk,ik->ij", self.x[np.maximum(both, 0)], self.x[target]), -2)
-        links[target] = self._choose(both, sims, width)
+        row = np.repeat(np.arange(len(target)), count)
+        few = width // 3
+        for group in (count <= few, count > few):  # most get few, so that they compare few
+            if not group.any():
+                continue
+            number = np.cumsum(group) - 1
+            wide = min(2 * width, int(count[group].max()))
+            mine = group[row] & (place < wide)
+            fresh = np.full((int(group.sum()), wide), -1, np.int64)
+            fresh[number[row[mine]], place[mine]] = source[mine]
+            old = links[target[group]].astype(np.int64)
+            fresh[(fresh[:, :, None] == old[:, None, :]).any(2)] = -1
+            both = np.concatenate([old, fresh], axis=1)
+            room = (both >= 0).sum(1) <= width  # all fit
+            all_in = both[room]
+            links[target[group][room]] = np.take_along_axis(all_in, np.argsort(all_in < 0, axis=1, kind="stable"), 1)[:, :width]
+            both, full = both[~room], target[group][~room]
+            sims = np.where(both >= 0, np.einsum("ijk,ik->ij", self.x[np.maximum(both, 0)], self.x[full]), -2)
+            links[full] = self._choose(both, sims, width)
 
     def _enter(self, q: np.ndarray, below: int, default: np.ndarray) -> np.ndarray:
         entry = np.tile(default[:1], (len(q), 1))
@@ -124,57 +136,55 @@ class Hnsw:
 
     def _walk(self, links: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of all rows of q side by side; each step opens the best unopened nodes of every beam."""
-        n, wide = len(q), 1 if beam <= 8 else 4
+        n, size, wide = len(q), len(self.x), 1 if beam <= 8 else min(4, beam)
         ids, sims = np.full((n, beam), -1, np.int64), np.full((n, beam), -3, np.float32)
-        opened = np.ones((n, beam), bool)
-        visited = np.zeros((n, len(self.x)), bool)
-        entry = np.where(np.arange(entry.shape[1]) < beam, entry, -1)[:, :beam]
+        todo = np.full((n, beam), -4, np.float32)  # similarity of the nodes that aren't opened
+        visited = np.zeros(n * size, bool)
+        entry = entry[:, :beam]
         ok = entry >= 0
-        seen_sims = np.where(ok, np.einsum("ijk,ik->ij", self.x[np.maximum(entry, 0)], q), -3)
-        ids[:, : entry.shape[1]], sims[:, : entry.shape[1]], opened[:, : entry.shape[1]] = entry, seen_sims, ~ok
-        visited[np.repeat(np.arange(n), entry.shape[1])[ok.ravel()], entry.ravel()[ok.ravel()]] = True
+        k = entry.shape[1]
+        ids[:, :k] = entry
+        sims[:, :k] = todo[:, :k] = np.where(ok, np.einsum("ijk,ik->ij", self.x[np.maximum(entry, 0)], q), -3)
+        visited[(np.arange(n)[:, None] * size + entry)[ok]] = True
         live = np.arange(n)
         while len(live):
-            todo = np.where(opened[live], -4, sims[live])
-            if wide == 1:
-                pick = todo.argmax(1)[:, None]
-            else:
-                w = min(wide, beam)
-                pick = np.argpartition(-todo, w - 1, axis=1)[:, :w]
-            good = np.take_along_axis(todo, pick, 1) > -3
+            open_sims = todo.take(live, axis=0)
+            pick = open_sims.argmax(1)[:, None] if wide == 1 else np.argpartition(-open_sims, wide - 1, axis=1)[:, :wide]
+            cell = pick + np.arange(len(live))[:, None] * beam
+            good = open_sims.ravel().take(cell) > -3
             some = good.any(1)
-            live, pick, good = live[some], pick[some], good[some]
-            if not len(live):
-                break
-            opened[live[:, None], pick] = True
-            near = links[np.where(good, ids[live[:, None], pick], 0)]
-            near = np.where(good[:, :, None], near, -1).reshape(len(live), -1)
-            row = np.repeat(np.arange(len(live)), near.shape[1]).reshape(near.shape)
-            new = (near >= 0) & ~visited[live[row], np.maximum(near, 0)]
-            r, c = row[new], near[new]
-            if not len(r):
+            if not some.all():
+                live, pick, good = live[some], pick[some], good[some]
+                if not len(live):
+                    break
+            cell = pick + live[:, None] * beam
+            todo.ravel()[cell] = -4
+            row, slot = np.nonzero(good)
+            near = links.take(ids.ravel().take(cell[row, slot]), axis=0)
+            flat = near + (live[row] * size)[:, None]
+            flat = flat[near >= 0]
+            flat = flat[~visited.take(flat)]
+            if not len(flat):
                 continue
-            flat = np.sort(r.astype(np.int64) * len(self.x) + c)
+            visited[flat] = True
+            flat.sort()
             flat = flat[np.concatenate(([True], flat[1:] != flat[:-1]))]
-            r, c = flat // len(self.x), flat % len(self.x)
-            visited[live[r], c] = True
-            s = np.einsum("ij,ij->i", self.x[c], q[live[r]])
-            better = s > sims[live].min(1)[r]
+            r, c = np.divmod(flat, size)  # of all queries, ascending
+            s = np.einsum("ij,ij->i", self.x.take(c, axis=0), q.take(r, axis=0))
+            better = s > sims.min(1).take(r)
             r, c, s = r[better], c[better], s[better]
             if not len(r):
                 continue
-            first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))  # r is sorted
-            rows, count = r[first], np.diff(np.append(first, len(r)))
+            first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            own, count = r[first], np.diff(np.append(first, len(r)))
             width = int(count.max())
-            place = np.arange(len(r)) - np.repeat(first, count)
-            at = np.repeat(np.arange(len(rows)), count)
-            add_ids, add_sims = np.full((len(rows), width), -1, np.int64), np.full((len(rows), width), -3, np.float32)
-            add_ids[at, place], add_sims[at, place] = c, s
-            own = live[rows]
-            all_ids, all_sims = np.concatenate([ids[own], add_ids], 1), np.concatenate([sims[own], add_sims], 1)
-            all_open = np.concatenate([opened[own], add_ids < 0], 1)
-            keep = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-            ids[own], sims[own], opened[own] = (np.take_along_axis(a, keep, 1) for a in (all_ids, all_sims, all_open))
+            place = np.arange(len(r)) - np.repeat(first, count) + np.repeat(np.arange(len(own)) * (beam + width) + beam, count)
+            all_ids, all_sims, all_todo = np.full((len(own), beam + width), -1, np.int64), np.full((len(own), beam + width), -3, np.float32), np.full((len(own), beam + width), -4, np.float32)
+            all_ids[:, :beam], all_sims[:, :beam], all_todo[:, :beam] = ids.take(own, axis=0), sims.take(own, axis=0), todo.take(own, axis=0)
+            all_ids.ravel()[place] = c
+            all_sims.ravel()[place] = all_todo.ravel()[place] = s
+            keep = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam] + (np.arange(len(own)) * (beam + width))[:, None]
+            ids[own], sims[own], todo[own] = all_ids.ravel().take(keep), all_sims.ravel().take(keep), all_todo.ravel().take(keep)
         return ids, sims
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,16 +199,16 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def linked(graph: Hnsw, exact: np.ndarray, q: np.ndarray, threshold: float, beam: int = FIRST_BEAM, audit: int = AUDIT_QUERIES) -> tuple[np.ndarray, np.ndarray, int]:
-    """(rows of q, nodes, beam used): all pairs with cosine >= threshold in double precision that the search finds.
+def audited_beam(graph: Hnsw, exact: np.ndarray, threshold: float, beam: int = FIRST_BEAM, audit: int = AUDIT_QUERIES) -> int | None:
+    """The beam with which the graph passes its audit; None: none that is worth more than a full scan does.
 
-    exact: the shard's unit vectors in double; q: the queries'. The audit moves vectors of the shard to just above
-    the threshold and searches for them; while too few are found the beam doubles, and a beam as wide as a sixteenth
-    of the shard is a full scan. A query whose beam is half full of links may have more, so it scans the shard too.
+    The audit moves vectors of the shard to just above the threshold and searches for them; while too few are found
+    the beam doubles. The graph is tried at every size; only after a failed audit a beam as wide as a sixteenth of
+    the shard gives way to the scan.
     """
     n = len(exact)
     rng = np.random.default_rng(3)
-    pick = np.linspace(0, n - 1, min(n, audit)).astype(int)
+    pick = np.unique(np.linspace(0, n - 1, min(n, audit)).astype(int))
     noise = rng.normal(size=(len(pick), exact.shape[1]))
     base = exact[pick]
     noise -= (noise * base).sum(1, keepdims=True) * base
@@ -206,15 +216,26 @@ def linked(graph: Hnsw, exact: np.ndarray, q: np.ndarray, threshold: float, beam
     cos = min(1.0, threshold + 0.01)
     moved = np.where(length > 1e-12, cos * base + np.sqrt(1 - cos * cos) * noise / np.maximum(length, 1e-12), base)
     moved = moved.astype(np.float32)
-    while beam < n / 16:
+    while True:
         ids, sims = graph.search(moved, beam)
         found = (ids == pick[:, None]).any(1) | ((sims >= threshold - 1e-4).sum(1) > beam // 2)  # a crowded beam leads to a scan
         if found.mean() >= AUDIT_RECALL:
-            break
+            return beam
         beam *= 2
+        if beam >= n / 16:
+            return None
+
+
+def linked(graph: Hnsw, exact: np.ndarray, q: np.ndarray, threshold: float, beam: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of q, nodes): all pairs with cosine >= threshold in double precision that the search finds.
+
+    exact: the shard's unit vectors in double; q: the queries'. A query whose beam is half full of links may have
+    more, so it scans the shard; without a beam all do.
+    """
+    n = len(exact)
     q32 = q.astype(np.float32)
-    rows, nodes = [], []
-    if beam < n / 16:
+    rows, nodes, scan = [], [], np.arange(len(q))
+    if beam is not None:
         ids, sims = graph.search(q32, beam)
         near = (sims >= threshold - 1e-4) & (ids >= 0)
         crowded = near.sum(1) > beam // 2
@@ -223,24 +244,25 @@ def linked(graph: Hnsw, exact: np.ndarray, q: np.ndarray, threshold: float, beam
         rows.append(r)
         nodes.append(ids[r, c])
         scan = np.flatnonzero(crowded)
-    else:
-        scan = np.arange(len(q))
     step = max(1, (8 << 20) // max(1, n))
     for i in range(0, len(scan), step):
         part = scan[i : i + step]
         r, c = np.nonzero(q32[part] @ graph.x.T >= threshold - 1e-4)
         rows.append(part[r])
         nodes.append(c)
-    r, c = np.concatenate(rows), np.concatenate(nodes)
+    r, c = np.concatenate([np.empty(0, np.int64), *rows]), np.concatenate([np.empty(0, np.int64), *nodes])
     ok = np.zeros(len(r), bool)
     for i in range(0, len(r), 1 << 16):
         ok[i : i + (1 << 16)] = np.einsum("ij,ij->i", q[r[i : i + (1 << 16)]], exact[c[i : i + (1 << 16)]]) >= threshold
-    return r[ok], c[ok], beam
+    return r[ok], c[ok]
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
+def _pack(raw: np.ndarray, **arrays: np.ndarray) -> bytes:
+    """The vectors, in single precision where that loses nothing, and other arrays."""
+    with np.errstate(over="ignore"):
+        short = raw.astype(np.float32)
     out = io.BytesIO()
-    np.savez(out, **arrays)
+    np.savez(out, raw=short if np.array_equal(short, raw) else raw, **arrays)
     return out.getvalue()
 
 
@@ -257,35 +279,45 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     fine = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = materialize(rows.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("key", F.when(F.col("fine"), F.sha2(F.to_json(F.struct(F.transform("v", lambda c: c + 0.0).alias("v"))), 256))), "vectors")
     nodes = materialize(rows.where("fine").groupBy("key").agg(F.min("id").alias("node"), F.max("id").alias("last"), F.count("*").alias("copies"), F.first("v").alias("v")).withColumn("dim", F.size("v")), "nodes")
-    n = nodes.count()
-    n_shards = max(LEAST_SHARDS, -(-n // SHARD_VECTORS))
-    n_blocks = max(1, -(-n // BLOCK_VECTORS))
+    size = nodes.agg(F.sum(F.col("dim").cast("long")).alias("cells"), F.count("*").alias("n")).first()
+    n_bytes = 8 * (size["cells"] or 0)
+    n_shards = max(LEAST_SHARDS, -(-(n_bytes + 9 * M * size["n"]) // SHARD_BYTES))
+    n_blocks = max(1, -(-n_bytes // BLOCK_BYTES))
+    n_tasks = -(-n_blocks // TASK_BLOCKS)
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node", kind="stable")
         raw = np.array(frame["v"].tolist(), float)
-        exact = unit(raw)
-        graph = Hnsw(exact.astype(np.float32))
+        graph = Hnsw(unit(raw).astype(np.float32))
         arrays = {f"n{i}": a for i, (a, _) in enumerate(graph.layers)} | {f"l{i}": b for i, (_, b) in enumerate(graph.layers)}
-        return pd.DataFrame({"dim": frame["dim"].iloc[:1].astype("int32"), "shard": frame["shard"].iloc[:1].astype("int32"), "graph": [_pack(exact=exact, node=frame["node"].to_numpy(), copies=frame["copies"].to_numpy(), layers=np.array([len(graph.layers)]), **arrays)]})
+        return pd.DataFrame({"dim": frame["dim"].iloc[:1].astype("int32"), "shard": frame["shard"].iloc[:1].astype("int32"), "data": [_pack(raw, node=frame["node"].to_numpy(), copies=frame["copies"].to_numpy(), layers=np.array([len(graph.layers)]), **arrays)]})
 
     def block(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": frame["dim"].iloc[:1].astype("int32"), "block": frame["block"].iloc[:1].astype("int32"), "queries": [_pack(exact=unit(np.array(frame["v"].tolist(), float)), node=frame["node"].to_numpy(), copies=frame["copies"].to_numpy())]})
+        return pd.DataFrame({"dim": frame["dim"].iloc[:1].astype("int32"), "block": frame["block"].iloc[:1].astype("int32"), "data": [_pack(np.array(frame["v"].tolist(), float), node=frame["node"].to_numpy())]})
 
-    shards = materialize(nodes.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int")).groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, graph binary"), "graphs")
-    blocks = materialize(nodes.withColumn("block", F.pmod(F.xxhash64("key", F.lit("block")), F.lit(n_blocks)).cast("int")).groupBy("dim", "block").applyInPandas(block, "dim int, block int, queries binary"), "blocks")
-    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).join(shards, ["dim", "shard"]).repartition(max(2, n_shards * n_blocks), "dim", "shard", "block")
+    shards = materialize(nodes.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int")).groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, data binary"), "graphs")
+    blocks = materialize(nodes.withColumn("block", F.pmod(F.xxhash64("key", F.lit("block")), F.lit(n_blocks)).cast("int")).groupBy("dim", "block").applyInPandas(block, "dim int, block int, data binary"), "blocks")
+    # A shard goes to n_tasks tasks, a block to one task of each shard; in a task the shard comes before its blocks.
+    sent = shards.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(n_tasks - 1)))).withColumn("block", F.lit(-1)).select("dim", "shard", "task", "block", "data")
+    sent = sent.unionByName(blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).withColumn("task", F.pmod("block", F.lit(n_tasks))))
+    sent = sent.repartitionById(n_shards * n_tasks, (F.col("shard") * n_tasks + F.col("task")).cast("int")).sortWithinPartitions("dim", "shard", "task", "block")
 
     def search(batches):
+        held = None
         for batch in batches:
             for i in range(batch.num_rows):
-                b = np.load(io.BytesIO(batch.column(0)[i].as_py()))
-                g = np.load(io.BytesIO(batch.column(1)[i].as_py()))
-                exact, node, copies, query, mine = g["exact"], g["node"], g["copies"], b["exact"], b["node"]
-                graph = Hnsw.__new__(Hnsw)
-                graph.x = exact.astype(np.float32)
-                graph.layers = [(g[f"n{k}"], g[f"l{k}"]) for k in range(int(g["layers"][0]))]
-                r, c, _ = linked(graph, exact, query, threshold)
+                place, data = batch.column(0)[i].as_py(), np.load(io.BytesIO(batch.column(1)[i].as_py()))
+                exact, mine = unit(data["raw"].astype(np.float64)), data["node"]
+                if place["block"] < 0:
+                    graph = Hnsw.__new__(Hnsw)
+                    graph.x = exact.astype(np.float32)
+                    graph.layers = [(data[f"n{k}"], data[f"l{k}"]) for k in range(int(data["layers"][0]))]
+                    held = (place["dim"], place["shard"]), graph, exact, mine, data["copies"], audited_beam(graph, exact, threshold)
+                    continue
+                if held is None or held[0] != (place["dim"], place["shard"]):
+                    continue  # no vector of this length is in the shard
+                _, graph, shard, node, copies, beam = held
+                r, c = linked(graph, shard, exact, threshold, beam)
                 other = mine[r] != node[c]
                 r, c = r[other], c[other]
                 count = np.bincount(r, copies[c], len(mine)).astype(np.int64)
@@ -293,7 +325,7 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "
                 u, v = local_forest(mine[r], node[c])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([mine[some], u])), pa.array(np.concatenate([count[some], np.zeros(len(u), np.int64)])), pa.array([None] * len(some) + v.tolist(), pa.int64())], names=["node", "n", "other"])
 
-    found = materialize(pairs.select("queries", "graph").mapInArrow(search, "node long, n long, other long"), "links")
+    found = materialize(sent.select(F.struct("dim", "shard", "block").alias("place"), "data").mapInArrow(search, "node long, n long, other long"), "links")
     counts = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
     repeated = rows.where("fine").groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("id")
     bridges = rows.where("fine").join(repeated, "id").join(nodes.select("key", "node"), "key").select(F.col("id").alias("u"), F.col("node").alias("v"))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import hnsw, simhash
 from tessera.llm.shared import connected_components, local_forest
@@ -172,8 +173,43 @@ def test_graph_search_has_recall_and_widens():
     x = hnsw.unit(rng.normal(size=(3000, 24)))
     q = hnsw.unit(x[:400] + rng.normal(size=(400, 24)) * 0.05)
     graph = hnsw.Hnsw(x.astype(np.float32))
-    r, c, beam = hnsw.linked(graph, x, q, 0.9, beam=8)
+    beam = hnsw.audited_beam(graph, x, 0.9, beam=8)
+    r, c = hnsw.linked(graph, x, q, 0.9, beam)
     want = np.argwhere(q @ x.T >= 0.9)
-    assert len(graph.layers) >= 2 and beam >= 8
+    assert len(graph.layers) >= 2 and beam and beam >= 8
     assert len(set(zip(r, c, strict=True))) >= 0.99 * len(want)
     assert set(zip(r, c, strict=True)) <= {tuple(p) for p in want}
+    r, c = hnsw.linked(graph, x, q, 0.9, None)  # the scan that follows a failed audit
+    assert set(zip(r, c, strict=True)) == {tuple(p) for p in want}
+
+
+def test_small_shards_use_their_graph(monkeypatch):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 40, 125, 500):
+        x = hnsw.unit(rng.normal(size=(n, 64)))
+        graph = hnsw.Hnsw(x.astype(np.float32))
+        assert hnsw.audited_beam(graph, x, 0.9) is not None
+        q = hnsw.unit(x + rng.normal(size=x.shape) * 0.02)
+        want = {tuple(p) for p in np.argwhere(q @ x.T >= 0.9)}
+        assert len(want & set(zip(*hnsw.linked(graph, x, q, 0.9, hnsw.FIRST_BEAM), strict=True))) >= 0.99 * len(want)
+    monkeypatch.setattr(hnsw, "AUDIT_RECALL", 1.1)
+    assert hnsw.audited_beam(graph, x, 0.9) is None
+
+
+def test_query_over_shards_of_thousands(spark, tmp_path, monkeypatch):
+    """The whole query where graphs, several blocks and several tasks a shard are at work."""
+    monkeypatch.setattr(hnsw, "BLOCK_BYTES", 1 << 17)
+    monkeypatch.setattr(hnsw, "TASK_BLOCKS", 4)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(5500, 24))
+    near = base[rng.integers(0, 1500, 2500)] + rng.normal(size=(2500, 24)) * 0.3
+    x = np.concatenate([base, near]).astype(np.float32)
+    spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r for r in hnsw.op1_embedding_dedup(spark, str(tmp_path)).collect()}
+    unit = hnsw.unit(x.astype(float))
+    links = np.argwhere(np.triu(unit @ unit.T >= 0.9, 1))
+    count = np.bincount(links.ravel(), minlength=len(x))
+    want = components(range(len(x)), links.tolist())
+    assert sum(r.n_links for r in got.values()) >= 0.99 * count.sum() and all(r.n_links <= count[i] for i, r in got.items())
+    same = sum(got[i].component_id == c for i, c in want.items())
+    assert same >= 0.99 * len(x) and all(r.kept == (i == r.component_id) for i, r in got.items())
