@@ -180,17 +180,23 @@ def is_held_out(id_col) -> object:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1
 
 
+def _taught(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stats, label) of the rows of stats(id, stats) that a label teaches."""
+    taught = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~is_held_out(F.col("id")))
+    return stats.join(taught, "id").select("stats", "label")
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", statistics_table: DataFrame | None = None) -> DataFrame:
     """(id, held_out, score, predicted) of each row of docs.
 
     Learns from labels(doc_id, quality) whose id isn't held out, and only from texts. Labels that are null or not 0
-    or 1 teach nothing; without any label the score is 0.5. Null and empty texts get the score of an empty text.
-    Rows with a null id are scored, never held out and teach nothing. Repeated rows are scored each for itself.
+    or 1 teach nothing; several labels of an id teach one each; without any label the score is 0.5. Null and empty
+    texts get the score of an empty text; very long ones are measured whole. Rows with a null id are scored, never
+    held out and teach nothing. Repeated rows are scored each for itself. Equal raw scores get equal scores. Of docs
+    only id_col and text_col are read, so other columns can have any names. No rows: none out.
     """
     stats = materialize(document_statistics(docs, id_col, text_col), "statistics") if statistics_table is None else statistics_table
-    taught = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label")).where("id is not null and label in (0, 1)").where(~is_held_out(F.col("id")))
-    rows = materialize(stats.join(taught, "id").select("stats", "label"), "taught")
-    model = fit(rows)
+    model = fit(materialize(_taught(stats, labels), "taught"))
 
     def run(batches):
         for batch in batches:
@@ -208,10 +214,32 @@ def crc_held_out(doc_id: int) -> bool:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the ids whose every row is predicted 0; a null id stays."""
-    scored = score_documents(docs, labels, id_col, text_col)
-    bad = scored.where("id is not null").groupBy("id").agg(F.max("predicted").alias("best")).where("best = 0").select(F.col("id").alias("__gone"))
-    return docs.join(bad, docs[id_col] == bad["__gone"], "left_anti")
+    """docs without the rows that are predicted 0; the columns and all other rows stay as they are.
+
+    Statistics are written beside their row, so that a row is judged where it is and no text is shuffled. What
+    score_documents() says of nulls, empty and very long texts, labels and repeated rows holds here; rows with a null
+    id are judged as well. Other columns can have any names.
+    """
+    columns, place = docs.columns, docs.columns.index(text_col)
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("stats", T.ArrayType(T.DoubleType()))])
+
+    def measure(batches):
+        for batch in batches:
+            rows = [statistics(t.as_py()).astype(np.float64) for t in batch.column(0).field(place).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["row", "stats"])
+
+    rows = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).mapInArrow(measure, schema), "measured")
+    model = fit(materialize(_taught(rows.select(F.col("row").getField(id_col).cast("long").alias("id"), "stats"), labels), "taught"))
+    if model is None:
+        return rows.select("row.*")
+
+    def judge(batches):
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, len(STATISTICS))
+            kept = batch.column(0).filter(pa.array(model.score(x) >= 0.5))
+            yield pa.RecordBatch.from_arrays(kept.flatten(), names=columns)
+
+    return rows.mapInArrow(judge, docs.schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
