@@ -12,16 +12,14 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
+from tessera.llm.shared import LONGEST, WordHashes, column_bytes, split_words
+
 #: Slots of the table of known words (a power of two), the share that is filled and the ids that are kept before all are
 #: forgotten. Bounds memory between blocks: 12 bytes a slot, 8 a word and 4 an id, 75 MB in all.
 WORD_BITS, FULL = 21, 0.6
 MAX_IDS = 8 << 20
 #: Bytes of the texts that are encoded at once; a text is never cut.
 BLOCK = 4 << 20
-#: Bytes of the longest word that is remembered.
-LONGEST = 64
-#: Bytes that are hashed at once.
-SEGMENT = 1 << 20
 NO_RANK = np.int32(1 << 30)
 
 
@@ -32,11 +30,6 @@ def _byte_chars() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
-    return np.maximum(x ^ x >> np.uint64(29), np.uint64(1))
-
-
 class HashTable:
     """Positive 64-bit keys -> int32 values, by open addressing over arrays."""
 
@@ -96,29 +89,6 @@ class PairTable:
         return np.where(rank < 0, NO_RANK, rank), self.merged[rank]
 
 
-class Words:
-    """Hashes of byte strings that stand in one array: sums of a random number a byte times a power of its place."""
-
-    def __init__(self) -> None:
-        rng = np.random.default_rng(11)
-        self.of_byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-        base = 0x5851F42D4C957F2D
-        step = lambda x: np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(SEGMENT + LONGEST, x))))
-        self.power, self.inverse = step(np.uint64(base)), step(np.uint64(pow(base, -1, 1 << 64)))
-
-    def hashes(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        out = np.empty(len(starts), np.uint64)
-        edges = np.searchsorted(starts, np.arange(0, len(raw) + SEGMENT, SEGMENT))
-        for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-            if i < j:
-                part = raw[k * SEGMENT : (k + 1) * SEGMENT + LONGEST]
-                sums = np.zeros(len(part) + 1, np.uint64)
-                np.cumsum(self.of_byte[part] * self.power[: len(part)], out=sums[1:])
-                at = starts[i:j] - k * SEGMENT
-                out[i:j] = (sums[at + sizes[i:j]] - sums[at]) * self.inverse[at]
-        return _mixed(out + sizes.astype(np.uint64))
-
-
 class WordEncoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -134,7 +104,7 @@ class WordEncoder:
         self.last = np.array([vocab[c + end] for c in chars], np.int32)
         ids = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], np.int64)
         self.table = PairTable(ids[:, 0], ids[:, 1], ids[:, 2])
-        self.words = Words()
+        self.words = WordHashes(11)
         self._forget()
 
     def _forget(self) -> None:
@@ -257,15 +227,12 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """The ids of each whole text; null is empty."""
-        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()).fill_null("")
+        raw, offsets = column_bytes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         out: list[np.ndarray] = []
-        if len(column):
-            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-            while len(out) < len(column):
-                at = len(out)
-                stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
-                out += self._block(raw[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at])
+        while len(out) < len(offsets) - 1:
+            at = len(out)
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+            out += self._block(raw[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at])
         return out
 
     def _block(self, raw: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -274,12 +241,7 @@ class WordEncoder:
             self._forget()
         if not len(raw):
             return [np.empty(0, np.uint32)] * (len(bounds) - 1)
-        # Words: runs without space or line end that don't cross from one text into the next.
-        inside = (raw != 32) & (raw != 10)
-        breaks = np.zeros(len(raw) + 1, bool)
-        breaks[bounds] = True
-        starts = np.flatnonzero(inside & (breaks[:-1] | np.concatenate(([True], ~inside[:-1]))))
-        sizes = np.flatnonzero(inside & (breaks[1:] | np.concatenate((~inside[1:], [True])))) + 1 - starts
+        starts, sizes = split_words((raw == 32) | (raw == 10), bounds)
         short = sizes <= LONGEST
         keys = self.words.hashes(raw, starts, np.minimum(sizes, LONGEST))
         places = np.where(short, self.known.find(keys), -1)

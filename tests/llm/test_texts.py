@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -258,15 +259,19 @@ def test_pipeline_equals_plain_python(spark):
     import corpus_pipeline
     from tessera.llm.decontaminate import words
     from tests.llm.test_filters import slow_lines, slow_passages
-    from tests.llm.test_pairs import components, near, slow_fingerprint
+    from tessera.llm import similar_texts
+    from tests.llm.test_pairs import components
+    from tests.llm.test_similar import distances, jaccard
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     scores = {r.id: r.predicted for r in quality.score_documents(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if scores[r.doc_id])
     rows = [(i, t) for i, _, _, t in slow_lines(rows)]
-    fps = [slow_fingerprint(t) for _, t in rows]
-    label = components([i for i, _ in rows], [(rows[a][0], rows[b][0]) for a, b in near(fps)])
+    far = distances(similar_texts.sketches(pa.array([t for _, t in rows])))
+    label = components([i for i, _ in rows], [(rows[a][0], rows[b][0]) for a, b in np.argwhere(np.triu(far <= similar_texts.bit_budget(0.8), 1)).tolist()])
+    alike = [(a, b) for a in range(len(rows)) for b in range(a) if far[a, b] < 100 and jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    assert alike and all(label[rows[a][0]] == label[rows[b][0]] for a, b in alike)
     rows = [(i, t) for i, t in rows if label[i] == i]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     grams = {tuple(words(t)[j : j + 3]) for _, t in items for j in range(len(words(t)) - 2)}
@@ -287,3 +292,29 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).dtypes == docs.dtypes
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated ids and rows, clashing names, and empty tables."""
+    import corpus_pipeline
+
+    item = " ".join(f"item{i}" for i in range(40))
+    spark.createDataFrame([(1, item), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, None), (4, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "some good words of a text that stays", "en", "a", 1, 1), (1, "some good words of a text that stays", "en", "a", 1, 1), (2, None, None, None, None, None), (None, "a line that is here twice", "en", "a", 5, 2), (3, "", "de", "b", 0, 3), (4, f"before {item} after", "en", "b", 9, 4), (5, "long " * 40_000, "en", "b", 200_000, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, stats int").repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, docs.limit(0), str(tmp_path))
+        got = stage(spark, docs, str(tmp_path))
+        assert nothing.count() == 0
+        if name == "packing":
+            assert {r.doc_id for r in got.collect()} == {1, 2, 3, 4, 5, None}
+            continue
+        assert got.columns == docs.columns == nothing.columns
+        left = sorted((r.doc_id for r in got.collect()), key=str)
+        if name == "line_dedup":
+            assert left == sorted((r[0] for r in rows), key=str)
+        elif name == "near_dedup":
+            assert left == sorted([1, 1, 2, None, 4, 5], key=str)
+        elif name == "decontaminate":
+            assert left == sorted([1, 1, 2, None, 3, 5], key=str)
