@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import xxhash
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import materialize
+from tessera.llm.shared import delete_at_exit, materialize, remove, scratch_path
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CODE_POINTS = 10
@@ -45,55 +48,80 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class LineRuns:
-    """Line hashes seen so far: levels of sorted runs, each run a Parquet table with its keys once.
+    """Line hashes seen so far: levels of sorted runs, each run a table bucketed and sorted by key, with its keys once.
 
-    add() takes the next batch: it is anti-joined with the runs by a merge join and its new keys become a
-    run of level 0. FANOUT runs of a level are compacted to one of the next, so that there are never more
-    than FANOUT - 1 runs in a level and a key is rewritten once a level.
+    add() takes the next batch: its keys are merge-joined with the runs one after the other, which are read as they lie,
+    without exchange or sort, and its new keys become a run of level 0. FANOUT runs of a level are compacted to one of
+    the next, so that there are never more than FANOUT - 1 runs in a level and a key is rewritten once a level.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
-        self.levels: list[list[DataFrame]] = []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = []
+        self._paths: dict[str, str] = {}
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
-
-    def seen(self) -> DataFrame | None:
-        out = None
-        for run in self.runs():
-            out = run if out is None else out.unionByName(run)
-        return out
-
-    def _push(self, run: DataFrame, level: int) -> None:
+        return [self.spark.table(run) for level in self.levels for run in level]
+
+    def _push(self, keys: DataFrame, level: int) -> None:
+        name = f"tessera_run_{uuid.uuid4().hex}"
+        path = scratch_path(self.spark, "run")
+        keys.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        delete_at_exit(self.spark, path)
+        self._paths[name] = path
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(run)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
-            merged = None
-            for one in self.levels[level]:
+            merged, full = None, self.levels[level]
+            for one in map(self.spark.table, full):
                 merged = one if merged is None else merged.unionByName(one)
             self.levels[level] = []
-            self._push(self._sorted(merged), level + 1)
-
-    def _sorted(self, keys: DataFrame) -> DataFrame:
-        return materialize(keys.repartition("key").sortWithinPartitions("key"), "run")
+            self._push(merged, level + 1)
+            self._forget(full)
+
+    def _forget(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, self._paths.pop(name))
+
+    def close(self) -> None:
+        """Drop all runs; what add() returned has to be written before."""
+        self._forget([run for level in self.levels for run in level])
+        self.levels = []
+
+    def marked(self, keys: DataFrame) -> DataFrame:
+        """(key, first, last, known) for each key of keys(id, key): its smallest and largest id, and whether a run has it."""
+        out = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).withColumn("known", F.lit(False))
+        for run in self.runs():
+            out = out.join(run.withColumn("hit", F.lit(True)).hint("merge"), "key", "left").withColumn("known", F.col("known") | F.col("hit").isNotNull()).drop("hit")
+        return out
 
     def add(self, keys: DataFrame) -> DataFrame:
         """(id, key) rows of keys(id, key) that are repeats: the key is in a run, or a smaller id of the batch has it."""
-        firsts = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        known = self.seen()
-        if known is None:
-            firsts = materialize(firsts.withColumn("known", F.lit(False)), "firsts")
-        else:
-            marks = known.withColumn("hit", F.lit(True))
-            firsts = materialize(firsts.join(marks.hint("merge"), "key", "left").withColumn("known", F.col("hit").isNotNull()).drop("hit"), "firsts")
+        with _sorted_scans(self.spark):
+            firsts = materialize(self.marked(keys), "firsts")
         again = firsts.where("known or first < last").select("key", "first", "known")
         repeats = keys.join(again.hint("merge"), "key").where("known or id > first").select("id", "key")
-        self._push(self._sorted(firsts.where("not known").select("key")), 0)
+        self._push(firsts.where("not known").select("key"), 0)
         return repeats
 
 
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Let Spark know that a bucket of one file is sorted, and read buckets as such, while a plan is made and run."""
+    wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def _rest(text: str | None, gone: set[bytes]) -> tuple[int, int, str]:
     lines = (text or "").split("\n")
     if not gone:
@@ -109,8 +137,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     holds them, where all of them stay. digest_only: instead (id, n_lines, n_dropped, kept_sha256). The batches
     are slices of the ids in ascending order, so "seen before" and "in a smaller id" are the same. A null or
     empty text is one empty line and becomes an empty text. Rows with a null id keep all lines. Repeated ids are
-    one document: its lines stay in each of its rows. A clashing n_lines or n_dropped column is replaced. No
-    rows: none out.
+    one document: its lines stay in each of its rows. Very long texts and lines are hashed whole, a line by its 128-bit
+    hash alone, and the row of a text travels with the keys that it loses. A clashing n_lines or n_dropped column is
+    replaced; other columns can have any names. No rows: none out.
     """
     spark = docs.sparkSession
     slices = F.pmod(F.lit(0), F.lit(1))
@@ -123,6 +152,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         part = runs.add(path_keys.where(F.col("slice") == b).drop("slice"))
         gone = part if gone is None else gone.unionByName(part)
     lists = materialize(gone.groupBy("id").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("id", "__id"), "gone")
+    runs.close()
     kept_fields = [] if digest_only else [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
     base = docs.select(F.col(id_col).cast("long").alias("__own"), F.col(text_col).cast("string").alias("__text"), *([] if digest_only else [F.struct(*[F.col(f"`{f.name}`") for f in kept_fields]).alias("__row")]))
     joined = base.join(lists, base["__own"] == lists["__id"], "left")

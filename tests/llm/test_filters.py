@@ -111,7 +111,37 @@ def test_runs_are_compacted_and_incremental(spark):
         repeats = runs.add(keys).count()
         assert repeats == 9 - (3 if b == 0 else 1)
     assert all(len(level) < line_dedup.FANOUT for level in runs.levels) and len(runs.runs()) < 7
-    assert runs.seen().count() == 9
+    assert sum(run.count() for run in runs.runs()) == 9
+    runs.close()
+    assert not runs.runs()
+
+
+def test_runs_are_read_as_they_lie(spark):
+    """No exchange and no sort stands above a run when a batch meets it."""
+    runs = line_dedup.LineRuns(spark)
+    for b in range(2):
+        runs.add(spark.createDataFrame([(i, bytes([i])) for i in range(b * 30, b * 30 + 50)], "id long, key binary"))
+    keys = line_dedup.materialize(spark.createDataFrame([(i, bytes([i])) for i in range(60, 100)], "id long, key binary"), "keys")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    with line_dedup._sorted_scans(spark):
+        marked = runs.marked(keys)
+        marked.collect()
+        plan = marked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.split("\n")
+    scans = [i for i, x in enumerate(lines) if "Scan parquet" in x and "tessera_run" in x]
+    assert len(scans) == 2 and plan.count("SortMergeJoin") == 2
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*0123456789()|"))
+    for i in scans:
+        at, below = i, depth(lines[i])
+        while "SortMergeJoin" not in lines[at]:  # upwards along the run's own branch
+            at -= 1
+            if depth(lines[at]) < below:
+                below = depth(lines[at])
+                assert "Exchange" not in lines[at] and "Sort [" not in lines[at], plan
+    assert {r.first for r in marked.where("known").collect()} == set(range(60, 80))
+    runs.close()
 
 
 def test_lines_sql(spark):
