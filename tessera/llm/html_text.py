@@ -11,17 +11,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements that end a text block; the rest (a, b, span, ...) run on within it.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements within a text block; all others end it.
+INLINE = frozenset("""
+a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em embed font i img ins kbd label mark object q rp rt ruby s samp small span strike strong
+sub sup time tt u var video wbr svg g text tspan math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics annotation
+""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template iframe object svg math title textarea select option canvas audio video xmp noembed noframes".split())
-BOILER_TAGS = frozenset("nav footer aside form button menu dialog fieldset address".split())
+#: Elements whose content is no text of the page: code, styles, the page's name, and what a form offers.
+RAW = frozenset("script style template title textarea select datalist".split())
+BOILER_TAGS = frozenset("nav footer header aside form button menu dialog fieldset address".split())
 MAIN_TAGS = frozenset("article main".split())
-HEAD_TAGS = frozenset(["header"])
-BOILER_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|topbar|foot\w*|sidebar\w*|side|aside|widget\w*|related|share\w*|social|comments?|commentlist|respond|reply|replies|disqus\w*|discussion|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|search\w*|copyright|legal|pagination|pager|tags?|skip\w*|toolbar|hidden)(?:$|[\s_-])")
-MAIN_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body|text|page)(?:$|[\s_-])")
-ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "form": -1, "dialog": -1, "alert": -1, "main": 1, "article": 1}
+#: Words of which the names of boilerplate are made: one of the first, and else only of the first and second.
+BOILER_WORDS = frozenset("""
+ad ads advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion promotions nav navbar navigation menu menus breadcrumb breadcrumbs
+header masthead topbar foot footer sidebar sidebars side aside widget widgets related share shares sharing social comment comments commentlist respond reply replies
+disqus discussion cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login search copyright legal pagination pager skip toolbar hidden
+""".split())
+PLAIN_WORDS = frozenset("""
+main site page global top bottom left right list lists item items box boxes bar bars wrap wrapper container inner outer section block area group holder row col content body
+link links post posts article articles story stories entry entries text message messages form panel button buttons icon icons title heading bg primary secondary mobile desktop
+""".split())
+MAIN_WORDS = frozenset("article articlebody content main post postbody entry story storybody".split())
+ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "form": -1, "dialog": -1, "alertdialog": -1, "alert": -1, "main": 1, "article": 1}
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
@@ -32,13 +44,28 @@ class Block:
     text: str
     words: int
     linked: int
-    main: bool
+    #: 1, -1: the nearest element that says what it is is main text, boilerplate; 0: none does.
+    standing: int
     boiler: bool
     heading: bool
+    item: bool
+
+
+def _named(value: str) -> tuple[int, int]:
+    """(main, boiler) of a class or id: names of which every part is known."""
+    main = boiler = 0
+    for name in value.split():
+        parts = [x.lower() for x in _PARTS.findall(name) if not x.isdigit()]
+        ours = BOILER_WORDS.intersection(parts)
+        if ours and all(x in BOILER_WORDS or x in PLAIN_WORDS or x in MAIN_WORDS for x in parts):
+            boiler = 1
+        elif parts and all(x in MAIN_WORDS or x in ("text", "body", "the", "single", "main") for x in parts) and MAIN_WORDS.intersection(parts):
+            main = 1
+    return main, boiler
 
 
-def _hint(tag: str, attributes: str) -> tuple[int, int]:
-    """(main, boiler) of an element by its tag, role, class and id."""
+def _hint(tag: str, attributes: str) -> int:
+    """1: the element says that it holds main text, by its tag, role, class or id; -1: boilerplate; 0: neither."""
     main, boiler = int(tag in MAIN_TAGS), int(tag in BOILER_TAGS)
     if attributes and tag not in ("html", "body"):
         for m in ATTRIBUTE.finditer(attributes):
@@ -49,20 +76,19 @@ def _hint(tag: str, attributes: str) -> tuple[int, int]:
             elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
                 boiler = 1
             elif name in ("class", "id"):
-                boiler = max(boiler, int(bool(BOILER_NAME.search(value))))
-                main = max(main, int(bool(MAIN_NAME.search(value))))
-    return main, boiler
+                main, boiler = map(max, (main, boiler), _named(value))
+    return -1 if boiler else int(main)
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The page's text blocks in order: runs of text between block-level tags, without scripts, styles and titles."""
+    """The page's text blocks in order: runs of text between block-level tags, without code, styles and the page's name."""
     page = page or ""
     out: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # tag, main, boiler
+    stack: list[tuple[str, int, int]] = []  # tag, what it says, what was said around it
     opened: dict[str, int] = {}  # how many of a tag are in the stack
-    in_main = in_boiler = in_link = heading = at = 0
+    standing = in_boiler = in_link = heading = at = 0
 
     def flush() -> None:
         nonlocal text, linked
@@ -70,25 +96,24 @@ def blocks(page: str | None) -> list[Block]:
             line = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if line:
                 words = len(line.split(" "))
-                out.append(Block(line, words, min(words, len(html.unescape(" ".join(linked)).split())), in_main > 0, in_boiler > 0, heading > 0))
+                out.append(Block(line, words, min(words, len(html.unescape(" ".join(linked)).split())), standing, in_boiler > 0, heading > 0, bool(opened.get("li"))))
             text, linked = [], []
 
-    def push(tag: str, main: int, boiler: int) -> None:
-        nonlocal in_main, in_boiler
-        stack.append((tag, main, boiler))
+    def push(tag: str, says: int) -> None:
+        nonlocal standing, in_boiler
+        stack.append((tag, says, standing))
         opened[tag] = opened.get(tag, 0) + 1
-        in_main += main
-        in_boiler += boiler
+        standing = says or standing
+        in_boiler += says < 0
 
     def close(tag: str) -> None:
         """Take elements off the stack down to the last open one of this tag."""
-        nonlocal in_main, in_boiler
+        nonlocal standing, in_boiler
         name = ""
         while opened.get(tag) and name != tag:
-            name, main, boiler = stack.pop()
+            name, says, standing = stack.pop()
             opened[name] -= 1
-            in_main -= main
-            in_boiler -= boiler
+            in_boiler -= says < 0
 
     while True:
         m = TOKEN.search(page, at)
@@ -109,23 +134,22 @@ def blocks(page: str | None) -> list[Block]:
                 flush()
             if not attributes.rstrip().endswith("/"):
                 end_tag = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end_tag.end() if end_tag else (len(page) if tag in ("script", "style", "textarea", "title") else at)
+                at = end_tag.end() if end_tag else (len(page) if tag != "template" else at)
             continue
         if tag == "a":
             in_link = 0 if closing else 1
         if tag == "br":
             text.append(" ")
-        side = tag in HEAD_TAGS
         if tag in INLINE:  # on the stack only where its text isn't of the block around it
             if closing:
                 if opened.get(tag):
                     flush()
                     close(tag)
-            elif attributes and tag not in VOID and _hint(tag, attributes)[1]:
+            elif attributes and tag not in VOID and _hint(tag, attributes) < 0:
                 flush()
-                push(tag, 0, 1)
+                push(tag, -1)
             elif opened.get(tag):
-                push(tag, 0, 0)
+                push(tag, 0)
             continue
         flush()
         if tag[0] == "h" and tag[1:] in ("1", "2", "3", "4", "5", "6"):
@@ -136,49 +160,97 @@ def blocks(page: str | None) -> list[Block]:
             if tag in ("p", "li", "tr", "td", "th", "dd", "dt") and stack and stack[-1][0] == tag:  # end tags that may be left out
                 close(tag)
             if not attributes.endswith("/"):
-                main, boiler = _hint(tag, attributes)
-                push(tag, main, max(boiler, int(side)))
+                push(tag, _hint(tag, attributes))
         else:
             close(tag)
     flush()
     return out
 
 
-FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "in_main", "in_boiler", "page_has_main", "heading")
+FEATURES = ("words", "link_density", "previous_words", "previous_link_density", "next_words", "next_link_density", "before", "after", "standing", "in_boiler", "heading", "item")
+#: Blocks on either side among which "before" and "after" look for the longest run of words that aren't links.
+NEAR = 4
 
 
 def features(page: list[Block]) -> np.ndarray:
-    """A row for each block: its own and its neighbours' word count and link density, and where it stands."""
+    """A row for each block: its own and its neighbours' word count and link density, the longest prose near it, and what
+    its elements say."""
     if not page:
         return np.zeros((0, len(FEATURES)))
     words = np.array([b.words for b in page], float)
-    density = np.array([b.linked for b in page], float) / words
-    shifted = lambda x, by: np.concatenate((np.zeros(1), x[:-1])) if by < 0 else np.concatenate((x[1:], np.zeros(1)))
-    main, boiler = np.array([b.main for b in page], float), np.array([b.boiler for b in page], float)
-    return np.stack([words, density, shifted(words, -1), shifted(density, -1), shifted(words, 1), shifted(density, 1), main, boiler, np.full(len(page), float(main.any())), np.array([b.heading for b in page], float)], axis=1)
-
-
-#: The labelled table: pages written for this purpose; in each, blocks of the main text begin with "+".
-LABELLED = [
-    "<body><nav><ul><li><a href=1>- Home</a></li><li><a href=2>- News</a></li></ul></nav><div class=ad>- Buy now for less, only today in our shop.</div><article><h1>+ The river</h1><p>+ Rain fell for three days and the river rose above its old banks.</p><p>+ Then.</p><p>+ People moved their cattle to the hills and waited for the water to fall again.</p></article><footer>- (c) The paper, all rights reserved.</footer></body>",
-    "<body><header>- The Daily</header><main><h2>+ Bread</h2><p>+ Mix flour.</p><p>+ Bake.</p><p>+ It rests for an hour under a <a href=x>cloth</a>.</p><section class=comments><p>- I tried it and it was lovely, thanks for the long and detailed recipe.</p></section></main><aside>- More of our recipes</aside></body>",
-    "<body><div id=menu><a href=1>- Start</a></div><div><p>+ Old walls stand at the edge of the village, where the road from the north comes down to the lake and turns.</p><p>+ Nobody knows who built them, although two letters in the town's archive speak of a monk who drew their plan.</p></div><div><a href=2>- Imprint</a> <a href=3>- Privacy</a></div></body>",
-    "<body><div><a href=1>- Home</a> <a href=1>- Sport</a></div><p>+ The team won its third game in a row on Sunday after a slow first half in front of nine thousand people.</p><p>+ Its coach praised the young keeper, who had come on only an hour before the end of the match.</p><div>- Follow us</div></body>",
-    "<body><div class='cookie-notice'>- We use cookies to improve this site and to measure how it is used by all of our many visitors.</div><article><p>+ Short.</p><ul><li>+ One</li><li>+ Two</li></ul><p>+ See <a href=1>this</a></p><p>+ <a href=2>All of a paragraph can be a link in an article</a></p></article><form>- Your mail <button>- Send</button></form></body>",
-    "<body><article><header>- By a writer, on Monday</header><h1>+ Bees</h1><p>+ Bees dance to tell others where flowers are.</p><nav><a href=1>- Next</a></nav><aside>- Advertisement: honey from the south, two jars for the price of one.</aside><p>+ Their dance has a direction.</p><footer>- Filed under nature</footer></article></body>",
-    "<body><p>- Menu</p><p>- Login</p><p>+ A long report about the harbour follows here, with words enough that it can be nothing else than the main text.</p><p>+ Ships of every size lay at anchor in the bay that morning, and their crews waited for the pilot to come aboard.</p><p>- <a href=1>More about harbours and ships in our large archive of stories</a></p></body>",
-    "<body><main><p>+ Yes.</p><p>+ No.</p><div class=sidebar><p>- The ten most read stories of this week, chosen for you by our editors and readers.</p></div></main></body>",
-    "<body><h1>+ Trains to the coast run again</h1><p>+ After eleven weeks of repairs the line to the coast is open and trains run every hour in both directions.</p><p>+ The bridge has a new deck and stronger piers, the company said, and it will carry heavier trains than before.</p><h3>- Share</h3><p>- Mail</p></body>",
-    "<body><nav><a href=1>- Home</a></nav><article><h1>+ Snow</h1><p>+ It.</p><p>+ Snow lay deep on the pass, and no coach had come over it since the week before Christmas, said the host.</p><p>+ Nothing.</p></article></body>",
-    "<body><article><p>+ Wool is washed, combed and spun before it can be dyed.</p><p>+ Yes.</p></article><p>- Read on</p><p>- Subscribe to our letter and get the best stories of the week in your box every Friday, free of charge.</p></body>",
-    "<body><p>- Skip</p><article><h2>+ Salt</h2><p>+ Salt was once paid to soldiers.</p></article><p>- Terms</p></body>",
-    "<body><article><p>+ <a href=1>A</a> and <a href=2>B</a></p><p>+ C is the third of the letters that children learn at school, and some of them find it the hardest one.</p><p>+ D.</p></article></body>",
-    "<body><p>- Today in this paper</p><main><h1>+ Night</h1><p>+ Owls hunt.</p><p>+ They see well.</p><p>+ Mice hide under the leaves until the moon has gone down behind the wood and the field lies in the dark.</p><p>+ Morning.</p></main><p>- Our address and all of our telephone numbers are found on the page with contacts, please don't write letters.</p></body>",
-    "<body><div class=ad>- New cars.</div><article><h1>+ Wind</h1><p>+ Mills.</p><p>+ Sails turn.</p><p>+ Flour falls.</p></article><footer>- End</footer></body>",
-    "<body><p>- Top</p><article><p>+ Glass is made of sand.</p><p>+ <a href=1>Sand</a></p><p>+ Lime is added to make it last, and soda so that it melts at a heat that an oven can reach.</p></article><p>- Up</p></body>",
-    "<body><header>- All the news of the valley and the towns around it, printed every week since the year of the great flood</header><div><p>+ The old mill burned down on Tuesday night, and the fire brigade of three villages could not save its great wheel.</p></div><div class=comments><p>- I remember the mill from my childhood, when my uncle took me there on Saturdays to buy our flour for the week.</p></div><footer>- All rights reserved, no part of this page may be copied or stored without the written permission of the publisher</footer></body>",
-    "<body><div class=cookie-banner>- This site stores small files on your device so that it can remember you when you come back, and so do our partners.</div><p>+ A comet will be seen low in the west after sunset during the next two weeks, if the sky over the hills is clear.</p><div class=sidebar>- Read next how a farmer from the next village found a stone that fell from the sky, and what became of the stone.</div></body>",
+    linked = np.array([b.linked for b in page], float)
+    density = linked / words
+
+    def at(x: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros(len(x))
+        if by < 0:
+            out[-by:] = x[:by]
+        else:
+            out[: len(x) - by] = x[by:]
+        return out
+
+    prose = words - linked
+    before = np.max([at(prose, -k) for k in range(1, min(NEAR, len(page)) + 1) if k < len(page)] or [np.zeros(len(page))], axis=0)
+    after = np.max([at(prose, k) for k in range(1, min(NEAR, len(page)) + 1) if k < len(page)] or [np.zeros(len(page))], axis=0)
+    next_to = lambda x, by: at(x, by) if len(page) > 1 else np.zeros(1)
+    said = [np.array([getattr(b, name) for b in page], float) for name in ("standing", "boiler", "heading", "item")]
+    return np.stack([words, density, next_to(words, -1), next_to(density, -1), next_to(words, 1), next_to(density, 1), before, after, *said], axis=1)
+
+
+#: The labelled table: parts of pages, written for this purpose. "+" begins a block of the main text, "-" any other;
+#: ~9 stands for nine words. A page is a top, one or two notes, a body, what follows it, and an end.
+TOPS = [
+    "<nav><ul><li><a>- ~1</a></li><li><a>- ~1</a></li><li><a>- ~2</a></li></ul></nav>", "<header><div>- ~3</div><nav><a>- ~1</a><a>~1</a></nav></header>", "<div><a>- ~1</a> <a>~1</a> <a>~2</a></div>",
+    "<div id=menu><a>- ~1</a></div><div class=breadcrumbs>- ~4</div>", "<div><ul><li>- ~1</li><li>- ~2</li><li>- ~1</li></ul></div>", "<p>- ~1</p><p>- ~1</p>", "<ul><li><a>- ~2</a></li><li><a>- ~1</a></li><li><a>- ~3</a></li><li><a>- ~2</a></li></ul>",
+    "<header>- ~18</header>", "<table><tr><td><a>- ~1</a></td><td><a>- ~2</a></td><td><a>- ~2</a></td></tr></table>", "", "<div>- ~2</div><div><a>- ~3</a></div>",
+    "<ul><li>- ~1</li><li>- ~2</li></ul>", "<div>- ~2</div><ul><li>- ~3</li><li>- ~2</li><li>- ~2</li><li>- ~1</li></ul>", "<ul><li>- ~2</li><li>- ~2</li><li>- ~4</li></ul>",
+]
+NOTES = [
+    "", "", "<div class=ad>- ~9</div>", "<div class='cookie-notice'>- ~20</div>", "<aside>- ~5 <a>~3</a></aside>", "<div><a>- ~6</a></div><div><a>- ~8</a></div>", "<form>- ~3 <button>- ~1</button></form>", "<div class=ad-banner>- ~30</div>",
+    "<div class=sidebar><h3>- ~2</h3><p>- ~12</p><ul><li><a>- ~5</a></li><li><a>- ~6</a></li></ul></div>", "<div role=alert>- ~14</div>", "<div class=widget><a>- ~4</a> - ~1</div>",
+]
+BODIES = [
+    "<article><h1>+ ~5</h1><p>+ ~40</p><p>+ ~2</p><p>+ ~25</p></article>", "<article><h1>+ ~2</h1><p>+ ~3</p><p>+ ~1</p></article>", "<main><h2>+ ~3</h2><p>+ ~9 <a>~1</a> ~4</p><ul><li>+ ~2</li><li>+ ~1</li></ul><p>+ ~30</p></main>",
+    "<article><header><h1>+ ~6</h1><p>- ~5</p></header><p>+ ~35</p><aside>- ~15</aside><p>+ ~20</p><footer>- ~6</footer></article>", "<div><h1>+ ~6</h1><p>+ ~45</p><p>+ ~30</p><p>+ ~5</p><p>+ ~38</p></div>",
+    "<p>+ ~40</p><p>+ ~22</p><p>+ ~31</p>", "<div class=content><p>+ ~12</p><p><a>+ ~9</a></p><p>+ ~6</p></div>", "<div><p>+ ~50</p><ul><li>+ ~6</li><li>+ ~9</li><li>+ ~2</li></ul><p>+ ~26</p></div>",
+    "<article><p>+ ~28</p><p>+ <a>~1</a> ~1 <a>~1</a></p><p>+ ~33</p><blockquote>+ ~11</blockquote><p>+ ~1</p></article>", "<div class=widget><article><p>+ ~36</p><p>+ ~44</p></article></div>", "<main><p>+ ~1</p><p>+ ~1</p></main>",
+    "<div><h2>+ ~4</h2><p>+ ~60 <a>~4</a> ~20</p><h2>+ ~3</h2><p>+ ~35</p><p>+ ~2</p><p>+ ~41</p></div>", "<table><tr><td>+ ~40<br>~30</td></tr><tr><td>+ ~25</td></tr></table>", "<div class=story><h1>+ ~3</h1><p>+ ~4</p><div class=ad>- ~7</div><p>+ ~5</p></div>",
+    "<article><h1>+ ~7</h1><ul><li><a>+ ~4</a></li><li>+ ~5 <a>~2</a></li></ul><p>+ ~18</p></article>", "<div><p>+ ~33</p><div><a>- ~5</a></div><p>+ ~29</p></div>", "<div><h1>+ ~8</h1><p>+ ~24</p><p>+ ~9</p><p>+ ~27</p><p>+ ~7</p><p>+ ~3</p><p>+ ~30</p></div>",
+]
+FOLLOWS = [
+    "", "", "<section class=comments><h3>- ~1</h3><p>- ~25</p><p>- ~40</p><p>- ~3</p></section>", "<div id=disqus>- ~30</div>", "<div class='related-posts'><h3>- ~2</h3><ul><li><a>- ~6</a></li><li><a>- ~5</a></li></ul></div>", "<div><h3><a>- ~2</a></h3><a>- ~7</a></div>",
+    "<ul class=comment-list><li>- ~18</li><li>- ~33</li></ul>", "<p><a>- ~8</a></p><p><a>- ~6</a></p>", "<aside><article><h4><a>- ~6</a></h4><p><a>- ~10</a></p></article></aside>",
 ]
+ENDS = ["<footer>- ~7</footer>", "<footer><p>- ~20</p><a>- ~1</a></footer>", "<div><a>- ~1</a> <a>~2</a></div>", "<div>- ~3</div>", "<p>- ~1</p>", "", "<div class=copyright>- ~9</div>", "<ul><li><a>- ~1</a></li><li><a>- ~1</a></li></ul>"]
+#: Pages of few blocks, as they are.
+WHOLE = ["<p>+ ~4</p>", "<p>+ ~13</p>", "+ ~8", "<nav>- ~1</nav>", "<nav><a>- ~2</a></nav><footer>- ~5</footer>", "<div><a>- ~1</a> <a>~1</a></div>", "<h1>+ ~3</h1><p>+ ~9</p>", "<p>+ ~7</p><p>+ ~12</p>", "<div>+ ~16<br>~9</div>", "<div class=ad>- ~8</div>"]
+#: Pages that are made of the parts; in each, numbers of nine words and more are multiplied by one of these.
+N_PAGES, SCALES = 600, (0.5, 0.8, 1.0, 1.5)
+
+
+def labelled_pages(seed: int = 4) -> list[str]:
+    """Pages of the labelled table: every part with others in turn, in a drawn order, and the whole pages."""
+    rng = np.random.default_rng(seed)
+    kinds = (TOPS, NOTES, BODIES, FOLLOWS, ENDS)
+    orders = [np.concatenate([rng.permutation(len(k)) for _ in range(-(-N_PAGES // len(k)))])[:N_PAGES] for k in kinds]
+    made = ["".join(part[k] for part, k in zip(kinds, own, strict=True)) for own in zip(*orders, strict=True)]
+    scales = rng.choice(SCALES, N_PAGES).tolist()
+    filled = lambda page, by: re.sub("~([0-9]+)", lambda m: " ".join(["word"] * (int(m[1]) if int(m[1]) < 9 else round(int(m[1]) * by))), page)
+    return [f"<body>{filled(page, by)}</body>" for page, by in zip(made, scales, strict=True)] + [f"<body>{filled(page, by)}</body>" for page in WHOLE for by in SCALES]
+
+
+def labelled_rows(seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of all blocks of the labelled pages."""
+    rows, labels = [], []
+    for page in labelled_pages(seed):
+        own = blocks(page)
+        labels += [b.text.startswith("+") for b in own]
+        for b in own:  # the marks are no words of the page
+            marks = sum(x in "+-" for x in b.text.split(" "))
+            b.words = max(1, b.words - marks)
+            b.linked = min(b.linked, b.words)
+        rows.append(features(own))
+    return np.concatenate(rows), np.array(labels, float)
 
 
 @dataclass
@@ -200,46 +272,45 @@ class Tree:
         return out
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> Tree:
-    """CART by Gini impurity; ties go to the first feature and lowest limit."""
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 9, least: int = 4) -> Tree:
+    """CART by Gini impurity, leaves of at least so many blocks; ties go to the first feature and lowest limit."""
     share = float(labels.mean())
-    best, gini = None, lambda y: 2 * y.mean() * (1 - y.mean()) * len(y)
+    whole, best = 2 * share * (1 - share) * len(labels), None
     if depth and 0 < share < 1:
-        for f in range(rows.shape[1] - 1, -1, -1):
-            values = np.unique(rows[:, f])
-            for limit in (values[1:] + values[:-1]) / 2:
-                low = rows[:, f] <= limit
-                cost = gini(labels[low]) + gini(labels[~low])
-                if cost < gini(labels) - 1e-9 and (best is None or cost < best[0] - 1e-9):
-                    best = (cost, f, float(limit), low)
+        for f in range(rows.shape[1]):
+            order = np.argsort(rows[:, f], kind="stable")
+            x, ones = rows[order, f], np.cumsum(labels[order])
+            cut = np.flatnonzero(x[1:] > x[:-1])
+            n = cut + 1.0
+            cut, n = cut[(n >= least) & (len(x) - n >= least)], n[(n >= least) & (len(x) - n >= least)]
+            if len(cut):
+                low, high = ones[cut], ones[-1] - ones[cut]
+                cost = 2 * low * (1 - low / n) + 2 * high * (1 - high / (len(x) - n))
+                k = int(np.argmin(cost))
+                if cost[k] < (best[0] if best else whole) - 1e-9:
+                    best = (cost[k], f, float(x[cut[k]] + x[cut[k] + 1]) / 2)
     if best is None:
         return Tree(share=share)
-    _, f, limit, low = best
-    return Tree(f, limit, share, grow(rows[low], labels[low], depth - 1), grow(rows[~low], labels[~low], depth - 1))
+    _, f, limit = best
+    low = rows[:, f] <= limit
+    return Tree(f, limit, share, grow(rows[low], labels[low], depth - 1, least), grow(rows[~low], labels[~low], depth - 1, least))
 
 
 _tree: list[Tree] = []
 
 
 def trained_tree() -> Tree:
+    """Grown once in a process."""
     if not _tree:
-        rows, labels = [], []
-        for page in LABELLED:
-            own = blocks(page)
-            labels += [b.text.startswith("+") for b in own]
-            for b in own:  # the mark is no word of the page
-                b.words = max(1, b.words - 1)
-                b.linked = min(b.linked, b.words)
-            rows.append(features(own))
-        _tree.append(grow(np.concatenate(rows), np.array(labels, float)))
+        _tree.append(grow(*labelled_rows()))
     return _tree[0]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, tree: Tree | None = None) -> str:
     own = blocks(page)
     if not own:
         return ""
-    keep = trained_tree().predict(features(own))
+    keep = (tree or trained_tree()).predict(features(own))
     return " ".join(b.text for b, k in zip(own, keep, strict=True) if k)
 
 
@@ -247,13 +318,14 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     """(keep..., text, n_chars) of each row, from its whole html.
 
     Null, empty and text-free html gives an empty text. A page is parsed in one pass in its own row, so long,
-    broken and repeated pages are rows like any other. Other columns aren't read; keep can't hold text or n_chars.
+    broken and repeated pages are rows like any other, and equal pages get equal texts. Other columns aren't read; keep
+    can't hold text or n_chars. No rows: none out.
     """
-    kept = pages.select(*keep)
+    kept, tree = pages.select(*keep), trained_tree()
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(0)]
+            texts = [main_text(x.as_py(), tree) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names[1:], "text", "n_chars"])
 
     from pyspark.sql import types as T
