@@ -10,17 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 1: the word counts, 0: any word may stand there.
-MASKS = ("111111", "1111011", "1101111", "11101101")
 #: Words of the window around a hit that must agree, and the share of them; items with fewer words need all of theirs.
 WINDOW = 13
 SIMILARITY = 0.8
+#: 1: the word counts, 0: any word may stand there. However the two words lie in which a window may differ, one of these
+#: fits beside them at some place (a test tries all), so that no window of a passage is missed.
+MASKS = ("11101011", "110100111")
+#: For items shorter than a window, whose words all have to agree.
+SHORT_MASK = "111111"
 #: Items with fewer words are no evidence and match nothing.
 LEAST_WORDS = 6
 #: Characters of the items that one scan of the documents takes along; more items are taken in more scans.
 BLOCK_CHARS = 16_000_000
 _SPACED = bytes(32 if b < 48 or 58 <= b < 97 or 123 <= b < 128 else b for b in range(256))
-_PAD = max(map(len, MASKS))
+_PAD = max(map(len, (*MASKS, SHORT_MASK)))
 FOUND = "doc_id long, item_id long, start_word long, end_word long, n_same long, similarity double"
 
 
@@ -39,11 +42,14 @@ class SeedIndex:
             own = words(text)
             if len(own) >= LEAST_WORDS:
                 self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own], np.int64)))
+        self.masks = [m for m, used in ((m, any((len(ids) < WINDOW) == (m == SHORT_MASK) for _, ids in self.items)) for m in (*MASKS, SHORT_MASK)) if used]
         rng = np.random.default_rng(7)
-        self.factors = [rng.integers(1, 1 << 63, len(m), dtype=np.uint64) | np.uint64(1) for m in MASKS]
+        self.factors = [rng.integers(1, 1 << 63, len(m), dtype=np.uint64) | np.uint64(1) for m in self.masks]
         hashes, owners, places = [], [], []
         for k, (_, ids) in enumerate(self.items):
-            for m in range(len(MASKS)):
+            for m, mask in enumerate(self.masks):
+                if (len(ids) < WINDOW) != (mask == SHORT_MASK):
+                    continue
                 h = self.hashes(ids, m)
                 hashes.append(h)
                 owners.append(np.full(len(h), k))
@@ -58,11 +64,11 @@ class SeedIndex:
 
     def hashes(self, ids: np.ndarray, mask: int) -> np.ndarray:
         """The hash at each place where the whole mask fits."""
-        n = len(ids) - len(MASKS[mask]) + 1
-        out = np.full(max(0, n), np.uint64(mask + 1) * np.uint64(0x9E3779B97F4A7C15))
+        n = len(ids) - len(self.masks[mask]) + 1
+        out = np.full(max(0, n), mask + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         if n > 0:
             u = ids.astype(np.uint64)
-            for j, on in enumerate(MASKS[mask]):
+            for j, on in enumerate(self.masks[mask]):
                 if on == "1":
                     out += (u[j : j + n] + np.uint64(0x632BE59BD9B4E019)) * self.factors[mask][j]
             out ^= out >> np.uint64(29)
@@ -72,7 +78,7 @@ class SeedIndex:
     def hits(self, ids: np.ndarray, lows: np.ndarray) -> np.ndarray:
         """Distinct columns (start of the item in ids, item, document that holds the seed); lows: where documents start."""
         starts, owners, holders = [], [], []
-        for m, mask in enumerate(MASKS):
+        for m, mask in enumerate(self.masks):
             n = len(ids) - len(mask) + 1
             if n <= 0:
                 continue
@@ -179,8 +185,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A passage: on one alignment of the item with the whole text, words from the first to the last window of WINDOW
     words of which SIMILARITY agree; an item with fewer words than that has to be there as it is, and one with
-    under LEAST_WORDS never matches. A shared seed starts each comparison. Null and empty texts hold nothing. Rows
-    with a null id can be found too, with a null doc_id. Repeated rows give a row each; ties take the first place.
+    under LEAST_WORDS never matches. A shared seed starts each comparison, and each such window has one, so all
+    passages are found. Null and empty texts hold nothing; very long ones are searched whole. Rows with a null id can
+    be found too, with a null doc_id. Repeated rows give a row each; ties take the first place. Items that are null or
+    without an id are passed over; repeated items give a row each. Only the named columns are read, so others can have
+    any names. No documents or no items: no rows.
     """
     out = None
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -193,7 +202,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows that hold a passage of the benchmark; each row is judged where it is, so none is shuffled."""
+    """docs without the rows that hold a passage of the benchmark; each row is judged where it is, so none is shuffled.
+
+    What a passage is, contaminated() says, and what nulls, long texts and repeated items do. All other rows stay, with
+    all their columns, whatever their names: null and empty texts, null ids, repeated rows. No items: all rows stay.
+    """
     for block in item_blocks(benchmark, item_col, item_text):
         docs = docs.mapInArrow(_cleaner(Scanner(block), docs.columns.index(text_col)), docs.schema)
     return docs
