@@ -1,8 +1,9 @@
-"""Token counts that follow edits: a segment tree of pre-tokens for each document."""
+"""Token counts that follow edits: a segment tree of pre-tokens for each document, kept in a table between edits."""
 
 from __future__ import annotations
 
 import base64
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from tessera.llm.shared import materialize
 
 #: Pre-tokens of a leaf when a tree is built, and those over which an edited tree is built anew.
 LEAF, FULL_LEAF = 128, 1024
@@ -20,6 +21,19 @@ MAX_CACHE = 400_000
 EDITS = "array<struct<start:bigint,stop:bigint,text:string>>"
 
 
+def _bytes(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes: one each under 255, else 255 here and four more behind all."""
+    big = numbers >= 255
+    return int(len(numbers)).to_bytes(8, "little") + np.where(big, 255, numbers).astype(np.uint8).tobytes() + numbers[big].astype("<u4").tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u4", -1, 8 + n)
+    return out
+
+
 class Counter:
     """Splits text into pre-tokens and counts the tokens of each; a pre-token is encoded once while it is remembered."""
 
@@ -57,6 +71,24 @@ class TokenTree:
         pieces = counter.pattern.findall(text)
         self._fill([(pieces[i : i + LEAF], counts[i : i + LEAF]) for counts in [counter.counts(pieces)] for i in range(0, len(pieces), LEAF)] or [([], [])])
 
+    @classmethod
+    def restored(cls, text: str, saved: bytes, counter: Counter) -> TokenTree:
+        """The tree of text as saved() gave it; nothing is split or encoded."""
+        tree = cls.__new__(cls)
+        tree.counter, tree.reencoded = counter, 0
+        lengths, counts = np.split(_numbers(zlib.decompress(saved)), 2)
+        ends = np.cumsum(lengths)
+        pieces = [text[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+        counts = counts.tolist()
+        tree._fill([(pieces[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pieces), LEAF)] or [([], [])])
+        return tree
+
+    def saved(self) -> bytes:
+        """The leaves: pre-tokens' characters and tokens; with the text that is the whole tree."""
+        lengths = np.array([len(p) for pieces, _ in self.leaves for p in pieces], np.int64)
+        counts = np.array([n for _, own in self.leaves for n in own], np.int64)
+        return zlib.compress(_bytes(np.concatenate([lengths, counts])), 1)
+
     def _fill(self, leaves: list[tuple[list[str], list[int]]]) -> None:
         self.leaves = leaves
         self.size = 1 << (len(leaves) - 1).bit_length()
@@ -185,13 +217,34 @@ def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
-def count_edited(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_col: str = "text", files: tuple[str, str] | None = None) -> DataFrame:
-    """A row for each row of docs: tokens before and after its edits, and the characters that were encoded for them.
+TREE = "doc_id long, text string, n_pieces long, n_tokens long, leaves binary"
+
+
+def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: tuple[str, str] | None = None) -> DataFrame:
+    """The tree of each row of docs, as a row (doc_id, text, n_pieces, n_tokens, leaves) that can be written and edited later.
+
+    Null and empty texts have no tokens. Whole texts are encoded, however long. A row stands alone, so null and repeated
+    ids and rows and any other columns don't matter. No rows: none out.
+    """
+    path, pattern = files or tokenizer()
+
+    def run(batches):
+        own = counter(path, pattern)
+        for batch in batches:
+            trees = [TokenTree(t.as_py() or "", own) for t in batch.column(1)]
+            numbers = [pa.array([t.n_pieces for t in trees], pa.int64()), pa.array([t.n_tokens for t in trees], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *numbers, pa.array([t.saved() for t in trees], pa.binary())], names=["doc_id", "text", "n_pieces", "n_tokens", "leaves"])
 
-    edits: a column of type EDITS; each edit's positions are characters of the text as the edits before it left it.
-    A null list, a null edit and a null text in one change nothing or are empty; positions outside the text are
-    moved to its ends. Null and empty texts have no tokens and can be edited. A row stands alone, so repeated rows
-    and ids and any other columns don't matter.
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, TREE)
+
+
+def edit_trees(trees: DataFrame, edits: Column, files: tuple[str, str] | None = None, counts_only: bool = False) -> DataFrame:
+    """The trees after their edits, with n_tokens_before, n_edits and n_chars_encoded beside; only what the edits touch is encoded.
+
+    trees: what token_trees() or edit_trees() gave, read back from wherever it was written. edits: a column of type EDITS
+    over it; each edit's positions are characters of the text as the edits before it left it. A null list, a null edit
+    and a null text in one change nothing or are empty; positions outside the text are moved to its ends. counts_only:
+    without text and leaves, for readers that want the numbers. A row stands alone. No rows: none out.
     """
     path, pattern = files or tokenizer()
 
@@ -199,18 +252,22 @@ def count_edited(docs: DataFrame, edits: Column, id_col: str = "doc_id", text_co
         own = counter(path, pattern)
         for batch in batches:
             rows = []
-            for text, todo in zip(batch.column(1), batch.column(2), strict=True):
-                tree = TokenTree(text.as_py() or "", own)
+            for text, leaves, todo in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                tree = TokenTree.restored(text.as_py() or "", leaves.as_py(), own)
                 before, pieces = tree.n_tokens, tree.n_pieces
                 todo = [e for e in todo.as_py() or () if e is not None]
                 for e in todo:
                     tree.edit(e["start"] or 0, (e["stop"] if e["stop"] is not None else e["start"]) or 0, e["text"] or "")
-                rows.append((pieces, before, len(todo), tree.n_tokens, tree.reencoded))
-            columns = np.array(rows, np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(columns[:, i]) for i in range(5))], names=NAMES)
+                rows.append((pieces, before, len(todo), tree.n_tokens, tree.reencoded, *(() if counts_only else (tree.text(), tree.n_pieces, tree.saved()))))
+            found = list(zip(*rows, strict=True)) or [()] * (5 if counts_only else 8)
+            pieces, before, n_edits, after, encoded = (pa.array(c, pa.int64()) for c in found[:5])
+            if counts_only:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pieces, before, n_edits, after, encoded], names=NAMES)
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[5], pa.string()), pa.array(found[6], pa.int64()), after, pa.array(found[7], pa.binary()), before, n_edits, encoded], names=["doc_id", "text", "n_pieces", "n_tokens", "leaves", "n_tokens_before", "n_edits", "n_chars_encoded"])
 
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in NAMES])
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), edits.cast(EDITS).alias("edits")).mapInArrow(run, schema)
+    schema = ", ".join(f"{n} long" for n in NAMES) if counts_only else f"{TREE}, n_tokens_before long, n_edits long, n_chars_encoded long"
+    return trees.select("doc_id", "text", "leaves", edits.cast(EDITS).alias("edits")).mapInArrow(run, schema)
 
 
 NAMES = ["doc_id", "n_pieces", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_encoded"]
@@ -225,4 +282,6 @@ def revision(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
-    return count_edited(spark.read.parquet(f"{sf_dir}/documents.parquet"), revision())
+    """Trees of all documents are written; a second job reads them back and applies each document's edits."""
+    trees = materialize(token_trees(spark.read.parquet(f"{sf_dir}/documents.parquet")), "trees", "zstd")
+    return edit_trees(trees, revision(), counts_only=True)

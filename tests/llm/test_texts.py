@@ -238,17 +238,51 @@ def test_only_the_edited_part_is_encoded():
     assert tree.reencoded < 60
 
 
-def test_count_edited(spark):
+def test_saved_trees_are_the_same():
+    counter = token_counts.counter(*token_counts.tokenizer())
+    for text in ("", "one", "words stand here. " * 400, "x" * 300 + " é漢 " + "\n" * 999):
+        tree = token_counts.TokenTree(text, counter)
+        again = token_counts.TokenTree.restored(text, tree.saved(), counter)
+        assert again.leaves == tree.leaves and (again.n_tokens, again.text()) == (tree.n_tokens, text)
+
+
+def test_trees_are_kept_between_edits(spark, tmp_path, monkeypatch):
+    """A second run reads trees from a table and encodes the edits only."""
     from pyspark.sql import functions as F
 
-    rows = [(1, "hello big world", [(5, 9, " small"), (0, 0, "Oh ")]), (2, None, [(0, 5, "new text")]), (3, "", None), (4, "abc", [None, (None, None, None), (99, 120, "!")]), (None, "x y", []), (1, "hello big world", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, e array<struct<start:long,stop:long,text:string>>")
-    got = token_counts.count_edited(docs, F.col("e")).collect()
-    counter = token_counts.counter(*token_counts.tokenizer())
+    rows = [(1, "hello big world", [(5, 9, " small"), (0, 0, "Oh ")]), (2, None, [(0, 5, "new text")]), (3, "", None), (4, "abc", [None, (None, None, None), (99, 120, "!")]), (None, "x y", []), (1, "hello big world", None), (6, "many words " * 20_000, [(100_000, 100_004, "other")])]
+    docs = spark.createDataFrame([(i, t, 7) for i, t, _ in rows], "doc_id long, text string, leaves int").coalesce(1)
+    token_counts.token_trees(docs).write.parquet(f"{tmp_path}/trees")
+    todo = spark.createDataFrame([(i, (t or "")[:20], e) for i, t, e in rows], "i long, head string, e array<struct<start:long,stop:long,text:string>>")
+    trees = spark.read.parquet(f"{tmp_path}/trees")
+    paired = trees.join(todo, F.expr("i <=> doc_id and head = left(coalesce(text, ''), 20) and (e is not null or doc_id <> 1)"), "left")
+    first = token_counts.edit_trees(paired, F.col("e"))
     n = lambda t: len(counter.encoding.encode_ordinary(t))
-    want = [(1, n("hello big world"), 2, n("Oh hello small world")), (2, 0, 1, n("new text")), (3, 0, 0, 0), (4, 1, 2, n("abc!")), (None, n("x y"), 0, n("x y")), (1, n("hello big world"), 0, n("hello big world"))]
-    assert [(r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_edited) for r in got] == want
-    assert token_counts.count_edited(docs.limit(0), F.col("e")).count() == 0
+    counter = token_counts.counter(*token_counts.tokenizer())
+    long = rows[-1][1]
+    want = {1: "Oh hello small world", 2: "new text", 3: "", 4: "abc!", None: "x y", 6: long[:100_000] + "other" + long[100_004:]}
+    got = first.collect()
+    assert len(got) == len(rows) and all((r.text or "") == want[r.doc_id] and r.n_tokens == n(want[r.doc_id]) for r in got)
+    assert next(r for r in got if r.doc_id == 6).n_chars_encoded < 60
+    first.select(*[x.split()[0] for x in token_counts.TREE.split(", ")]).write.parquet(f"{tmp_path}/edited")
+    second = token_counts.edit_trees(spark.read.parquet(f"{tmp_path}/edited"), F.expr("array(named_struct('start', 0L, 'stop', 1L, 'text', 'Z'))"), counts_only=True).collect()
+    assert all(r.n_tokens == n(want[r.doc_id]) and r.n_tokens_edited == n("Z" + want[r.doc_id][1:]) for r in second)
+    assert token_counts.token_trees(docs.limit(0)).count() == 0 and token_counts.edit_trees(trees.limit(0), F.lit(None)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are needed")
+def test_token_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    counter = token_counts.counter(*token_counts.tokenizer())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("e", token_counts.revision()).collect()
+    want = {}
+    for r in docs:
+        text = r.text or ""
+        for e in r.e:
+            a = min(e.start, len(text))
+            text = text[:a] + e.text + text[max(a, min(e.stop, len(text))) :]
+        want[r.doc_id] = (len(counter.encoding.encode_ordinary(r.text or "")), 3, len(counter.encoding.encode_ordinary(text)))
+    assert {r.doc_id: (r.n_tokens, r.n_edits, r.n_tokens_edited) for r in token_counts.op9_token_counts(spark, sf).collect()} == want
 
 
 # ---- quality
