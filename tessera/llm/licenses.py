@@ -88,7 +88,8 @@ class Matcher:
                 if math.sqrt(low) >= LEAST_COSINE * norm * (1 - 1e-9):  # the lighter words alone can't reach the cosine
                     self.signal.add(w)
 
-    def best(self, own: list[bytes]) -> tuple[float, str] | None:
+    def best(self, own: list[bytes], only: int | None = None) -> tuple[float, str] | None:
+        """The template with the highest cosine, or the only one that is asked for, if that is high enough."""
         counts = Counter(own)
         if self.signal.isdisjoint(counts):
             return None
@@ -98,26 +99,28 @@ class Matcher:
             x = c * self.weight.get(w, self.unknown)
             total += x * x
             for k, y in self.postings.get(w, ()):
-                dots[k] = dots.get(k, 0.0) + x * y
-        cosine, k = max((d / (self.templates[k][1] * math.sqrt(total)), -k) for k, d in dots.items())
+                if only is None or k == only:
+                    dots[k] = dots.get(k, 0.0) + x * y
+        cosine, k = max(((d / (self.templates[k][1] * math.sqrt(total)), -k) for k, d in dots.items()), default=(0.0, 0))
         return (cosine, self.templates[-k][0]) if cosine >= LEAST_COSINE else None
 
-    def windows(self, own: list[bytes]) -> list[list[bytes]]:
-        """Runs of own as long as a template that can reach the cosine with it; none that can is left out."""
+    def windows(self, own: list[bytes]) -> list[tuple[int, list[bytes]]]:
+        """(template, run of own as long as it) where the run can reach the cosine with it; none that can is left out."""
         out, weight = [], self.weight
         square = np.concatenate(([0.0], np.cumsum([weight.get(w, self.unknown) ** 2 for w in own])))
-        for (_, norm), (size, vector) in zip(self.templates, self.vectors, strict=True):
+        for k, ((_, norm), (size, vector)) in enumerate(zip(self.templates, self.vectors, strict=True)):
             n = min(size, len(own))
             dot = np.concatenate(([0.0], np.cumsum([vector.get(w, 0.0) * weight.get(w, 0.0) for w in own])))
             # a vector is at least as long as its words would be if all were different
             able = dot[n:] - dot[: len(dot) - n] >= LEAST_COSINE * norm * np.sqrt(square[n:] - square[: len(square) - n]) * (1 - 1e-9) - 1e-9
-            out += [own[i : i + n] for i in np.flatnonzero(able & (dot[n:] > dot[: len(dot) - n])).tolist()]
+            out += [(k, own[i : i + n]) for i in np.flatnonzero(able & (dot[n:] > dot[: len(dot) - n])).tolist()]
         return out
 
     def scan(self, text: str | None) -> tuple[float, str] | None:
         """The best licence of any line, sentence-like part, paragraph, the whole of the text, or run of words; ties: the first found.
 
-        Comment marks are taken off and lines joined before sentences and runs as long as each template are compared.
+        Comment marks are taken off and lines joined before sentences, and runs as long as a template with that one, are
+        compared.
         """
         if not text or self.signal.isdisjoint(words(text)):
             return None
@@ -127,9 +130,9 @@ class Matcher:
         found = None
         joined = " ".join(_COMMENT.sub("", text).split())
         parts += [joined, *re.split(r"(?<=[.;])\s+", joined)]
-        runs = [words(part) for part in dict.fromkeys(parts)]
-        for own in runs + [list(r) for r in dict.fromkeys(map(tuple, self.windows(words(joined))))]:
-            got = self.best(own)
+        runs = [(None, words(part)) for part in dict.fromkeys(parts)]
+        for only, own in [*runs, *self.windows(words(joined))]:
+            got = self.best(own, only)
             if got and (found is None or got[0] > found[0] + 1e-12):
                 found = got
         return found
@@ -141,7 +144,8 @@ def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_c
     origin own: the text states it. origin inherited: the nearest directory at or above the file's that has a licence
     file (LICENSE, COPYING and the like, by the last part of the path) states it; several such files of a directory:
     the highest cosine, then the first name. Otherwise all three are null. Null and empty texts state nothing; a null
-    path and a row with a null id inherit nothing. Repeated ids are rows of their own. No rows: none out.
+    path and a row with a null id inherit nothing. Repeated ids are rows of their own. Whole texts are scanned, however
+    long. Of files only id_col, text_col and the path are read, so other columns can have any names. No rows: none out.
     """
     n, frequencies = document_frequencies(files, text_col)
 
@@ -154,7 +158,7 @@ def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_c
     own = materialize(files.select(F.col(id_col).cast("long").alias("id"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, path string, license string, cosine double"), "own-licenses")
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     own = own.withColumn("folder", folder)
-    stated = own.where("license is not null").where(F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENSE_FILE.pattern.replace("(?:", "(").replace("$", "$")))
+    stated = own.where("license is not null").where(F.regexp_extract("path", "([^/]*)$", 1).rlike("^" + LICENSE_FILE.pattern))
     stated = stated.groupBy("folder").agg(F.min_by(F.struct("license", "cosine"), F.struct((-F.col("cosine")).alias("a"), F.col("license").alias("b"))).alias("given")).withColumnRenamed("folder", "above")
     # Each directory once, with its ancestors; the deepest that has a licence file wins.
     folders = own.where("license is null and folder is not null").select("folder").distinct()
@@ -173,7 +177,18 @@ def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_c
     )
 
 
+#: Documents of one directory in the query, by id.
+FOLDER_IDS = 100
+
+
+def document_path(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """source/language/hundred/id; a document that speaks of a licence is a licence file of its folder, LICENSE.id."""
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.floor(F.col(id_col) / FOLDER_IDS).cast("string"))
+    speaks = F.coalesce(F.col(text_col).rlike("(?i)licen[cs]e|public domain"), F.lit(False))
+    return F.concat(folder, F.when(speaks, F.lit("/LICENSE.")).otherwise(F.lit("/")), F.col(id_col).cast("string"))
+
+
 def op10_licenses(spark, sf_dir: str) -> DataFrame:
-    """The path of a document is its source, language and id; a source's own licence text would be <source>/LICENSE."""
+    """All documents, those that state a licence being their folder's licence files, which the folder's others inherit."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan_licenses(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return scan_licenses(docs, document_path())
