@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from tessera.operators.facts import ITEM, Facts
-from tessera.sources.json_text import loads
+from tessera.sources.json_text import dumps, loads
 
 
 def size_text(n: float) -> str:
@@ -62,29 +62,26 @@ class FieldStats:
     size_min: int = 0
     size_max: int = 0
 
-    def report(self, keys: int = 10) -> list[str]:
-        share = lambda n, of=None: f"{100 * n / max(1, of or self.total_seen):.1f}%"
-        lines = [f"📍 {self.path}", f"   Count: {self.total_seen:,}  |  Size: {size_text(self.total_size)}"]
-        lines.append(f"   Size/value: min={size_text(self.size_min)}, max={size_text(self.size_max)}, avg={size_text(self.total_size / max(1, self.total_seen))}")
-        lines.append("   Types: " + ", ".join(f"{t}:{n}({share(n)})" for t, n in sorted(self.type_counts.items(), key=lambda x: (-x[1], x[0]))))
-        if self.null_count:
-            lines.append(f"   Null: {self.null_count:,} ({share(self.null_count)})")
+    def facts(self) -> dict[str, str]:
+        """What is known of the path, by heading; headings without anything to tell are left out."""
+        out = {"kinds": " + ".join(f"{n:,} {t}" for t, n in sorted(self.type_counts.items(), key=lambda x: (-x[1], x[0])))}
+        out["bytes"] = f"{size_text(self.total_size)}, each {size_text(self.size_min)} to {size_text(self.size_max)}"
         if self.numbers.count:
-            lines.append(f"   Numeric: min={self.numbers.low}, max={self.numbers.high}, avg={self.numbers.mean:.2f}")
-        for name, m in (("String", self.strings), ("Array", self.arrays)):
+            out["numbers"] = f"{self.numbers.low:g} to {self.numbers.high:g}, mean {self.numbers.mean:.6g}"
+        for heading, m in (("characters", self.strings), ("elements", self.arrays), ("keys", self.objects)):
             if m.count:
-                lines.append(f"   {name}: len={int(m.low)}..{int(m.high)}, avg={m.mean:.1f}")
-                if m.empty:
-                    lines.append(f"   {name} empty: {m.empty:,}")
+                out[heading] = f"{m.low:g} to {m.high:g}, mean {m.mean:.3g}" + f", none in {m.empty:,}" * bool(m.empty)
         if self.bool_true_count + self.bool_false_count:
-            lines.append(f"   Boolean: true={self.bool_true_count} ({share(self.bool_true_count, self.bool_true_count + self.bool_false_count)}), false={self.bool_false_count}")
+            out["true"] = f"{self.bool_true_count:,} of {self.bool_true_count + self.bool_false_count:,}"
         if self.unique_values:
             n = len(self.unique_values)
-            lines.append(f"   Unique({n}): {sorted(self.unique_values, key=str)}" if n <= 10 else f"   Unique: {n}{'+' if n >= self.unique_limit else ''} distinct values")
-        if self.key_counts:
-            lines.append(f"   Object keys ({len(self.key_counts)}):")
-            lines += [f"      .{k}: {n} ({share(n, self.objects.count)})" for k, n in sorted(self.key_counts.items(), key=lambda x: (-x[1], x[0]))[:keys]]
-        return lines
+            shown = ", ".join(dumps(v) for v in sorted(self.unique_values, key=str)[:6])
+            out["values"] = (f"{n} or more" if n >= self.unique_limit else f"{n}") + f" different: {shown}" + ", ..." * (n > 6)
+        if self.key_counts and self.objects.count:
+            rare = sorted(((n, k) for k, n in self.key_counts.items() if n < self.objects.count))
+            if rare:
+                out["not in all"] = ", ".join(f"{k} ({n:,})" for n, k in rare[:8]) + f" and {len(rare) - 8} more" * (len(rare) > 8)
+        return out
 
 
 @dataclass
@@ -141,51 +138,42 @@ def stats_of(facts: Facts, root: str, n_records: int, seconds: float = 0.0) -> S
     return out
 
 
-def _head(stats: StatsResult, title: str) -> list[str]:
-    share = lambda n: f"{n:,} ({100 * n / max(1, stats.total_values):.1f}%)"
+#: How a report begins, and how its count of values.
+TITLE, COUNT = "JSON STATISTICS", "Total values:"
+
+
+def _summary(stats: StatsResult) -> list[str]:
     return [
-        "=" * 70, title, "=" * 70,
-        f"Total values:     {stats.total_values:,}", f"  Objects:        {share(stats.total_objects)}", f"  Arrays:         {share(stats.total_arrays)}", f"  Primitives:     {share(stats.total_primitives)}",
-        f"Estimated size:   {size_text(stats.total_size_bytes)}", f"Avg per value:    {size_text(stats.total_size_bytes / max(1, stats.total_values))}",
-        f"Max depth:        {stats.max_depth}", f"Unique paths:     {len(stats.field_stats):,}", f"Collection time:  {stats.collection_time:.3f}s",
-    ]
+        f"{TITLE} of {len(stats.field_stats):,} paths, {stats.max_depth} levels deep",
+        f"{COUNT} {stats.total_values:,} = {stats.total_objects:,} objects + {stats.total_arrays:,} arrays + {stats.total_primitives:,} primitives; {size_text(stats.total_size_bytes)} of JSON; gathered in {stats.collection_time:.2f} s",
+    ]
 
 
 def report(stats: StatsResult, top_n: int = 50) -> str:
-    """The totals, then the paths that take most bytes."""
-    lines = [*_head(stats, "JSON STATISTICS"), "-" * 70, ""]
+    """The totals, then a paragraph for each of the paths that take most bytes."""
+    lines = _summary(stats)
     for f in stats.largest()[:top_n]:
-        lines += [*f.report(), ""]
-    if len(stats.field_stats) > top_n:
-        lines.append(f"... and {len(stats.field_stats) - top_n} more paths")
-    return "\n".join(lines)
+        lines += ["", f"{f.path}  ({100 * f.total_size / max(1, stats.total_size_bytes):.3g} % of all bytes)", *(f"    {heading}: {text}" for heading, text in f.facts().items())]
+    left = len(stats.field_stats) - top_n
+    return "\n".join([*lines, *["", f"{left:,} more paths are smaller"] * (left > 0)])
 
 
 def compact_report(stats: StatsResult) -> str:
-    """The totals over all paths."""
+    """The totals, and a line for each kind of value over all paths."""
     fields = list(stats.field_stats.values())
-    kinds: dict[str, int] = {}
-    for f in fields:
-        for k, n in f.type_counts.items():
-            kinds[k] = kinds.get(k, 0) + n
-    lines = [*_head(stats, "JSON STATISTICS (COMPACT)"), "", "TYPE DISTRIBUTION:"]
-    total = max(1, sum(kinds.values()))
-    lines += [f"  {k:12} {kinds[k]:>12,}  ({100 * kinds[k] / total:5.1f}%)" for k in ("object", "array", "str", "int", "float", "bool", "null") if k in kinds]
-    nulls = sum(f.null_count for f in fields)
-    if nulls:
-        lines += ["", "NULL ANALYSIS:", f"  Total nulls:      {nulls:,} ({100 * nulls / total:.2f}%)"]
-    strings = [f.strings for f in fields if f.strings.count]
-    if strings:
-        n = sum(m.count for m in strings)
-        lines += ["", "STRING STATS:", f"  Total strings:    {n:,}", f"  Avg length:       {sum(m.total for m in strings) / n:.1f} chars", f"  Empty strings:    {sum(m.empty for m in strings):,}"]
+    lines = _summary(stats)
+    for kind, measure, unit in (("object", "objects", "keys"), ("array", "arrays", "elements"), ("str", "strings", "characters"), ("int", None, ""), ("float", None, ""), ("bool", None, ""), ("null", None, "")):
+        n = sum(f.type_counts.get(kind, 0) for f in fields)
+        if not n:
+            continue
+        text = f"{kind}: {n:,} in {sum(kind in f.type_counts for f in fields):,} paths"
+        if measure:
+            held = [m for m in (getattr(f, measure) for f in fields) if m.count]
+            text += f", {min(m.low for m in held):g} to {max(m.high for m in held):g} {unit}, {sum(m.empty for m in held):,} empty"
+        elif kind == "bool":
+            text += f", {sum(f.bool_true_count for f in fields):,} true"
+        lines.append(text)
     numbers = [f.numbers for f in fields if f.numbers.count]
     if numbers:
-        n = sum(m.count for m in numbers)
-        lines += ["", "NUMERIC STATS:", f"  Total numbers:    {n:,}", f"  Min:              {min(m.low for m in numbers)}", f"  Max:              {max(m.high for m in numbers)}", f"  Avg:              {sum(m.total for m in numbers) / n:.4f}"]
-    true, false = sum(f.bool_true_count for f in fields), sum(f.bool_false_count for f in fields)
-    if true + false:
-        lines += ["", "BOOLEAN STATS:", f"  True:             {true:,} ({100 * true / (true + false):.1f}%)", f"  False:            {false:,} ({100 * false / (true + false):.1f}%)"]
-    empty = [("arrays", sum(f.arrays.empty for f in fields)), ("objects", sum(f.objects.empty for f in fields))]
-    if any(n for _, n in empty):
-        lines += ["", "EMPTY COLLECTIONS:", *(f"  Empty {k}: {n:,}" for k, n in empty if n)]
-    return "\n".join([*lines, "=" * 70])
+        lines.append(f"numbers: {min(m.low for m in numbers):g} to {max(m.high for m in numbers):g}, mean {sum(m.total for m in numbers) / sum(m.count for m in numbers):.6g}")
+    return "\n".join(lines)

@@ -3,6 +3,7 @@ import pytest
 from tessera.operators.facts import collect_facts
 from tessera.operators.stats import compact_report, report, size_text, stats_of
 from tessera.operators.structure import Samples, print_schema, root_shape
+from tessera.plans.profiler import Profiler
 from tessera.sources.records import from_value
 
 
@@ -92,7 +93,20 @@ def test_statistics_equal_brute_force(spark):
 
 def test_reports(spark):
     result = stats_of(facts_of(spark, [{"a": 1, "b": True, "c": None, "d": "x", "e": [], "f": {}}]), "array", 1)
-    assert "Total values:" in report(result) and "BOOLEAN STATS" in compact_report(result) and "more paths" in report(result, top_n=1) and str(result)
+    text = report(result)
+    assert text.startswith("JSON STATISTICS") and "Total values: 8 = 2 objects + 2 arrays + 4 primitives" in text and str(result).startswith("JSON STATISTICS")
+    assert "true: 1 of 1" in text and "numbers: 1 to 1" in text and 'values: 1 different: "x"' in text and "elements: 0 to 0, mean 0, none in 1" in text
+    assert "6 more paths are smaller" in report(result, top_n=2) and "bool: 1 in 1 paths, 1 true" in compact_report(result)
+    sparse = stats_of(facts_of(spark, [{"a": 1}, {"a": 2, "b": 3}]), "array", 2)
+    assert "not in all: b (1)" in report(sparse)
+
+
+def test_progress_follows_the_partitions(spark):
+    told = []
+    with Profiler(spark=spark) as profiler:
+        profiler.analyze([{"v": i, "w": ["x"] * 50} for i in range(3000)], progress=lambda done, n: told.append((done, n)))
+        assert profiler.timing()["sample_time"] > 0
+    assert told[0] == (0, 3000) and told[-1] == (3000, 3000) and told == sorted(told)
 
 
 def test_unique_limit(spark):
