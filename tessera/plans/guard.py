@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import threading
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 from uuid import uuid4
 
 from py4j.protocol import Py4JJavaError
+from pyspark import InheritableThread
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
@@ -40,7 +40,7 @@ class SecurityConfig:
 #: Plan nodes of reads. Everything else, known or new, is refused.
 _READS = frozenset("""
 Aggregate AsOfJoin Deduplicate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset
-OneRowRelation ParameterizedQuery Pivot PlanWithUnresolvedIdentifier Project Range Sample Sort SubqueryAlias Tail Union UnionLoop Unpivot UnresolvedGroupByAll
+OneRowRelation ParameterizedQuery Pivot Project Range Sample Sort SubqueryAlias Tail Union UnionLoop Unpivot UnresolvedGroupByAll
 UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedOrdinal UnresolvedPivot UnresolvedRelation UnresolvedSubqueryColumnAliases
 UnresolvedTVFAliases UnresolvedTableValuedFunction UnresolvedUnpivot UnresolvedWith Window WithWindowDefinition UnresolvedJoin NaturalJoin
 """.split())
@@ -62,21 +62,6 @@ def _name(node) -> str:
     return node.getClass().getSimpleName().rstrip("$")
 
 
-def _below(plan) -> Iterator[tuple[str, object]]:
-    """Every plan node under and in plan, and every expression, those of subqueries too: ("plan" or "expression", node)."""
-    todo = [("plan", plan)]
-    while todo:
-        kind, node = todo.pop()
-        yield kind, node
-        todo += [(kind, c) for c in _seq(node.children())]
-        for inner in _seq(node.innerChildren()) if kind == "plan" else ():
-            todo.append(("plan", inner))
-        if kind == "plan":
-            todo += [("expression", e) for e in _seq(node.expressions())]
-        elif any(c.getSimpleName() in ("SubqueryExpression", "PlanExpression") for c in _classes(node)):
-            todo.append(("plan", node.plan()))
-
-
 def _classes(node) -> Iterator:
     kind = node.getClass()
     while kind is not None:
@@ -91,6 +76,7 @@ class Guard:
         self.spark, self.config, self.tables = spark, config, tables
 
     def check(self, sql: str) -> None:
+        self.spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(self.spark._jsparkSession)
         if ";" in sql and self._statements(sql) > 1:
             raise ReadOnlyViolationError("one statement at a time")
         try:
@@ -127,27 +113,38 @@ class Guard:
         return sum(bool(part.strip()) for part in plain.split(";"))
 
     def _read(self, plan) -> None:
-        nodes = list(_below(plan))
-        allowed = {t.lower() for t in self.tables}
-        for kind, node in nodes:  # names that the statement itself defines
-            if kind == "plan" and _name(node) == "UnresolvedWith":
-                for inner in _seq(node.innerChildren()):
-                    if _name(inner) == "SubqueryAlias":
-                        allowed.add(inner.alias().lower())
-        for kind, node in nodes:
+        exact = self.spark.conf.get("spark.sql.caseSensitive") == "true"
+        fold = str if exact else str.lower
+        todo = [("plan", plan, frozenset(map(fold, self.tables)))]  # with the names that can be read there
+        while todo:
+            kind, node, names = todo.pop()
             name = _name(node)
-            if kind == "plan":
-                if name not in _READS:
-                    raise ReadOnlyViolationError(f"{name} is not allowed: only SELECT and EXPLAIN of registered tables are")
-                if name == "UnresolvedRelation":
-                    parts = [str(p) for p in _seq(node.multipartIdentifier())]
-                    if not self.config.allow_external_access and (len(parts) != 1 or parts[0].lower() not in allowed):
-                        raise ReadOnlyViolationError(f"{'.'.join(parts)} is no registered table")
-                if name == "UnresolvedTableValuedFunction":
-                    self._function([str(p) for p in _seq(node.name())], _TABLE_FUNCTIONS)
-            elif name in ("UnresolvedFunction", "UnresolvedGenerator"):
-                parts = _seq(node.nameParts()) if name == "UnresolvedFunction" else [node.name().funcName()]
-                self._function([str(p) for p in parts], None)
+            if kind == "expression":
+                if name in ("UnresolvedFunction", "UnresolvedGenerator"):
+                    parts = _seq(node.nameParts()) if name == "UnresolvedFunction" else [node.name().funcName()]
+                    self._function([str(p) for p in parts], None)
+                todo += [(kind, c, names) for c in _seq(node.children())]
+                if any(c.getSimpleName() in ("SubqueryExpression", "PlanExpression") for c in _classes(node)):
+                    todo.append(("plan", node.plan(), names))
+                continue
+            if name not in _READS:
+                raise ReadOnlyViolationError(f"{name} is not allowed: only SELECT and EXPLAIN of registered tables are")
+            if name == "UnresolvedRelation":
+                parts = [str(p) for p in _seq(node.multipartIdentifier())]
+                if not self.config.allow_external_access and (len(parts) != 1 or fold(parts[0]) not in names):
+                    raise ReadOnlyViolationError(f"{'.'.join(parts)} is no registered table")
+            if name == "UnresolvedTableValuedFunction":
+                self._function([str(p) for p in _seq(node.name())], _TABLE_FUNCTIONS)
+            if name == "UnresolvedWith":  # a name counts for the definitions behind its own and for the query, nowhere else
+                itself = node.allowRecursion()
+                for inner in _seq(node.innerChildren()):
+                    own = fold(inner.alias()) if _name(inner) == "SubqueryAlias" else None
+                    todo.append(("plan", inner, names | {own} if itself and own else names))
+                    names = names | {own} if own else names
+            else:
+                todo += [("plan", inner, names) for inner in _seq(node.innerChildren())]
+            todo += [("plan", c, names) for c in _seq(node.children())]
+            todo += [("expression", e, names) for e in _seq(node.expressions())]
 
     def _function(self, parts: list[str], only: frozenset[str] | None) -> None:
         name = parts[-1].lower()
@@ -155,30 +152,31 @@ class Guard:
             raise ReadOnlyViolationError(f"the function {'.'.join(parts)} is not allowed")
 
 
-@contextmanager
-def time_limit(spark: SparkSession, seconds: float | None) -> Iterator[None]:
-    """Cancels the Spark jobs that the block starts after so many seconds, and raises TimeoutError."""
+def in_time(spark: SparkSession, seconds: float | None, work: Callable[[], Any]) -> Any:
+    """work(), for no longer than so many seconds; then its Spark jobs are cancelled and TimeoutError is raised.
+
+    The work has a thread of its own, so that the limit also ends a wait for something else than a job, as for a result
+    that the driver can't take. What such a thread still does is lost.
+    """
     if seconds is None:
-        yield
-        return
-    context, group, late = spark.sparkContext, f"tessera-{uuid4().hex}", threading.Event()
+        return work()
+    context, group, out = spark.sparkContext, f"tessera-{uuid4().hex}", {}
 
-    def stop() -> None:
-        late.set()
+    def run() -> None:
+        spark._jvm.org.apache.spark.sql.classic.SparkSession.setActiveSession(spark._jsparkSession)  # the parser asks for its settings
+        context.setJobGroup(group, "guarded query", interruptOnCancel=True)
+        try:
+            out["value"] = work()
+        except BaseException as error:
+            out["error"] = error
+
+    worker = InheritableThread(target=run, daemon=True)
+    worker.start()
+    worker.join(seconds)
+    if worker.is_alive():
         context.cancelJobGroup(group)
-
-    timer = threading.Timer(seconds, stop)
-    timer.daemon = True
-    context.setJobGroup(group, "guarded query", interruptOnCancel=True)
-    timer.start()
-    try:
-        yield
-        if late.is_set():
-            raise TimeoutError(f"the query took over {seconds} s and was cancelled")
-    except (Py4JJavaError, PySparkException) as error:
-        if late.is_set():
-            raise TimeoutError(f"the query took over {seconds} s and was cancelled") from error
-        raise
-    finally:
-        timer.cancel()
-        context.setLocalProperty("spark.jobGroup.id", None)
+        worker.join(1.0)
+        raise TimeoutError(f"the query took over {seconds} s and was cancelled")
+    if "error" in out:
+        raise out["error"]
+    return out["value"]
