@@ -21,6 +21,10 @@ ITEM = "["  # a step into an array; a step to a key is "." and the key
 UNIQUE_CHARS = 100
 #: Groups in which the partitions' facts are merged first.
 MERGE_GROUPS = 64
+#: Paths and kinds that the driver takes; keys that are data would make them as many as the records.
+MAX_PATHS = 1_000_000
+#: Characters of a sample value that leave an executor.
+SAMPLE_CHARS = 4096
 _NAMES = {str: "str", int: "int", float: "float", bool: "bool", type(None): "null", dict: "object", list: "array"}
 _FACT = "path array<string>, kind string, n bigint, low double, high double, total double, n_empty bigint, big boolean, size bigint, size_low bigint, size_high bigint, extra bigint, per_low bigint, per_high bigint, parents bigint, dates boolean, uniq array<string>, samples array<struct<h:bigint,ord:bigint,v:string>>"
 
@@ -133,7 +137,7 @@ class _Folder:
         while stack:
             node = stack.pop()
             for kind, c in node.cells.items():
-                samples = [{"h": h, "ord": o, "v": J.dumps(v)} for h, o, v in c.samples]
+                samples = [{"h": h, "ord": o, "v": J.dumps(v[:SAMPLE_CHARS] if kind == "str" else v)} for h, o, v in c.samples]
                 out.append((list(node.path), kind, c.n, c.low, c.high, c.total, c.empty, c.big, c.size, c.size_low, c.size_high, c.extra, c.per_low, c.per_high, c.parents, c.dates, [J.dumps(v) for v in c.uniq], samples))
             stack += node.keys.values()
             if node.item is not None:
@@ -167,7 +171,10 @@ def collect_facts(raw: DataFrame, k: int = 3, max_unique: int = 100, seed: int =
     # In two steps, so that no group holds the lists of all partitions at once.
     merged = parts.withColumn("part", F.spark_partition_id() % MERGE_GROUPS).groupBy("path", "kind", "part").agg(*every).groupBy("path", "kind").agg(*every)
     facts = Facts(k=k, max_unique=max_unique)
-    for row in merged.collect():
+    found = merged.limit(MAX_PATHS + 1).collect()
+    if len(found) > MAX_PATHS:
+        raise ValueError(f"over {MAX_PATHS:,} different paths: objects with data as their keys have to become arrays first")
+    for row in found:
         facts.cells.setdefault(tuple(row["path"]), {})[row["kind"]] = row.asDict(recursive=True)
     return facts
 
@@ -179,6 +186,8 @@ class Facts:
     k: int = 3
     max_unique: int = 100
     cells: dict[tuple[str, ...], dict[str, dict]] = field(default_factory=dict)
+    #: Whether these are facts of all records; else values that occur may be missing.
+    complete: bool = True
 
     def __post_init__(self):
         self._children: dict[tuple[str, ...], list[str]] | None = None

@@ -67,15 +67,13 @@ def _clean_schema(records: Records, max_depth: int) -> tuple[T.StructType | None
     ).first()
     if quick["hazard"] or not quick["objects"] or not quick["some"]:
         return None, quick["n"]
-    spark = records.raw.sparkSession
-    kept = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
-        reader = spark._jsparkSession.read().options(_STRICT)
-        encoder = spark._jvm.org.apache.spark.sql.Encoders.STRING()
-        found = T.StructType.fromJson(json.loads(reader.json(getattr(records.raw.select("raw")._jdf, "as")(encoder)).schema().json()))
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", kept)
+    # In a session of its own, so that no other query sees names told apart by case.
+    strict = records.raw.sparkSession.newSession()
+    strict.conf.set("spark.sql.caseSensitive", "true")
+    rows = strict._jvm.org.apache.spark.sql.classic.Dataset.ofRows(strict._jsparkSession, records.raw.select("raw")._jdf.queryExecution().logical())
+    reader = strict._jsparkSession.read().options(_STRICT)
+    texts = getattr(rows, "as")(strict._jvm.org.apache.spark.sql.Encoders.STRING())
+    found = T.StructType.fromJson(json.loads(reader.json(texts).schema().json()))
     return (found if _depth(found) <= max_depth and _plain(found) else None), quick["n"]
 
 

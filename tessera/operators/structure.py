@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import types as T
+
 from tessera.functions.idents import quote
 from tessera.operators.facts import ITEM, KINDS, PRIMITIVES, Facts
 from tessera.sources.json_text import dumps
@@ -67,6 +69,33 @@ def root_shape(facts: Facts, root: str, n_records: int, depth: int = 32, max_key
     return out
 
 
+#: The kind of JSON that a column's value becomes in a sample; all others are text there.
+_JSON_KINDS = {"long": "int", "integer": "int", "short": "int", "byte": "int", "double": "float", "float": "float", "boolean": "bool"}
+
+
+def frame_shape(fields: T.StructType, facts: Facts, n_rows: int, depth: int = 32) -> Shape:
+    """The shape of a frame's rows by its schema, which tells more than the rows from which facts are: all of its fields
+    are there, and nulls are where the schema allows them and a row has one."""
+
+    def of(kind: T.DataType, path: tuple[str, ...], depth: int) -> Shape:
+        null = ("null",) if "null" in facts.at(path) else ()
+        if isinstance(kind, T.StructType):
+            if depth <= 0:
+                return Shape(path, null, {}, cut=True)
+            return Shape(path, null, {f.name: of(f.dataType, (*path, "." + f.name), depth - 1) for f in kind.fields})
+        if isinstance(kind, T.ArrayType):
+            seen, below = facts.at(path).get("array"), (*path, ITEM)
+            lengths = (int(seen["low"]), int(seen["high"])) if seen else (0, 0)
+            item = of(kind.elementType, below, depth - 1) if depth > 0 else None
+            name = "object" if isinstance(kind.elementType, T.StructType) else "array" if isinstance(kind.elementType, T.ArrayType) else item.primitives[0] if item else "str"
+            return Shape(path, null, lengths=lengths, items={name: lengths}, item=item, cut=depth <= 0)
+        if isinstance(kind, T.MapType):
+            return Shape(path, null, {})
+        return Shape(path, (_JSON_KINDS.get(kind.typeName(), "float" if isinstance(kind, T.DecimalType) else "str"), *null))
+
+    return Shape((ITEM,), lengths=(n_rows, n_rows), items={"object": (n_rows, n_rows)}, item=of(fields, (), depth - 1))
+
+
 # ---- samples
 
 
@@ -95,7 +124,7 @@ class Samples:
                 tag = " (ISO date)"
             n = len(cell["uniq"])
             if not tag and cell["high"] <= ENUM_CHARS and 1 < n <= min(self.enum_max, ENUM_VALUES, self.facts.max_unique - 1) and cell["n"] >= 2 * n:
-                return f" one of [{', '.join(self.value(v) for v in sorted(map(_loads, cell['uniq'])))}]"
+                return f" {'one' if self.facts.complete else 'e.g. one'} of [{', '.join(self.value(v) for v in sorted(map(_loads, cell['uniq'])))}]"
         return f"{tag} samples=[{', '.join(map(self.value, self.facts.values(path, kinds)[: self.k]))}]"
 
 

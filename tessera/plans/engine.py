@@ -3,28 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
+from itertools import islice
 from pathlib import Path
 from typing import Any
+from uuid import uuid4
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.idents import check_table_name, quote
 from tessera.operators.facts import Facts, collect_facts
 from tessera.operators.infer import DEFAULT_MAX_DEPTH, build_table
-from tessera.operators.structure import Samples, Shape, print_schema, root_shape
-from tessera.plans.dialect import texts
-from tessera.plans.guard import Guard, ReadOnlyViolationError, ResultTooLargeError, SecurityConfig, time_limit
+from tessera.operators.structure import Samples, Shape, frame_shape, print_schema, root_shape
+from tessera.plans.dialect import texts, tokens
+from tessera.plans.guard import Guard, ReadOnlyViolationError, ResultTooLargeError, SecurityConfig, in_time
 from tessera.plans.prompt import build_prompt
+from tessera.plans.result_size import can_be_large, passes_on, result_bytes
 from tessera.plans.table_text import check_format, table_text
 from tessera.sources.records import STREAM_MIN_BYTES, Records, load
 
 #: Structure is shown down to this depth.
 SHOWN_DEPTH = 32
+#: Rows of a frame whose values a prompt shows.
+SHOWN_ROWS = 1000
+#: Sources up to so many bytes of JSON are kept as text and as typed rows while the engine is open.
+KEEP_BYTES = 2 << 30
+
+
+_READERS = {
+    "read_csv": lambda reader, path: reader.csv(path, header=True, inferSchema=True), "read_csv_auto": lambda reader, path: reader.csv(path, header=True, inferSchema=True),
+    "read_json": lambda reader, path: reader.json(path, multiLine=True), "read_json_auto": lambda reader, path: reader.json(path, multiLine=True),
+    "read_text": lambda reader, path: reader.text(path, wholetext=True).withColumnRenamed("value", "content"), "read_parquet": lambda reader, path: reader.parquet(path),
+}
 
 
 @dataclass
@@ -57,7 +72,11 @@ class RegisteredTable(dict):
         if self.records is None or self.get("value_wrapped"):
             return None
         if self._shape is None:
-            self._shape = root_shape(self.facts, self.records.root, self["row_count"], SHOWN_DEPTH)
+            if self.get("fields") is not None:
+                self.facts.complete = False  # these are the first rows, not all
+                self._shape = frame_shape(self["fields"], self.facts, self["row_count"], SHOWN_DEPTH)
+            else:
+                self._shape = root_shape(self.facts, self.records.root, self["row_count"], SHOWN_DEPTH)
         return self._shape
 
 
@@ -73,7 +92,7 @@ def start_session(config: SecurityConfig) -> SparkSession:
 class QueryEngine:
     """Tables from JSON, and SQL over them, in a Spark session of their own."""
 
-    def __init__(self, security: SecurityConfig | None = None, *, spark: SparkSession | None = None, max_depth: int = DEFAULT_MAX_DEPTH, stream_min_bytes: int = STREAM_MIN_BYTES, dialect: str = "spark", **overrides: Any):
+    def __init__(self, security: SecurityConfig | None = None, *, spark: SparkSession | None = None, max_depth: int = DEFAULT_MAX_DEPTH, stream_min_bytes: int = STREAM_MIN_BYTES, keep_bytes: int = KEEP_BYTES, dialect: str = "spark", **overrides: Any):
         """dialect: spark, or compat for queries with unnest, QUALIFY, 1-based indexes and NULLS LAST by default.
 
         overrides: fields of SecurityConfig; they are ignored where security is given.
@@ -86,13 +105,14 @@ class QueryEngine:
         for key, value in {
             "spark.sql.ansi.enabled": "true",
             "spark.sql.ansi.doubleQuotedIdentifiers": "true",
+            "spark.sql.ansi.enforceReservedKeywords": str(dialect == "spark").lower(),
             "spark.sql.runSQLOnFiles": str(self.security.allow_external_access).lower(),
             "spark.sql.session.timeZone": "UTC",
             "spark.sql.adaptive.enabled": "true",
             "spark.sql.debug.maxToStringFields": "2000",
         }.items():
             self.spark.conf.set(key, value)
-        self.max_depth, self.stream_min_bytes = max_depth, stream_min_bytes
+        self.max_depth, self.stream_min_bytes, self.keep_bytes = max_depth, stream_min_bytes, keep_bytes
         self.tables: dict[str, RegisteredTable] = {}
         self.guard = Guard(self.spark, self.security, self.tables)
         self._cached: list[DataFrame] = []
@@ -109,21 +129,30 @@ class QueryEngine:
         check_table_name(name)
         if records.root == "scalar":
             raise ValueError("a table needs a JSON object or array")
-        # Records are read for inference, for the rows and for the facts; serialized, and on disk where memory is short.
         raw = records.raw if records.raw.sparkSession is self.spark else self._adopt(records.raw)
-        records = replace(records, raw=raw.persist(StorageLevel.MEMORY_AND_DISK))
-        self._cached.append(records.raw)
+        # Records are read for inference, for the rows and for the facts, and rows by every query. Where the source is
+        # small enough both are kept, on disk where memory is short; a larger one is read again.
+        small = records.size is not None and records.size <= self.keep_bytes
+        records = replace(records, raw=raw.persist(StorageLevel.MEMORY_AND_DISK) if small else raw)
         table = build_table(records, self.max_depth)
-        self._publish(name, table.df, records, source=records.source, path=path, row_count=table.n_rows, value_wrapped=table.wrapped, description=description)
+        rows = table.df.persist(StorageLevel.MEMORY_AND_DISK) if small else table.df
+        self._cached += [records.raw, rows] if small else []
+        self._publish(name, rows, records, source=records.source, path=path, row_count=table.n_rows, value_wrapped=table.wrapped, description=description, bytes=records.size)
         self.tables[name]._facts = table.facts
         return self
 
     def register_df(self, name: str, df: DataFrame, description: str | None = None) -> QueryEngine:
         """A DataFrame of any source as a table; nothing is read until a query does. Its session can be another one."""
         check_table_name(name)
-        self._publish(name, self._adopt(df), None, source="dataframe", path=None, row_count=None, value_wrapped=True, description=description)
+        self._publish_frame(name, self._adopt(df), "dataframe", description)
         return self
 
+    def _publish_frame(self, name: str, df: DataFrame, source: str, description: str | None) -> None:
+        """Prompts show the schema of the frame and values of its first SHOWN_ROWS rows, read when they are first asked for."""
+        head = df.limit(SHOWN_ROWS).select(F.monotonically_increasing_id().alias("rec_id"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("raw"))
+        records = Records(head, "array", source) if df.columns and len(set(map(str.lower, df.columns))) == len(df.columns) else None
+        self._publish(name, df, records, source=source, path=None, row_count=None, value_wrapped=records is None, description=description, bytes=None, fields=df.schema)
+
     def _adopt(self, df: DataFrame) -> DataFrame:
         """The same plan in the engine's own session."""
         rows = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, df._jdf.queryExecution().logical())
@@ -131,7 +160,7 @@ class QueryEngine:
 
     def register_parquet(self, name: str, path: str, description: str | None = None) -> QueryEngine:
         check_table_name(name)
-        self._publish(name, self.spark.read.parquet(path), None, source=path, path=None, row_count=None, value_wrapped=True, description=description)
+        self._publish_frame(name, self.spark.read.parquet(path), path, description)
         return self
 
     def register_many(self, tables: dict[str, Any]) -> QueryEngine:
@@ -146,8 +175,27 @@ class QueryEngine:
 
     # ---- queries
 
+    def settings(self) -> dict[str, Any]:
+        """The limits and permissions that hold, and the Spark settings of this engine's session; they can't be changed by SQL."""
+        return asdict(self.security) | {"dialect": self.dialect, "time_zone": self.spark.conf.get("spark.sql.session.timeZone"), "locked": True}
+
+    def _with_files(self, sql: str) -> str:
+        """With external access, read_csv('x'), read_json('x'), read_text('x') and read_parquet('x') as views of those files."""
+        if not self.security.allow_external_access:
+            return sql
+        items = tokens(sql)
+        for at, item in enumerate(items):
+            reader = _READERS.get(item.text.lower()) if item.kind == "word" else None
+            if reader is None or [x.kind for x in items[at + 1 : at + 4]] != ["mark", "text", "mark"] or items[at + 1].text + items[at + 3].text != "()":
+                continue
+            view = f"tessera_file_{uuid4().hex}"
+            reader(self.spark.read, items[at + 2].text[1:-1].replace("''", "'")).createOrReplaceTempView(view)
+            items[at].text, items[at + 1].text, items[at + 2].text, items[at + 3].text = view, "", "", ""
+        return "".join(x.text for x in items)
+
     def _plan(self, sql: str) -> DataFrame:
         """The guarded query, not yet run; of two readings the first that resolves."""
+        sql = self._with_files(sql)
         readings = texts(sql) if self.dialect == "compat" else [sql]
         for last, text in enumerate(readings, 1 - len(readings)):
             self.guard.check(text)
@@ -159,41 +207,43 @@ class QueryEngine:
         raise AssertionError("there is always a reading")
 
     def _fetch(self, sql: str) -> tuple[list[str], list[tuple]]:
-        """Columns and rows within the limits.
+        """Columns and rows within the limits of time, rows and bytes."""
+        return in_time(self.spark, self.security.query_timeout, lambda: self._rows_within(sql))
+
+    def _rows_within(self, sql: str) -> tuple[list[str], list[tuple]]:
+        """A result whose size isn't known to be small is measured where its rows are made, and refused before it moves.
 
-        Rows come as Arrow batches and become Python objects only after the caps are checked. What the driver takes
-        at all is bounded by the row cap and by spark.driver.maxResultSize.
+        Rows come as Arrow batches and become Python objects only after the caps are checked.
         """
         rows_cap, bytes_cap = self.security.max_result_rows, self.security.max_result_bytes
-        with time_limit(self.spark, self.security.query_timeout):
-            df = self._plan(sql)
-            columns = df.columns
-            limited = df.toDF(*[f"c{i}" for i in range(len(columns))]).limit(rows_cap + 1) if rows_cap is not None else df.toDF(*[f"c{i}" for i in range(len(columns))])
-            if bytes_cap is not None and any(_can_be_large(t) for _, t in df.dtypes):
-                self._check_bytes(limited, bytes_cap)
-            try:
-                table = limited.toArrow()
-            except Exception as error:
-                if "maxResultSize" in str(error):
-                    raise ResultTooLargeError("the result is over spark.driver.maxResultSize: select less, or use query_iter()") from error
-                raise
-            if rows_cap is not None and table.num_rows > rows_cap:
-                raise ResultTooLargeError(f"over {rows_cap:,} rows: add a LIMIT or aggregate, raise max_result_rows, or use query_iter() or query_arrow()")
-            large = [c for c, (_, t) in zip(table.columns, limited.dtypes, strict=True) if _can_be_large(t)]
-            if bytes_cap is not None and sum(c.nbytes for c in large) > bytes_cap:
-                raise ResultTooLargeError(f"over {bytes_cap:,} bytes: select less, raise max_result_bytes, or use query_iter()")
-            return columns, list(zip(*[_values(c) for c in table.columns], strict=True)) if columns else []
-
-    @staticmethod
-    def _check_bytes(df: DataFrame, cap: int) -> None:
-        """Refuse a result whose plan alone says it is too large: a cell made by repeat() never leaves the executors."""
-        if not any(word in df._jdf.queryExecution().logical().toString().lower() for word in ("repeat", "pad(", "array_repeat", "sequence", "collect_", "array_agg", "string_agg", "listagg", "concat")):
-            return
-        size = lambda c, t: F.octet_length(F.col(f"`{c}`")) if t in ("string", "binary") else F.octet_length(F.to_json(F.struct(F.col(f"`{c}`"))))
-        large = [size(c, t).cast("long") for c, t in df.dtypes if _can_be_large(t)]
-        total = df.agg(F.sum(sum((F.coalesce(x, F.lit(0)) for x in large), F.lit(0))).alias("n")).first()["n"]
-        if (total or 0) > cap:
-            raise ResultTooLargeError(f"about {total:,} bytes, over the cap of {cap:,}: select less or raise max_result_bytes")
+        df = self._plan(sql)
+        columns = df.columns
+        limited = df.toDF(*[f"c{i}" for i in range(len(columns))])
+        if rows_cap is not None:
+            limited = limited.limit(rows_cap + 1)
+        large = [i for i, f in enumerate(limited.schema.fields) if can_be_large(f.dataType)]
+        try:
+            if bytes_cap is not None and large and not self._is_small(df, sql, bytes_cap) and (size := result_bytes(limited)) > bytes_cap:
+                raise ResultTooLargeError(f"{size:,} bytes, over the cap of {bytes_cap:,}: select less, raise max_result_bytes, or use query_iter()")
+            table = limited.toArrow()
+        except (Py4JJavaError, PySparkException) as error:
+            for sign, what in (("maxResultSize", "the result is over spark.driver.maxResultSize"), ("OutOfMemoryError", "a value is larger than the memory")):
+                if sign in str(error):
+                    raise ResultTooLargeError(f"{what}: select less, or use query_iter()") from error
+            raise
+        if rows_cap is not None and table.num_rows > rows_cap:
+            raise ResultTooLargeError(f"over {rows_cap:,} rows: add a LIMIT or aggregate, raise max_result_rows, or use query_iter() or query_arrow()")
+        if bytes_cap is not None and sum(table.column(i).nbytes for i in large) > bytes_cap:
+            raise ResultTooLargeError(f"over {bytes_cap:,} bytes: select less, raise max_result_bytes, or use query_iter()")
+        return columns, list(zip(*[_values(c) for c in table.columns], strict=True)) if columns else []
+
+    def _is_small(self, df: DataFrame, sql: str, cap: int) -> bool:
+        """Whether the tables of the query are so small that what they hand on can't be over the cap."""
+        sizes = [t.get("bytes") for name, t in self.tables.items() if name.lower() in sql.lower()]
+        if None in sizes:
+            return False
+        bound = sum(sizes) * 8 * max(1, len(df.columns))  # a number of one digit has 8 bytes
+        return bound <= cap and passes_on(df)
 
     def query(self, sql: str) -> list[dict[str, Any]]:
         """Rows as dicts; of columns with the same name the last one stays."""
@@ -206,24 +256,21 @@ class QueryEngine:
         columns = df.columns
 
         def rows() -> Iterator[dict[str, Any]]:
-            source = df.toLocalIterator()
-            while True:
-                batch = []
-                with time_limit(self.spark, self.security.query_timeout):
-                    for row in source:
-                        batch.append(dict(zip(columns, map(_plain, row), strict=True)))
-                        if len(batch) >= batch_size:
-                            break
-                if not batch:
-                    return
+            source = None
+
+            def some() -> list[dict[str, Any]]:
+                nonlocal source
+                source = source or df.toLocalIterator()
+                return [dict(zip(columns, map(_plain, row), strict=True)) for row in islice(source, batch_size)]
+
+            while batch := in_time(self.spark, self.security.query_timeout, some):
                 yield from batch
 
         return rows()
 
     def query_arrow(self, sql: str):
         """The result as an Arrow table, without caps."""
-        with time_limit(self.spark, self.security.query_timeout):
-            return self._plan(sql).toArrow()
+        return in_time(self.spark, self.security.query_timeout, lambda: self._plan(sql).toArrow())
 
     def execute(self, sql: str) -> DataFrame:
         """The lazy DataFrame; limits don't hold for what is done with it."""
@@ -317,10 +364,6 @@ class QueryEngine:
         self.close()
 
 
-def _can_be_large(kind: str) -> bool:
-    return kind.startswith(("string", "binary", "array", "struct", "map", "varchar", "char", "variant"))
-
-
 def _values(column: pa.ChunkedArray) -> list:
     """Python values, column by column at every level; moments without a zone, in UTC, as Spark's rows have them."""
     return [v for chunk in column.chunks for v in _array_values(chunk)]

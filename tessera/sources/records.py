@@ -19,11 +19,12 @@ STREAM_MIN_BYTES = 4 * 1024 * 1024
 
 @dataclass
 class Records:
-    """raw: (rec_id long, raw string). root: array, object or scalar, as the source's root is."""
+    """raw: (rec_id long, raw string). root: array, object or scalar, as the source's root is. size: bytes, if known."""
 
     raw: DataFrame
     root: str
     source: str
+    size: int | None = None
 
 
 def _root_of(value: Any) -> str:
@@ -41,50 +42,87 @@ def from_value(spark: SparkSession, value: Any, source: str = "memory") -> Recor
     for t in texts if root == "array" else ():
         if "NaN" in t or "Infinity" in t:
             J.loads(t)
-    return Records(from_texts(spark, texts), root, source)
+    return Records(from_texts(spark, texts), root, source, sum(map(len, texts)) * 4)
 
 
 def from_text(spark: SparkSession, text: str | bytes, path: str | None = None, source: str = "json_string") -> Records:
     if path is None and J.is_array_text(text):
-        return Records(from_texts(spark, list(J.element_texts(text))), "array", source)
+        return Records(from_texts(spark, list(J.element_texts(text))), "array", source, len(text) * 4)
     return from_value(spark, J.walk_path(J.loads(text), path), source)
 
 
+def file_size(spark: SparkSession, file: str) -> int:
+    """The bytes of a file, or of all files of a folder or pattern, in any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = store.globStatus(where) or []
+    if not len(found):
+        raise FileNotFoundError(f"no such file: {file}")
+    return sum(store.getContentSummary(one.getPath()).getLength() for one in found)
+
+
+def _content(spark: SparkSession, file: str, characters: int | None = None) -> str:
+    """The text of a file, or its beginning: opened here if it is a local one, else read by Spark."""
+    if "://" not in file and os.path.isfile(file):
+        with open(file, "rb") as f:
+            return f.read(characters if characters else -1).decode("utf-8-sig", "strict" if characters is None else "ignore")
+    text = F.col("value") if characters is None else F.substring("value", 1, characters)
+    rows = spark.read.text(file, wholetext=True).select(text).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{file} isn't one file: a folder can hold JSON Lines only (.jsonl, .ndjson)")
+    return rows[0][0].removeprefix("\ufeff")
+
+
 def from_file(spark: SparkSession, file: str, path: str | None = None, stream_min_bytes: int = STREAM_MIN_BYTES) -> Records:
-    """A JSON document in a file. A large root array is split on an executor, element by element.
+    """A JSON document in a file of any store that Spark reads, or JSON Lines.
 
-    One array is one document for any reader, so its split is one task; its records are dealt out at once after it.
-    JSON Lines (.jsonl, .ndjson) and folders of it are split by Spark and scale with the file.
+    A large root array, and a large document of which a path takes a part, are split on an executor, element by
+    element. One document is one text for any reader, so its split is one task and it can't be over 2 GB; its records
+    are dealt out at once after it. JSON Lines (.jsonl, .ndjson) and folders of it are split by Spark and scale with the
+    file.
     """
     name = file.rstrip("/").lower()
     if name.endswith((".jsonl", ".ndjson")):
         if path is not None:
             raise ValueError("a path needs one document; JSON Lines are many")
         lines = spark.read.text(file).where(F.trim("value") != "")
-        return Records(lines.select(F.monotonically_increasing_id().alias("rec_id"), F.col("value").alias("raw")), "array", file)
-    with open(file, "rb") as f:
-        size = os.path.getsize(file)
-        if path is not None or size < stream_min_bytes or not J.is_array_text(f.read(4096)):
-            f.seek(0)
-            return from_text(spark, f.read(), path, file)
+        return Records(lines.select(F.monotonically_increasing_id().alias("rec_id"), F.col("value").alias("raw")), "array", file, file_size(spark, file))
+    size = file_size(spark, file)
+    if size < stream_min_bytes or path is None and not J.is_array_text(_content(spark, file, 4096)):
+        return from_text(spark, _content(spark, file), path, file)
+
+    def batch(n: int, rows: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(range(n, n + len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["rec_id", "raw"])
 
     def split(batches):
-        n = 0
-        for batch in batches:
-            for text in batch.column(0):
-                rows: list[str] = []
-                for element in J.element_texts(text.as_py()):
+        for part in batches:
+            for text in part.column(0):
+                n, rows = 0, []
+                if path is None:
+                    found = J.element_texts(text.as_py())
+                else:  # the part alone leaves the executor
+                    value = J.walk_path(J.loads(text.as_py().removeprefix("\ufeff")), path)
+                    found = map(J.dumps, value) if isinstance(value, list) else [J.dumps(value)]
+                for element in found:
                     rows.append(element)
                     if len(rows) == 2048:
-                        yield pa.RecordBatch.from_arrays([pa.array(range(n, n + len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["rec_id", "raw"])
+                        yield batch(n, rows)
                         n, rows = n + len(rows), []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(range(n, n + len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["rec_id", "raw"])
-                    n += len(rows)
+                    yield batch(n, rows)
 
     whole = spark.read.text(file, wholetext=True)
+    root = "array" if path is None else whole.mapInArrow(_root_at(path), "root string").first()["root"]
     raw = whole.mapInArrow(split, "rec_id long, raw string").repartition(max(2, spark.sparkContext.defaultParallelism))
-    return Records(raw, "array", file)
+    return Records(raw, root, file, size)
+
+
+def _root_at(path: str):
+    def run(batches):
+        for part in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_root_of(J.walk_path(J.loads(x.as_py().removeprefix("\ufeff")), path)) for x in part.column(0)], pa.string())], names=["root"])
+
+    return run
 
 
 def load(spark: SparkSession, source: Any, path: str | None = None, stream_min_bytes: int = STREAM_MIN_BYTES) -> Records:
@@ -107,15 +145,15 @@ def load_any(spark: SparkSession, source: Any) -> Records:
         if source and isinstance(source[0], str):
             for text in source:
                 J.loads(text)
-            return Records(from_texts(spark, list(source)), "array", "json_strings")
+            return Records(from_texts(spark, list(source)), "array", "json_strings", sum(map(len, source)) * 4)
         return from_value(spark, source, "list")
     if isinstance(source, Path):
         out = from_file(spark, str(source))
-        return Records(out.raw, out.root, "file")
+        return Records(out.raw, out.root, "file", out.size)
     if isinstance(source, str):
-        if os.path.exists(source):
+        if os.path.exists(source) or "://" in source and J.first_mark(source) not in ("{", "[", '"'):
             out = from_file(spark, source)
-            return Records(out.raw, out.root, "file")
+            return Records(out.raw, out.root, "file", out.size)
         try:
             return from_text(spark, source)
         except J.InvalidJson as error:
@@ -126,5 +164,8 @@ def load_any(spark: SparkSession, source: Any) -> Records:
 
 
 def from_column(df: DataFrame, column: str, source: str = "column") -> Records:
-    """Records of a string column of JSON text; null rows are left out."""
+    """Records of a string column of JSON text; null rows are left out.
+
+    Records are numbered by their place in the plan's partitions; samples are the same again where that is.
+    """
     return Records(df.where(F.col(column).isNotNull()).select(F.monotonically_increasing_id().alias("rec_id"), F.col(column).alias("raw")), "array", source)

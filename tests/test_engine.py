@@ -89,6 +89,90 @@ def test_byte_cap(spark, sql):
         own.query(sql)
 
 
+BIG = ["SELECT space(50000000) AS v FROM t", "SELECT format_string('%050000000d', 1) AS v FROM t", "SELECT replace(space(100000), ' ', 'ab') || space(900000) AS v FROM t", "SELECT map('k', space(2000000)) AS v", "SELECT named_struct('a', array(named_struct('b', space(2000000)))) AS v", "SELECT t.s AS a, u.s AS b FROM t JOIN t u ON TRUE JOIN range(30) ON TRUE", "SELECT explode(array_repeat(s, 40)) AS v FROM t", "SELECT * FROM t, LATERAL (SELECT explode(sequence(1, 40)))"]
+
+
+@pytest.mark.parametrize("sql", BIG)
+def test_byte_cap_asks_for_no_words(spark, sql):
+    """Whatever makes the bytes, they are counted where they are made."""
+    with QueryEngine(SecurityConfig(max_result_bytes=1_000_000), spark=spark) as own:
+        own.register("t", [{"s": "x" * 20_000}, {"s": "y" * 20_000}])
+        with pytest.raises(ResultTooLargeError):
+            own.query(sql)
+        assert len(own.query("SELECT s FROM t")) == 2 and own.query("SELECT space(30) AS v") == [{"v": " " * 30}]
+
+
+def test_size_of_cells(spark):
+    from tessera.plans.result_size import passes_on, result_bytes
+
+    df = spark.sql("SELECT 'abc' AS a, array('d', NULL, 'éé') AS b, named_struct('x', 1, 'y', 'zz') AS c, map('k', 'vv') AS d, CAST(NULL AS STRING) AS e, 5 AS f, array(1, 2, 3) AS g, X'0102' AS h")
+    assert result_bytes(df) == 3 + (1 + 0 + 4 + 3 * 8) + (8 + 2) + (1 + 8 + 2 + 8) + 0 + 24 + 2
+    table = spark.createDataFrame([("x", 1, ["y"])], "s string, n int, a array<string>")
+    assert all(passes_on(x) for x in (table, table.where("n > 0").orderBy("s").limit(3), table.groupBy("s").count(), table.selectExpr("s AS t", "n + 1 AS m")))
+    assert not any(passes_on(x) for x in (table.selectExpr("upper(s) AS t"), table.selectExpr("explode(a)"), table.crossJoin(table), table.selectExpr("array(n) AS b"), table.groupBy("n").agg({"s": "collect_list"})))
+
+
+def test_time_limit_ends_a_wait_that_is_no_job(spark):
+    import time
+
+    from tessera.plans.guard import in_time
+
+    began = time.monotonic()
+    with pytest.raises(TimeoutError):
+        in_time(spark, 0.5, lambda: time.sleep(20))
+    assert time.monotonic() - began < 5 and in_time(spark, 5, lambda: 7) == 7
+    with pytest.raises(KeyError):
+        in_time(spark, 5, lambda: {}["x"])
+
+
+def test_names_of_with_count_in_their_scope_only(spark):
+    """A table of the catalog that isn't registered stays out of reach, whatever a statement names its parts."""
+    spark.sql("CREATE TABLE IF NOT EXISTS secrets USING parquet AS SELECT 42 AS pw")
+    try:
+        with QueryEngine(spark=spark) as own:
+            own.register("t", [{"a": 1}])
+            for sql in (
+                "SELECT * FROM secrets", "SELECT * FROM secrets, (WITH secrets AS (SELECT 1 AS a) SELECT * FROM secrets) x", "WITH x AS (SELECT * FROM secrets), secrets AS (SELECT 1 AS a) SELECT * FROM x",
+                "WITH secrets AS (SELECT * FROM secrets) SELECT * FROM secrets", "SELECT (WITH secrets AS (SELECT 1 AS a) SELECT a FROM secrets) AS b, pw FROM secrets", "SELECT * FROM t WHERE a IN (SELECT pw FROM secrets)",
+                "WITH a AS (WITH secrets AS (SELECT 1 AS x) SELECT * FROM secrets) SELECT * FROM a, secrets", "SELECT * FROM IDENTIFIER('secrets')", "TABLE secrets", "SELECT * FROM t UNION ALL SELECT * FROM secrets",
+            ):
+                with pytest.raises(ReadOnlyViolationError):
+                    own.query(sql)
+            for sql in (
+                "WITH secrets AS (SELECT 1 AS a) SELECT * FROM secrets", "WITH a AS (SELECT 1 AS x), b AS (SELECT * FROM a) SELECT * FROM b", "SELECT * FROM (WITH a AS (SELECT 1 AS x) SELECT * FROM a)",
+                "WITH a AS (SELECT 1 AS x) SELECT * FROM t WHERE a IN (SELECT x FROM a)", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 1) SELECT * FROM r", "WITH A AS (SELECT 1 AS x) SELECT * FROM a",
+            ):
+                assert len(own.query(sql)) == 1, sql
+    finally:
+        spark.sql("DROP TABLE secrets")
+
+
+def test_reserved_words_need_quotes(engine):
+    with pytest.raises(Exception, match="PARSE|syntax"):
+        engine.query("SELECT end FROM orders")
+    assert len(engine.query('SELECT "end".station FROM orders')) == 12
+
+
+def test_files_by_functions_after_opt_in(spark, tmp_path, engine):
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n2,y\n")
+    (tmp_path / "b.json").write_text('[{"k": 1}, {"k": 2}]')
+    (tmp_path / "c.txt").write_text("some text")
+    with QueryEngine(spark=spark, allow_external_access=True) as own:
+        assert own.query(f"SELECT v FROM read_csv('{tmp_path}/a.csv') WHERE k = 2") == [{"v": "y"}]
+        assert own.query(f"SELECT a.v FROM read_csv_auto('{tmp_path}/a.csv') a JOIN read_json('{tmp_path}/b.json') b ON a.k = b.k ORDER BY v") == [{"v": "x"}, {"v": "y"}]
+        assert own.query(f"SELECT content FROM read_text('{tmp_path}/c.txt')") == [{"content": "some text"}]
+        assert own.query("SELECT 'read_csv(''x'')' AS v") == [{"v": "read_csv('x')"}]
+    for name in ("read_csv", "read_json", "read_text", "read_parquet"):
+        with pytest.raises(ReadOnlyViolationError):
+            engine.query(f"SELECT * FROM {name}('{tmp_path}/a.csv')")
+
+
+def test_settings_tell_what_holds(spark):
+    with QueryEngine(spark=spark, query_timeout=5, max_result_rows=7) as own:
+        got = own.settings()
+        assert got["query_timeout"] == 5 and got["max_result_rows"] == 7 and got["read_only"] and not got["allow_external_access"] and got["locked"]
+
+
 def test_timeout_leaves_the_engine_usable(spark):
     with QueryEngine(spark=spark, query_timeout=1.5) as own:
         with pytest.raises(TimeoutError):
@@ -173,6 +257,37 @@ def test_parquet_and_frames(spark, tmp_path):
         assert own.query("SELECT COUNT(*) AS n FROM p JOIN d USING (id)") == [{"n": 3}]
 
 
+def test_frames_are_described_like_json(spark, tmp_path):
+    """Tables of frames and Parquet give a prompt their schema, values and keys."""
+    spark.sql("SELECT id AS order_id, id % 3 AS customer_id, CAST('2024-05-01' AS DATE) AS day, named_struct('city', 'Ulm', 'zip', CAST(NULL AS STRING)) AS place, array(named_struct('sku', 's1', 'qty', 2)) AS items, IF(id % 2 = 0, 'new', 'paid') AS status FROM range(50)").write.parquet(f"{tmp_path}/orders")
+    with QueryEngine(spark=spark) as own:
+        own.register_parquet("orders", f"{tmp_path}/orders", "web shop").register_df("customers", spark.sql("SELECT id AS customer_id, 'Ann' AS name, map('k', 1) AS m FROM range(3)"))
+        text = own.generate_prompt()
+        for part in ("orders.customer_id = customers.customer_id", "sku: str samples=[\"s1\"]", 'status: str e.g. one of ["new", "paid"]', "day: str (ISO date)", "place: {city: str", "(50 rows)", "web shop"):
+            assert part in text, (part, text)
+        for sql in re.findall(r"```sql\n(.*?)\n```", text, re.S):
+            assert own.execute_query(sql).success, sql
+
+
+def test_json_files_of_a_shared_store(spark, tmp_path):
+    """Files are read by Spark where open() doesn't reach them: small, large, with a path, and as lines."""
+    import json
+
+    data = {"all": {"rows": [{"k": i, "s": "é" * 30} for i in range(3000)]}}
+    (tmp_path / "d.json").write_text(json.dumps(data["all"]["rows"]))
+    (tmp_path / "p.json").write_text("\ufeff" + json.dumps(data))
+    (tmp_path / "l.jsonl").write_text("\n".join(map(json.dumps, data["all"]["rows"])))
+    for least in (1, 1 << 30):
+        with QueryEngine(spark=spark, stream_min_bytes=least) as own:
+            own.register("d", f"file://{tmp_path}/d.json").register("p", f"file://{tmp_path}/p.json", "$.all.rows").register("l", f"file://{tmp_path}/l.jsonl").register("o", f"file://{tmp_path}/p.json", "$.all")
+            assert own.query("SELECT SUM(d.k) AS a, SUM(p.k) AS b, SUM(l.k) AS c FROM d JOIN p USING (s, k) JOIN l USING (s, k)") == [{"a": 4498500, "b": 4498500, "c": 4498500}]
+            assert own.query("SELECT size(rows) AS n FROM o") == [{"n": 3000}]
+            with pytest.raises(Exception, match="not found"):
+                own.register("x", f"file://{tmp_path}/p.json", "$.all.none").query("SELECT * FROM x")
+    with QueryEngine(spark=spark) as own, pytest.raises(FileNotFoundError):
+        own.register("x", f"file://{tmp_path}/nothing.json")
+
+
 def test_facade(spark, tmp_path):
     assert tessera.validate(spark) == []
     with tessera.Profiler(spark=spark) as p:
