@@ -5,15 +5,22 @@ Most are pairs of texts, since the engine's language is SQL; nested data and the
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.facts import collect_facts
 from tessera.operators.infer import build_table
 from tessera.operators.stats import stats_of
+from tessera.plans.engine import QueryEngine
+from tessera.plans.guard import ReadOnlyViolationError
+from tessera.plans.profiler import Profiler, validate
+from tessera.plans.table_text import FORMATS
+from tessera.sources.json_text import dumps, loads, walk_path
 from tessera.sources.records import from_column
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -83,7 +90,11 @@ sql("agg_pivot", "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, 1 AS one
 sql("agg_unpivot", "SELECT k, what, v FROM (SELECT s_suppkey AS k, CAST(s_nationkey AS BIGINT) AS nation_key, s_suppkey * 2 AS twice FROM supplier) UNPIVOT (v FOR what IN (nation_key, twice))", "SELECT s_suppkey AS k, 'nation_key' AS what, CAST(s_nationkey AS BIGINT) AS v FROM supplier UNION ALL SELECT s_suppkey, 'twice', s_suppkey * 2 FROM supplier")
 sql("agg_median", "SELECT l_returnflag, ROUND(median(l_quantity), 4) AS med, ROUND(percentile(l_extendedprice, 0.9), 2) AS p90 FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, ROUND(median(l_quantity), 4) AS med, ROUND(quantile_cont(l_extendedprice, 0.9), 2) AS p90 FROM lineitem GROUP BY l_returnflag")
 # 64 registers of a sketch: no exact form, so only rows are compared.
-frame("agg_approx_distinct", None)(lambda spark, d: read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts")))
+sql("agg_approx_distinct", "SELECT l_returnflag, ABS(approx_count_distinct(l_partkey) - COUNT(DISTINCT l_partkey)) <= 0.15 * COUNT(DISTINCT l_partkey) AS close FROM lineitem GROUP BY l_returnflag", "SELECT DISTINCT l_returnflag, TRUE AS close FROM lineitem")
+sql("agg_approx_percentile", "SELECT l_returnflag, ABS(percentile_approx(l_quantity, 0.5, 1000) - MEDIAN(l_quantity)) <= 1 AS close FROM lineitem GROUP BY l_returnflag", "SELECT DISTINCT l_returnflag, TRUE AS close FROM lineitem")
+# Nulls are kept where each value is wrapped before it is gathered.
+sql("agg_array_agg_nulls", "SELECT r, array_join(transform(array_sort(collect_list(named_struct('k', s_suppkey, 'v', v))), x -> x.v), ',', 'null') AS v FROM (SELECT s_nationkey % 3 AS r, s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS STRING) END AS v FROM supplier) x GROUP BY r", "SELECT r, array_to_string(list(coalesce(v, 'null') ORDER BY s_suppkey), ',') AS v FROM (SELECT s_nationkey % 3 AS r, s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) END AS v FROM supplier) x GROUP BY r")
+sql("divide_by_zero", "SELECT s_suppkey, try_divide(s_acctbal, s_suppkey % 3) AS q, try_divide(s_suppkey, s_suppkey % 2) AS w FROM supplier", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal / (s_suppkey % 3) END AS q, CASE WHEN s_suppkey % 2 <> 0 THEN CAST(s_suppkey AS DOUBLE) / (s_suppkey % 2) END AS w FROM supplier")
 
 # ---- joins
 
@@ -96,11 +107,16 @@ sql("join_natural", "SELECT k, x, y FROM (SELECT n_regionkey AS k, n_name AS x F
 sql("join_cross", "SELECT r.r_name AS a, s.r_name AS b FROM region r CROSS JOIN region s")
 sql("join_self_theta", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 sql("join_semi_exists", "SELECT c.c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
-sql("join_anti_not_exists", "SELECT c.c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+sql("join_anti_not_exists", "SELECT c.c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT' AND o.o_orderstatus = 'F')")
 sql("scalar_subquery", "SELECT p_partkey, p_retailprice > (SELECT AVG(p_retailprice) FROM part) AS dear FROM part")
 sql("in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
-# The latest order of a customer at or before a moment: an aggregate over the matching rows, by the customer's key.
-sql("join_asof", "SELECT e.event_id, MAX_BY(o.o_orderkey, STRUCT(o.o_orderdate, o.o_orderkey)) AS o_orderkey FROM (SELECT event_id, user_id, ts FROM events) e LEFT JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts GROUP BY e.event_id", "SELECT e.event_id, (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = e.user_id AND o.o_orderdate <= e.ts ORDER BY o.o_orderdate DESC, o.o_orderkey DESC LIMIT 1) AS o_orderkey FROM events e")
+# The latest order of a customer at or before a moment: both in one order by customer and time, so each row is read once
+# however many orders a customer has.
+sql(
+    "join_asof",
+    "SELECT event_id, o_orderkey FROM (SELECT event_id, side, LAST_VALUE(o_orderkey) IGNORE NULLS OVER (PARTITION BY k ORDER BY ts, side, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o_orderkey FROM (SELECT user_id AS k, ts, 1 AS side, event_id, CAST(NULL AS BIGINT) AS o_orderkey FROM events UNION ALL SELECT o_custkey, o_orderdate, 0, NULL, o_orderkey FROM orders) u) x WHERE side = 1",
+    "SELECT e.event_id, (SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = e.user_id AND o.o_orderdate <= e.ts ORDER BY o.o_orderdate DESC, o.o_orderkey DESC LIMIT 1) AS o_orderkey FROM events e",
+)
 sql("join_interval", "SELECT p.tier, COUNT(*) AS n FROM part t JOIN (SELECT 'low' AS tier, 0 AS a, 1000 AS b UNION ALL SELECT 'middle', 1000, 1500 UNION ALL SELECT 'high', 1500, 100000) p ON t.p_retailprice >= p.a AND t.p_retailprice < p.b GROUP BY p.tier")
 
 # ---- windows
@@ -116,7 +132,7 @@ sql("topk_per_group", "SELECT l_returnflag, l_orderkey, l_linenumber FROM (SELEC
 
 sql("set_union_all", "SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer")
 sql("set_union", "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer")
-sql("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+sql("set_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'")
 sql("set_intersect", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
 sql("order_nulls_last", "SELECT k, v FROM (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey END AS v FROM supplier) x ORDER BY v DESC NULLS LAST, k LIMIT 7")
 
@@ -223,7 +239,8 @@ def _json_path(spark, d):
 @frame("json_nested_roundtrip", "SELECT l_partkey AS part, ROUND(SUM(l_quantity), 1) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey")
 def _json_roundtrip(spark, d):
     texts = order_documents(spark, d).select(F.to_json(F.struct("o_orderkey", "customer", "items")).alias("text"))
-    table = build_table(from_column(texts, "text")).df
+    # Inference reads the texts twice and the query once more: they are made once.
+    table = build_table(from_column(texts.persist(StorageLevel.DISK_ONLY), "text")).df
     return table.select(F.explode("items").alias("item")).groupBy(F.col("item.l_partkey").alias("part")).agg(F.round(F.sum("item.l_quantity"), 1).alias("quantity"))
 
 
@@ -258,7 +275,7 @@ def _split(items: str) -> list[str]:
     return list(element_texts(f"[{items}]"))
 
 
-@frame("prompt_join_keys", None)
+@frame("prompt_join_keys", "SELECT * FROM (VALUES ('customers', 'customer_id', 'orders', 'customer.customer_id')) t(left_table, left_field, right_table, right_field)")
 def _prompt_join_keys(spark, d):
     """Join keys that the prompt would name, of customers and orders as JSON tables."""
     from tessera.operators.structure import root_shape
@@ -274,6 +291,158 @@ def _prompt_join_keys(spark, d):
     return spark.createDataFrame(join_keys(own), "left_table string, left_field string, right_table string, right_field string")
 
 
+# ---- through the engine: guarded SQL over registered tables, its ways to a result, and what it tells of itself
+
+_FIXED_NATIONS = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+
+
+def engine_over(spark: SparkSession, sf_dir: str, *tables: str, **options) -> QueryEngine:
+    """An engine with some of the driver's tables as frames."""
+    engine = QueryEngine(spark=spark, **options)
+    for t in tables:
+        engine.register_df(t, read(spark, sf_dir, t))
+    return engine
+
+
+def engine_sql(name: str, text: str, *tables: str, oracle: str | None = None, **options) -> None:
+    """A query that goes through the guard and the engine's own session; compat texts are those of the oracle."""
+    frame(name, oracle or text)(lambda spark, d: engine_over(spark, d, *tables, **options).execute(text))
+
+
+engine_sql("engine_lateral_alias", "SELECT o_orderkey, o_totalprice * 2 AS twice, twice + 1 AS more FROM orders", "orders")
+engine_sql("engine_double_quotes", 'SELECT "c_custkey" AS "end", c."c_name" AS "first-name" FROM customer c WHERE "c_acctbal" > 0', "customer")
+engine_sql("compat_qualify", "SELECT c_nationkey, c_custkey FROM customer QUALIFY ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1", "customer", dialect="compat")
+engine_sql("compat_unnest", "SELECT n_regionkey, unnest([n_nationkey, n_nationkey + 100]) AS k FROM nation", "nation", dialect="compat")
+engine_sql("compat_lists", "SELECT n_nationkey, [n_nationkey, 7][2] AS second, len(n_name) AS letters, list_contains([1, 2, 3], n_regionkey) AS held, n_nationkey // 2 AS half FROM nation", "nation", dialect="compat", oracle="SELECT n_nationkey, [n_nationkey, 7][2] AS second, CAST(len(n_name) AS INTEGER) AS letters, list_contains([1, 2, 3], n_regionkey) AS held, CAST(n_nationkey // 2 AS BIGINT) AS half FROM nation")
+engine_sql("compat_nulls_last", "SELECT s_suppkey, ROW_NUMBER() OVER (ORDER BY v, s_suppkey) AS n FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey END AS v FROM supplier) x", "supplier", dialect="compat", oracle="SELECT s_suppkey, CAST(ROW_NUMBER() OVER (ORDER BY v NULLS LAST, s_suppkey) AS INTEGER) AS n FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey END AS v FROM supplier) x")
+
+
+def nation_document(spark: SparkSession, sf_dir: str) -> str:
+    """The nations as one JSON document, with its rows at $.world.nations."""
+    rows = [r.asDict() for r in read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    return dumps({"world": {"nations": rows, "first": rows[0]}})
+
+
+@frame("engine_path_in_text", _FIXED_NATIONS)
+def _engine_path(spark, d):
+    engine = QueryEngine(spark=spark).register("n", nation_document(spark, d), "$.world.nations[]")
+    return engine.execute("SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM n")
+
+
+@frame("engine_register_many", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _engine_many(spark, d):
+    regions = [r.asDict() for r in read(spark, d, "region").collect()]
+    engine = QueryEngine(spark=spark).register_many({"regions": regions, "nations": (nation_document(spark, d), "$.world.nations")})
+    return engine.execute("SELECT n_name, r_name FROM nations JOIN regions ON n_regionkey = r_regionkey")
+
+
+@frame("engine_path_errors", "SELECT * FROM (VALUES ('$.world.nations.0.n_name', 'ok'), ('$.world.nations.99', 'out of range'), ('$.world.none', 'not found'), ('$.world.first.n_name.x', 'cannot go')) t(path, outcome)")
+def _engine_path_errors(spark, d):
+    document, out = loads(nation_document(spark, d)), []
+    for path in ("$.world.nations.0.n_name", "$.world.nations.99", "$.world.none", "$.world.first.n_name.x"):
+        try:
+            walk_path(document, path)
+            out.append((path, "ok"))
+        except ValueError as error:
+            out.append((path, next(x for x in ("out of range", "not found", "cannot go") if x in str(error))))
+    return spark.createDataFrame(out, "path string, outcome string")
+
+
+_WAYS_SQL = "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey > 3"
+
+
+@frame("engine_ways_to_a_result", " UNION ALL ".join(f"SELECT '{way}' AS way, n_nationkey, n_name FROM nation WHERE n_nationkey > 3" for way in ("arrow", "csv", "dicts", "iterator", "json")))
+def _engine_ways(spark, d):
+    with engine_over(spark, d, "nation") as engine:
+        found = {"dicts": engine.query(_WAYS_SQL), "iterator": list(engine.query_iter(_WAYS_SQL, 4)), "arrow": engine.query_arrow(_WAYS_SQL).to_pylist(), "json": loads(engine.format_query(_WAYS_SQL, "json")), "csv": list(csv.DictReader(engine.format_query(_WAYS_SQL, "csv").splitlines()))}
+    return spark.createDataFrame([(way, int(r["n_nationkey"]), r["n_name"]) for way, rows in found.items() for r in rows], "way string, n_nationkey int, n_name string")
+
+
+@frame("engine_result_texts", "SELECT format, 5::BIGINT AS shown FROM (VALUES ('simple'), ('grid'), ('pipe'), ('markdown'), ('github'), ('csv'), ('json')) t(format)")
+def _engine_texts(spark, d):
+    with engine_over(spark, d, "region") as engine:
+        names = [r["r_name"] for r in engine.query("SELECT r_name FROM region")]
+        texts = {f: engine.format_query("SELECT r_regionkey, r_name FROM region", f) for f in FORMATS}
+    return spark.createDataFrame([(f, sum(n in text for n in names)) for f, text in texts.items()], "format string, shown long")
+
+
+_REFUSED = ["DROP VIEW region", "CREATE TABLE t (a INT)", "INSERT INTO region VALUES (1)", "SET a = 1", "COPY region TO 'x'", "ATTACH 'x'", "SELECT 1; SELECT 2", "SELECT * FROM nobody", "SELECT * FROM text.`/etc/hostname`", "SELECT reflect('java.lang.System', 'getenv')", "SELECT * FROM nation, (WITH nation AS (SELECT 1 AS a) SELECT * FROM nation) x", "SELECT * FROM read_csv('x.csv')"]
+_ALLOWED = ["SELECT 1 AS x", "SELECT * FROM region", "EXPLAIN SELECT * FROM region", "WITH nation AS (SELECT 1 AS a) SELECT * FROM nation", "SELECT ';' AS x"]
+
+
+@frame("guard_verdicts", "SELECT * FROM (VALUES " + ", ".join(f"('{t.replace(chr(39), chr(39) * 2)}', {x})" for x, ts in (("'refused'", _REFUSED), ("'allowed'", _ALLOWED)) for t in ts) + ") t(statement, verdict)")
+def _guard_verdicts(spark, d):
+    out = []
+    with engine_over(spark, d, "region") as engine:
+        for text in _REFUSED + _ALLOWED:
+            try:
+                engine.guard.check(text)
+                out.append((text, "allowed"))
+            except ReadOnlyViolationError:
+                out.append((text, "refused"))
+    return spark.createDataFrame(out, "statement string, verdict string")
+
+
+@frame("engine_limits", "SELECT * FROM (VALUES ('rows at the cap', 'ok'), ('rows over it', 'ResultTooLargeError'), ('bytes over the cap', 'ResultTooLargeError'), ('no such column', 'AnalysisException'), ('time', 'TimeoutError')) t(what, outcome)")
+def _engine_limits(spark, d):
+    cases = {"rows at the cap": "SELECT * FROM range(50)", "rows over it": "SELECT * FROM range(51)", "bytes over the cap": "SELECT space(200000 + r_regionkey) AS x FROM region", "no such column": "SELECT nothing FROM region", "time": "SELECT COUNT(*) AS n FROM range(400000000000) WHERE hash(id) % 1000003 = 3"}
+    out = []
+    for what, text in cases.items():
+        with engine_over(spark, d, "region", max_result_rows=50, max_result_bytes=500_000, query_timeout=1.5 if what == "time" else 60) as engine:
+            try:
+                engine.query(text)
+                out.append((what, "ok"))
+            except Exception as error:
+                out.append((what, type(error).__name__))
+    return spark.createDataFrame(out, "what string, outcome string")
+
+
+@frame("engine_tables_and_schema", "SELECT * FROM (VALUES ('region', 'r_regionkey', 'int', 5), ('region', 'r_name', 'string', 5), ('nations', 'n_name', 'string', 25), ('nations', 'n_nationkey', 'bigint', 25), ('nations', 'n_regionkey', 'bigint', 25)) t(name, field, type, n_rows)")
+def _engine_tables(spark, d):
+    with engine_over(spark, d, "region").register("nations", nation_document(spark, d), "$.world.nations") as engine:
+        counts = re.findall(r"  (\w+):\n(?:    .*\n)*?    rows: ([\d,]+)", engine.tables_info())
+        out = [(t, *line.strip().split(": "), int(n)) for t, n in counts for line in engine.schema(t).split("\n")[1:]]
+    return spark.createDataFrame(out, "name string, field string, type string, n_rows int")
+
+
+@frame("prompt_schema", "SELECT * FROM (VALUES (1, '[{'), (2, '  n_name: str'), (3, '  n_nationkey: int'), (4, '  n_regionkey: int'), (5, '}]')) t(line, text)")
+def _prompt_schema(spark, d):
+    with QueryEngine(spark=spark).register("nations", nation_document(spark, d), "$.world.nations") as engine:
+        body = re.search(r"```typescript\n(.*?)\n```", engine.describe_tables(samples=0), re.S)[1]
+        body = body if "\n" in body else body.replace("[{", "[{\n  ").replace(", ", "\n  ").replace("}]", "\n}]")
+    return spark.createDataFrame(list(enumerate(body.split("\n"), 1)), "line int, text string")
+
+
+@frame("profile_trees", "SELECT form, key, TRUE AS shown FROM (VALUES ('tree'), ('tabs'), ('bracket'), ('schema')) f(form), (VALUES ('world'), ('nations'), ('n_name'), ('n_regionkey')) k(key)")
+def _profile_trees(spark, d):
+    with Profiler(spark=spark) as profiler:
+        profiler.analyze(nation_document(spark, d))
+        out = [(form, key, key in profiler.tree(form)) for form in ("tree", "tabs", "bracket", "schema") for key in ("world", "nations", "n_name", "n_regionkey")]
+    return spark.createDataFrame(out, "form string, key string, shown boolean")
+
+
+@frame("profile_statistics", "SELECT * FROM (SELECT '$.world.nations[].n_name' AS path, COUNT(*) AS seen, 0::BIGINT AS nulls, SUM(length(n_name))::DOUBLE AS total, COUNT(DISTINCT n_name) AS different FROM nation UNION ALL SELECT '$.world.nations[].n_regionkey', COUNT(*), 0, SUM(n_regionkey)::DOUBLE, COUNT(DISTINCT n_regionkey) FROM nation) t")
+def _profile_statistics(spark, d):
+    with Profiler(spark=spark) as profiler:
+        fields = profiler.analyze(nation_document(spark, d)).stats_result().field_stats
+        name, region = fields["$.world.nations[].n_name"], fields["$.world.nations[].n_regionkey"]
+        rows = [(f.path, f.total_seen, f.null_count, m.total, len(f.unique_values)) for f, m in ((name, name.strings), (region, region.numbers))]
+    return spark.createDataFrame(rows, "path string, seen long, nulls long, total double, different long")
+
+
+@frame("inference_values", "SELECT * FROM (VALUES ('9007199254740993', '9.007199254740992E15'), ('1.5', '1.5'), ('big', '123456789012345678901234567890'), ('flag', 'true'), ('mixed', '[1,2]')) t(item, value)")
+def _inference_values(spark, d):
+    """Integers beside fractions round, and where types conflict every digit stays."""
+    own = QueryEngine(spark=spark)
+    own.register("a", '[{"v": 9007199254740993}, {"v": 1.5}]').register("b", '[{"big": 123456789012345678901234567890, "flag": true, "mixed": [1, 2]}, {"big": 1, "flag": "x", "mixed": {"a": 1}}]')
+    return own.execute("SELECT IF(v > 2, '9007199254740993', '1.5') AS item, CAST(v AS STRING) AS value FROM a UNION ALL SELECT * FROM (SELECT inline(array(named_struct('item', 'big', 'value', big), named_struct('item', 'flag', 'value', flag), named_struct('item', 'mixed', 'value', mixed))) FROM b WHERE flag = 'true')")
+
+
+@frame("self_test", "SELECT 0::BIGINT AS n_wrong")
+def _self_test(spark, d):
+    return spark.createDataFrame([(len(validate(spark)),)], "n_wrong long")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
