@@ -126,36 +126,41 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, depth: int, error: int, budge
 def near_edges(fps: DataFrame, cell_bits: int | None = None, largest: int = LARGEST_TRIE) -> DataFrame:
     """Edges (u, v) with the components of "differ in at most MAX_BITS bits" over fps(fp, node), fp distinct.
 
-    The leading cell_bits part the fingerprints into tries. Each pair of tries whose prefixes are within the
-    budget is one row, joined by its own task step, which returns a spanning forest and not the pairs.
+    Two fingerprints that differ in at most MAX_BITS bits agree in one of MAX_BITS + 1 equal parts of them. So each is
+    turned in as many ways, a part of it in front each time, and its cell_bits leading bits say which trie it goes to:
+    MAX_BITS + 1 copies, however many tries there are. Each trie is joined with itself by a step of its own, which
+    returns a spanning forest and not the pairs.
     """
     spark = fps.sparkSession
     if cell_bits is None:
         n = fps.count()
         cell_bits = min(MAX_CELL_BITS, max(MIN_CELL_BITS, int(np.ceil(np.log2(max(1, n / TRIE_SIZE))))))
+    part = 64 // (MAX_BITS + 1)
+    turned = [F.col("fp"), *(F.shiftleft("fp", part * t).bitwiseOR(F.shiftrightunsigned("fp", 64 - part * t)) for t in range(1, MAX_BITS + 1))]
+    rows = fps.select("node", F.posexplode(F.array(*turned)).alias("turn", "key"))
+    placed = rows.select("node", "key", (F.col("turn") * (1 << cell_bits) + F.shiftrightunsigned("key", 64 - cell_bits)).cast("int").alias("cell"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(frame["fp"].to_numpy().view(np.uint64))
-        return pd.DataFrame({"cell": [int(frame["cell"].iloc[0])], "chunk": [int(frame["chunk"].iloc[0])], "fps": [frame["fp"].to_numpy()[order].tobytes()], "nodes": [frame["node"].to_numpy()[order].tobytes()]})
+        order = np.argsort(frame["key"].to_numpy().view(np.uint64))
+        return pd.DataFrame({"cell": [int(frame["cell"].iloc[0])], "chunk": [int(frame["chunk"].iloc[0])], "keys": [frame["key"].to_numpy()[order].tobytes()], "nodes": [frame["node"].to_numpy()[order].tobytes()]})
 
-    placed = fps.withColumn("cell", F.shiftrightunsigned("fp", 64 - cell_bits).cast("int"))
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / largest).cast("int").alias("chunks"))
-    placed = placed.join(sizes.where("chunks > 1"), "cell", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("fp"), "chunks"), F.lit(0)).cast("int"))
-    cells = materialize(placed.groupBy("cell", "chunk").applyInPandas(pack, "cell int, chunk int, fps binary, nodes binary"), "tries")
-    masks = [m for m in range(1 << cell_bits) if bin(m).count("1") <= MAX_BITS]
-    partners = cells.withColumn("mask", F.explode(F.lit(masks).cast("array<int>"))).withColumn("other", F.col("cell").bitwiseXOR(F.col("mask"))).where("cell <= other")
-    right = cells.select(F.col("cell").alias("other"), F.col("chunk").alias("chunk2"), F.col("fps").alias("fps2"), F.col("nodes").alias("nodes2"))
+    placed = placed.join(sizes.where("chunks > 1"), "cell", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("key"), "chunks"), F.lit(0)).cast("int"))
+    tries = materialize(placed.groupBy("cell", "chunk").applyInPandas(pack, "cell int, chunk int, keys binary, nodes binary"), "tries")
+    other = tries.select("cell", F.col("chunk").alias("chunk2"), F.col("keys").alias("keys2"), F.col("nodes").alias("nodes2"))
+    across = tries.join(other, "cell").where("chunk < chunk2").select("cell", "keys", "nodes", "keys2", "nodes2")  # of hot cells only
+    none = F.lit(None).cast("binary")
     n_tasks = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = partners.join(right, "other").where("cell < other or chunk <= chunk2").repartition(n_tasks, "cell", "other", "chunk", "chunk2")
+    pairs = tries.select("cell", "keys", "nodes", none.alias("keys2"), none.alias("nodes2")).repartition(n_tasks, "cell", F.xxhash64("keys")).unionByName(across)
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                mask, same, f1, n1, f2, n2 = (batch.column(i)[row].as_py() for i in range(6))
-                a, b = np.frombuffer(f1, np.uint64), np.frombuffer(f2, np.uint64)
-                na, nb = np.frombuffer(n1, np.int64), np.frombuffer(n2, np.int64)
+                k1, n1, k2, n2 = (batch.column(i)[row].as_py() for i in range(4))
+                a, na = np.frombuffer(k1, np.uint64), np.frombuffer(n1, np.int64)
+                b, nb = (None, na) if k2 is None else (np.frombuffer(k2, np.uint64), np.frombuffer(n2, np.int64))
                 u, v, held = [], [], 0
-                for x, y in trie_join(a, None if same else b, cell_bits, bin(mask).count("1")):
+                for x, y in trie_join(a, b, cell_bits, 0):
                     u.append(na[x])
                     v.append(nb[y])
                     held += len(x)
@@ -166,7 +171,7 @@ def near_edges(fps: DataFrame, cell_bits: int | None = None, largest: int = LARG
                     p, q = local_forest(np.concatenate(u), np.concatenate(v))
                     yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], names=["u", "v"])
 
-    return pairs.select("mask", F.expr("cell = other and chunk = chunk2"), "fps", "nodes", "fps2", "nodes2").mapInArrow(run, "u long, v long")
+    return pairs.select("keys", "nodes", "keys2", "nodes2").mapInArrow(run, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,8 +180,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component: smallest id reachable over links of at most MAX_BITS differing bits, itself included. Equal
     fingerprints are one class, whose smallest id stands for it in the trie join; so exact copies cost nothing.
     Null, empty and white texts have fingerprint 0 and link like any other. A null id gets its fingerprint and
-    a null component, and links with nothing. Repeated ids are one document with several texts. Only id_col and
-    text_col are read, so other columns can have any names.
+    a null component, and links with nothing. Repeated ids are one document with several texts. Whole texts count,
+    however long. Only id_col and text_col are read, so other columns can have any names. No rows: none out.
     """
     marked = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = materialize(marked.where("id is not null").groupBy("fp").agg(F.min("id").alias("node"), F.max("id").alias("last")), "classes")
