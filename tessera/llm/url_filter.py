@@ -14,9 +14,8 @@ from tessera.llm.shared import materialize
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: A level passes about this share of the keys that it must not hold; each level shrinks what the next one encodes.
 LEVEL_FPP = 0.01
-MAX_LEVELS = 64
-#: Bits of a level; the first follows the rule list, later ones also the keys of the corpus that pass, so this bounds both.
-MAX_LEVEL_BITS = 1 << 24
+#: Look-ups of a key in a level of few keys, whose least size leaves room for them.
+PROBES = 7
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,19 +30,17 @@ def url_path(url: Column) -> Column:
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: 64-bit words, as a constant of the plan."""
+    """One Bloom filter: its bits, eight a byte, as one binary constant of the plan, 1.2 bytes for each key it encodes."""
 
-    words: tuple[int, ...]
+    bits: bytes
     probes: int
     seed: int
 
     def holds(self, key: Column) -> Column:
-        one = lambda at: F.call_function("getbit", F.get(self.column(), F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1
-        return F.forall(F.array(*bit_positions(key, len(self.words) * 64, self.probes, self.seed)), one)
-
-    def column(self) -> Column:
-        """The words as one constant of the plan."""
-        return F.expr(f"array({', '.join(f'{w}L' if w > -(1 << 63) else '(-9223372036854775807L - 1L)' for w in self.words)})")
+        own = F.lit(self.bits)
+        byte = lambda at: F.conv(F.hex(F.substring(own, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        one = lambda at: F.call_function("getbit", byte(at), at.bitwiseAND(F.lit(7)).cast("int")) == 1
+        return F.forall(F.array(*bit_positions(key, len(self.bits) * 8, self.probes, self.seed)), one)
 
 
 def bit_positions(key: Column, bits: int, probes: int, seed: int) -> list[Column]:
@@ -53,13 +50,13 @@ def bit_positions(key: Column, bits: int, probes: int, seed: int) -> list[Column
 def build_level(keys: DataFrame, n: int, seed: int, fpp: float = LEVEL_FPP) -> Level:
     """A filter over keys(key): partitions or their own words together, so that the driver gets the words only."""
     bits = max(64, 64 * math.ceil(-n * math.log(fpp) / math.log(2) ** 2 / 64))
-    if bits > MAX_LEVEL_BITS:
-        raise ValueError(f"a level of {bits} bits is over {MAX_LEVEL_BITS}; split the rule list")
-    probes = max(1, round(bits / max(1, n) * math.log(2))) if n * 20 > bits else 7
+    probes = max(1, round(bits / max(1, n) * math.log(2))) if n * 20 > bits else PROBES
     found = keys.select(F.explode(F.array(*bit_positions(F.col("key"), bits, probes, seed))).alias("at"))
-    words = found.groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("v")).collect()
-    held = {r["w"]: r["v"] for r in words}
-    return Level(tuple(held.get(i, 0) for i in range(bits // 64)), probes, seed)
+    words = found.groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("v"))
+    out = bytearray(bits // 8)
+    for row in words.toLocalIterator():
+        out[row["w"] * 8 : row["w"] * 8 + 8] = (row["v"] & (1 << 64) - 1).to_bytes(8, "little")
+    return Level(bytes(out), probes, seed)
 
 
 class Cascade:
@@ -67,7 +64,8 @@ class Cascade:
 
     Level 1 encodes the listed keys, level 2 the keys of the universe that pass level 1 and aren't listed,
     level 3 the listed keys that pass level 2, and so on until a level lets nothing wrong through. The first level
-    that doesn't hold a key decides: at an even level the key is listed, at an odd one it isn't.
+    that doesn't hold a key decides: at an even level the key is listed, at an odd one it isn't. No join takes part:
+    what passes level 1 and isn't listed is told by an aggregate over both.
     """
 
     def __init__(self, listed: DataFrame, universe: DataFrame, tag: str):
@@ -79,19 +77,14 @@ class Cascade:
         # Few keys pass a tight first level; only they are kept, and only they shuffle.
         first = build_level(inside, n_in, seed=1)
         self.levels.append(first)
-        passed = universe.where(first.holds(F.col("key"))).select("key").distinct()
-        false = materialize(passed.join(inside.withColumn("own", F.lit(True)), "key", "left_anti"), f"{tag}-false")
+        passed = universe.where(first.holds(F.col("key"))).select("key", F.lit(False).alias("own"))
+        told = passed.unionByName(inside.withColumn("own", F.lit(True))).groupBy("key").agg(F.bool_or("own").alias("own"))
+        false = materialize(told.where("not own").select("key"), f"{tag}-false")
         sides, turn = [inside, false], 1
-        while True:
-            held, other = sides[turn], sides[1 - turn]
-            n = held.count()
-            if not n:
-                return
-            if len(self.levels) >= MAX_LEVELS:
-                raise ValueError("the cascade doesn't end: two keys share all hashes")
-            level = build_level(held, n, seed=len(self.levels) + 1)
+        while n := sides[turn].count():  # each level passes one key in a hundred on to the next
+            level = build_level(sides[turn], n, seed=len(self.levels) + 1)
             self.levels.append(level)
-            sides[1 - turn] = other.where(level.holds(F.col("key")))
+            sides[1 - turn] = sides[1 - turn].where(level.holds(F.col("key")))
             turn = 1 - turn
 
     def contains(self, key: Column) -> Column:
@@ -107,36 +100,44 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.sql(f"SELECT verdict, host, path, concat(host, path) AS key FROM VALUES {rows} AS t(verdict, host, path)")
 
 
-def candidate_keys(host: Column, path: Column, host_lengths: list[int], path_lengths: list[int]) -> Column:
-    """Keys that a rule for this url could have, longest first: host suffixes at label ends x path prefixes.
+def candidate_keys(host: Column, path: Column, lengths: list[tuple[int, int]]) -> Column:
+    """Keys that a rule for this url could have, longest first, then longest host: host suffixes at label ends x path prefixes.
 
-    Only lengths that the rules have are taken, so a long host or path gives no more keys than a short one.
+    lengths: (host, path) of the rules. A key is tried for each pair of lengths that a rule has, in one expression, so
+    neither a long url nor a long list makes a long plan.
     """
-    out = []
-    for h, p in sorted(((h, p) for h in set(host_lengths) for p in set(path_lengths)), key=lambda x: (-(x[0] + x[1]), -x[0])):
-        ends = (F.length(host) == h) | ((F.length(host) > h) & (F.substring(host, -(h + 1), 1) == "."))
-        tail = F.substring(host, -h, h) if h else F.lit("")
-        out.append(F.when(ends & (F.length(path) >= p), F.concat(tail, F.substring(path, 1, p) if p else F.lit(""))))
-    return F.array(*out)
+    pairs = sorted(set(lengths), key=lambda x: (-(x[0] + x[1]), -x[0]))
+    column = lambda k: F.expr(f"array({', '.join(str(pair[k]) for pair in pairs)})")
+    prefixes = column(1)
+
+    def key(h: Column, i: Column) -> Column:
+        p = F.get(prefixes, i)
+        ends = (F.length(host) == h) | ((F.length(host) > h) & (F.substring(host, -(h + 1), F.lit(1)) == "."))
+        tail = F.when(h > 0, F.substring(host, -h, h)).otherwise(F.lit(""))
+        return F.when(ends & (F.length(path) >= p), F.concat(tail, F.substring(path, F.lit(1), p)))
+
+    return F.filter(F.transform(column(0), key), lambda k: k.isNotNull())
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, url_col: str = "url", default: str = "allow") -> DataFrame:
     """pages with __host, __path, __rule and __verdict.
 
     Each url's verdict is that of its longest fitting rule (ties: the longest host), else default: what no cascade
-    lists isn't blocked. A null url, one without :// and an empty one have empty host and path and fit no rule. An empty rule list or
-    table is fine. Rules that differ in the verdict only: block wins.
+    lists isn't blocked. A null url, one without :// and an empty one have empty host and path and fit no rule; long
+    urls are judged whole. Repeated rows are judged each for itself. Columns of pages with the names of the four that
+    are added are replaced. An empty rule list or table is fine. Rules that differ in the verdict only: block wins.
     """
     spark, rules = pages.sparkSession, RULES if rules is None else rules
+    pages = pages.drop("__host", "__path", "__rule", "__verdict")
     parts = pages.withColumn("__host", url_host(F.col(url_col))).withColumn("__path", url_path(F.col(url_col)))
     if not rules:
         return parts.withColumn("__rule", F.lit(None).cast("string")).withColumn("__verdict", F.lit(default))
     listed = rule_table(spark, rules)
-    keys = candidate_keys(F.col("__host"), F.col("__path"), [len(h) for _, h, _ in rules], [len(p) for _, _, p in rules])
-    universe = parts.select(F.explode(keys).alias("key")).where("key is not null")
+    keys = candidate_keys(F.col("__host"), F.col("__path"), [(len(h), len(p)) for _, h, p in rules])
+    universe = parts.select(F.explode(keys).alias("key"))
     blocked = Cascade(listed.where("verdict = 'block'"), universe, "block")
     allowed = Cascade(listed.where("verdict = 'allow'"), universe, "allow")
-    fits = F.filter(keys, lambda k: k.isNotNull() & (blocked.contains(k) | allowed.contains(k)))
+    fits = F.filter(keys, lambda k: blocked.contains(k) | allowed.contains(k))
     return parts.withColumn("__rule", F.get(fits, F.lit(0))).withColumn("__verdict", F.when(F.col("__rule").isNull(), F.lit(default)).when(blocked.contains(F.col("__rule")), F.lit("block")).otherwise(F.lit("allow")))
 
 

@@ -48,6 +48,16 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert {r.key for r in universe.where(cascade.contains(F.col("key"))).collect()} == {f"k{i}" for i in range(400)}
 
 
+def test_a_long_list_makes_no_long_plan(spark):
+    rng = random.Random(4)
+    rules = list({(rng.choice(["block", "allow"]), f"{'x' * rng.randint(1, 30)}{i}.com", "/" + "p" * rng.randint(0, 9)) for i in range(3000)})
+    urls = [f"http://{'www.' * (i % 2)}{rules[i % 3000][1]}{rules[i % 3000][2]}{'q' * (i % 3)}" for i in range(0, 4000, 7)] + ["http://none.of.these/"]
+    pages = spark.createDataFrame([(i, u, "old", 1) for i, u in enumerate(urls)], "page_id long, url string, __rule string, __host int")
+    found = url_filter.filter_urls(pages, rules)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    assert {r.page_id: (r["__host"], r["__path"], r["__rule"], r["__verdict"]) for r in found.collect()} == {i: slow_url(u, rules) for i, u in enumerate(urls)}
+
+
 def test_no_pages(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
@@ -55,7 +65,7 @@ def test_no_pages(spark):
 def test_no_python_in_the_plan(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     plan = url_filter.filter_urls(pages)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    assert not re.search("Python|Arrow|Pandas|Join|Cartesian", plan)
 
 
 # ---- line dedup
