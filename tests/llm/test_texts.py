@@ -334,6 +334,44 @@ def test_isotonic():
     assert (np.diff(got) >= 0).all() and got == pytest.approx([0.1, 0.4, 0.4, 1.3 / 3, 1.3 / 3])
 
 
+def test_model_equals_direct_ridge(spark):
+    """Partition-summed normal equations and pooled cells, against least squares over all rows in one piece."""
+    docs, labels, _ = quality_fixture(spark, 400)
+    stats = quality.document_statistics(docs)
+    rows = quality._taught(stats, labels)
+    model = quality.fit(rows.repartition(7))
+    data = rows.collect()
+    x, y = np.array([r.stats for r in data]), np.array([r.label for r in data], float)
+    assert model.mean == pytest.approx(x.mean(axis=0)) and model.scale == pytest.approx(np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0))
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.normal(size=(x.shape[1], quality.N_FEATURES)) / quality.WIDTH, rng.uniform(0, 2 * np.pi, quality.N_FEATURES)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    z = np.hstack([np.sqrt(2 / quality.N_FEATURES) * np.cos(z @ w + b), 0.1 * z, np.ones((len(z), 1))])
+    free = np.append(np.ones(z.shape[1] - 1), 1e-9 / quality.RIDGE)  # the constant is hardly held back
+    stacked = np.vstack([z, np.diag(np.sqrt(quality.RIDGE * len(y) * free))])
+    weights = np.linalg.lstsq(stacked, np.append(y, np.zeros(z.shape[1])), rcond=None)[0]
+    assert model.raw(x) == pytest.approx(z @ weights, abs=1e-6)
+    cell = np.clip(((z @ weights + 0.5) / 2 * quality.CELLS).astype(int), 0, quality.CELLS - 1)
+    full = np.unique(cell)
+    means = [y[cell == c].mean() for c in full]
+    best = list(means)  # the isotonic fit by its min-max formula
+    n = [int((cell == c).sum()) for c in full]
+    block = lambda i, j: sum(m * k for m, k in zip(means[i : j + 1], n[i : j + 1], strict=True)) / sum(n[i : j + 1])
+    for i in range(len(full)):
+        best[i] = max(min(block(a, c) for c in range(i, len(full))) for a in range(i + 1))
+    assert model.steps == pytest.approx(np.clip(best, 0, 1))
+
+
+def test_gaussian_kernel_is_approximated():
+    rng = np.random.default_rng(3)
+    d = len(quality.STATISTICS)
+    x = rng.normal(size=(60, d)) * 0.7
+    w, b = rng.normal(size=(d, 20_000)) / quality.WIDTH, rng.uniform(0, 2 * np.pi, 20_000)
+    z = quality.fourier(x, np.zeros(d), np.ones(d), w, b)[:, :20_000]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * quality.WIDTH**2))
+    assert np.abs(z @ z.T - kernel).max() < 0.05
+
+
 # ---- pipeline
 
 
