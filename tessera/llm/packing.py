@@ -22,14 +22,16 @@ from tessera.llm.word_bpe import encoder
 WINDOW = 4096
 END_ID = 2
 #: A shard of the index: consecutive documents in lexical order, up to so many rows or characters.
-SHARD_DOCS, SHARD_CHARS = 1024, 4_000_000
+SHARD_DOCS, SHARD_CHARS = 2048, 8_000_000
+#: Rows that are encoded at once.
+ENCODE_ROWS = 1024
 K1, B = 1.2, 0.75
 #: A term that one in so many documents of a shard holds has its weights in a dense row.
 DENSE_SHARE = 32
 #: Random directions of the sketch by which documents are ordered; sampled documents a leaf, and at most in all.
 SKETCH, LEAF_SAMPLE, MAX_SAMPLE = 64, 16, 1 << 18
 #: Tokens that a partition of the ordered documents should hold.
-PARTITION_TOKENS = 1 << 22
+PARTITION_TOKENS = 1 << 23
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -224,8 +226,8 @@ def _encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         words, end = encoder(path), np.array([END_ID], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, SHARD_DOCS):
-                part = batch.slice(at, SHARD_DOCS)
+            for at in range(0, batch.num_rows, ENCODE_ROWS):
+                part = batch.slice(at, ENCODE_ROWS)
                 chars = pc.utf8_length(part.column(1)).fill_null(0).cast(pa.int64())
                 ids = [np.concatenate([x, end]) for x in words.encode(part.column(1))]
                 packed = [x.astype("<u2" if x.max() < 65536 else "<u4").tobytes() for x in ids]
@@ -302,7 +304,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     key is hot. Every document ends with END_ID; a null or empty text is that id alone. A window is filled with the
     best unused neighbours of the document that began it, and rows with no common term come last, in their order. Only
     the last window of a partition isn't full; it is cut into powers of two. Rows with a null or repeated id are packed
-    like any other, each for itself. No rows: none out.
+    like any other, each for itself; ties in score go by the order of the run. Very long texts are encoded whole and fill
+    as many windows as they need. Only id_col and text_col are read, so other columns can have any names. No rows: none out.
     """
     encoded = materialize(_encoded(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), path or tokenizer_path()), "tokens")
     whole = _statistics(encoded)

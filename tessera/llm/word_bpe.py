@@ -180,6 +180,23 @@ class WordEncoder:
         order = np.argsort(piece, kind="stable")
         return ids[order].astype(np.uint32), np.bincount(piece, minlength=len(pieces))
 
+    def _pieces_places(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Places of distinct pre-tokens, of which those that aren't known are merged; alone they are words, too."""
+        places = self.known.find(keys)
+        fresh = np.flatnonzero(places < 0)
+        if len(fresh):
+            data, a = raw.tobytes(), starts[fresh]
+            places[fresh] = self._add(*self.bpe([data[i:j] for i, j in zip(a.tolist(), (a + sizes[fresh]).tolist(), strict=True)]))
+            self.known.put(keys[fresh], places[fresh])
+        return places
+
+    def _letters_places(self, words: list[bytes]) -> np.ndarray:
+        """Places of words of ASCII letters in lower case: each is one pre-token."""
+        raw, sizes = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        keys, first, code = np.unique(self.words.hashes(raw, starts, sizes), return_index=True, return_inverse=True)
+        return self._pieces_places(raw, starts[first], sizes[first], keys)[code]
+
     def _plain_places(self, words: list[str]) -> np.ndarray:
         """Places of words of the plain alphabet, by way of their pre-tokens, of which those that aren't known are merged."""
         parts = self.parts.findall("\n".join(words).lower())
@@ -191,13 +208,7 @@ class WordEncoder:
         owner = np.cumsum(gap)[~gap]
         starts, sizes = starts[~gap], sizes[~gap]
         keys, first, code = np.unique(self.words.hashes(raw, starts, sizes), return_index=True, return_inverse=True)
-        places = self.known.find(keys)
-        fresh = np.flatnonzero(places < 0)
-        if len(fresh):
-            data = raw.tobytes()
-            a = starts[first[fresh]]
-            places[fresh] = self._add(*self.bpe([data[i:j] for i, j in zip(a.tolist(), (a + sizes[first[fresh]]).tolist(), strict=True)]))
-            self.known.put(keys[fresh], places[fresh])  # a pre-token alone is a word, too
+        places = self._pieces_places(raw, starts[first], sizes[first], keys)
         place, n = places[code], np.bincount(owner, minlength=len(words))
         out = np.empty(len(words), np.int32)
         single = n == 1
@@ -248,15 +259,19 @@ class WordEncoder:
         new = np.flatnonzero(places < 0)
         if len(new):
             text = raw.tobytes()
-            word = lambda k: [text[a:b].decode() for a, b in zip(starts[k].tolist(), (starts[k] + sizes[k]).tolist(), strict=True)]
+            word = lambda k: [text[a:b] for a, b in zip(starts[k].tolist(), (starts[k] + sizes[k]).tolist(), strict=True)]
             long, new = new[~short[new]], new[short[new]]
             fresh, first, code = np.unique(keys[new], return_index=True, return_inverse=True)
-            found = self._learn(word(new[first]))
+            own = word(new[first])
+            plain = np.fromiter(map(bytes.isalpha, own), bool, len(own))
+            found = np.empty(len(own), np.int32)
+            found[plain] = self._letters_places([w.lower() for w, ok in zip(own, plain, strict=True) if ok])
+            found[~plain] = self._learn([w.decode() for w, ok in zip(own, plain, strict=True) if not ok])
             unknown = self.known.find(fresh) < 0  # a word can have become known as a pre-token of another
             self.known.put(fresh[unknown], found[unknown])
             places[new] = found[code]
             if len(long):
-                places[long] = self._library(word(long))
+                places[long] = self._library([w.decode() for w in word(long)])
         ids, lengths = self._take(places)
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, bounds)].tolist()
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
