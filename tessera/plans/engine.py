@@ -108,6 +108,8 @@ class QueryEngine:
             "spark.sql.ansi.enforceReservedKeywords": str(dialect == "spark").lower(),
             "spark.sql.runSQLOnFiles": str(self.security.allow_external_access).lower(),
             "spark.sql.session.timeZone": "UTC",
+            # Rows from memory become partitions: as part of a plan they would be compared whenever a cached plan is sought.
+            "spark.sql.execution.arrow.localRelationThreshold": "1m",
             "spark.sql.adaptive.enabled": "true",
             "spark.sql.debug.maxToStringFields": "2000",
         }.items():
@@ -116,6 +118,7 @@ class QueryEngine:
         self.tables: dict[str, RegisteredTable] = {}
         self.guard = Guard(self.spark, self.security, self.tables)
         self._cached: list[DataFrame] = []
+        self._handed_on: dict[str, int] = {}  # what passes_on() told of a text
         self._closed = False
 
     # ---- tables
@@ -170,6 +173,7 @@ class QueryEngine:
         return self
 
     def _publish(self, name: str, df: DataFrame, records: Records | None, **known: Any) -> None:
+        self._handed_on.clear()
         df.createOrReplaceTempView(name)
         self.tables[name] = RegisteredTable(records, columns=df.columns, types=df.dtypes, **known)
 
@@ -218,7 +222,7 @@ class QueryEngine:
         rows_cap, bytes_cap = self.security.max_result_rows, self.security.max_result_bytes
         df = self._plan(sql)
         columns = df.columns
-        limited = df.toDF(*[f"c{i}" for i in range(len(columns))])
+        limited = df if len(set(columns)) == len(columns) else df.toDF(*[f"c{i}" for i in range(len(columns))])
         if rows_cap is not None:
             limited = limited.limit(rows_cap + 1)
         large = [i for i, f in enumerate(limited.schema.fields) if can_be_large(f.dataType)]
@@ -242,8 +246,14 @@ class QueryEngine:
         sizes = [t.get("bytes") for name, t in self.tables.items() if name.lower() in sql.lower()]
         if None in sizes:
             return False
-        bound = sum(sizes) * 8 * max(1, len(df.columns))  # a number of one digit has 8 bytes
-        return bound <= cap and passes_on(df)
+        bound = sum(sizes) * 4  # a number in a list has 8 bytes, and 2 at least in JSON
+        if bound > cap:
+            return False
+        if sql not in self._handed_on:
+            if len(self._handed_on) >= 1000:
+                self._handed_on.clear()
+            self._handed_on[sql] = passes_on(df)
+        return 0 < self._handed_on[sql] * bound <= cap
 
     def query(self, sql: str) -> list[dict[str, Any]]:
         """Rows as dicts; of columns with the same name the last one stays."""

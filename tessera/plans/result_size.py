@@ -49,25 +49,31 @@ _PASSED_ON = frozenset("Alias AttributeReference GetStructField Min Max First La
 SHORT = 64
 
 
-def passes_on(df: DataFrame) -> bool:
-    """Whether each large column of the result is a column or field of one table, each of whose rows comes at most once.
+def passes_on(df: DataFrame) -> int:
+    """How often the result can hold the bytes of the one table that it comes from, 0 if nothing tells.
 
-    Then the result isn't larger than that table times the columns that it shows.
+    Where each large column of the result is a column or field of that table, and each of the table's rows comes at most
+    once, that is once, and once more for each large column that got a name of its own.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
+    plan, times = df._jdf.queryExecution().optimizedPlan(), 1
     while True:
         if plan.getClass().getSimpleName() not in _ROWS_ONCE:
-            return False
+            return 0
         for e in _seq(plan.expressions()):
             if _large_from(e):
-                return False
+                return 0
+            times += e.getClass().getSimpleName() == "Alias" and e.resolved() and _is_large(e.dataType())
         if plan.children().isEmpty():
-            return True
+            return times
         if plan.children().size() > 1:
-            return False
+            return 0
         plan = plan.children().head()
 
 
+def _is_large(kind) -> bool:
+    return kind.getClass().getSimpleName().rstrip("$") in ("StringType", "BinaryType", "ArrayType", "StructType", "MapType", "VariantType", "CharType", "VarcharType")
+
+
 def _large_from(expression) -> bool:
     """Whether a large value is made here, and not just handed on."""
     todo = [expression]
@@ -79,10 +85,10 @@ def _large_from(expression) -> bool:
             continue
         if not e.resolved() or name == "SpecifiedWindowFrame":
             continue
-        kind = e.dataType().getClass().getSimpleName().rstrip("$")
-        if name == "Literal" and kind == "StringType" and (e.value() is None or e.value().numBytes() <= SHORT):
+        kind = e.dataType()
+        if name == "Literal" and kind.typeName() == "string" and (e.value() is None or e.value().numBytes() <= SHORT):
             continue
-        if kind in ("StringType", "BinaryType", "ArrayType", "StructType", "MapType", "VariantType", "CharType", "VarcharType") and name not in _PASSED_ON:
+        if _is_large(kind) and name not in _PASSED_ON:
             return True
         todo += _seq(e.children())
     return False

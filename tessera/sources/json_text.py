@@ -30,8 +30,11 @@ def loads(text: str | bytes) -> Any:
         raise InvalidJson(str(error)) from error
 
 
+_encoder = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"))
+
+
 def dumps(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return _encoder.encode(value)
 
 
 def first_mark(text: str | bytes) -> str:

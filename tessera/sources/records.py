@@ -31,6 +31,10 @@ def _root_of(value: Any) -> str:
     return "array" if isinstance(value, list) else "object" if isinstance(value, dict) else "scalar"
 
 
+def _bytes(texts: list[str]) -> int:
+    return sum(len(t) if t.isascii() else 4 * len(t) for t in texts)
+
+
 def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
     table = pa.table({"rec_id": pa.array(range(len(texts)), pa.int64()), "raw": pa.array(texts, pa.string())})
     return spark.createDataFrame(table)  # Spark deals local rows out to all cores
@@ -42,12 +46,13 @@ def from_value(spark: SparkSession, value: Any, source: str = "memory") -> Recor
     for t in texts if root == "array" else ():
         if "NaN" in t or "Infinity" in t:
             J.loads(t)
-    return Records(from_texts(spark, texts), root, source, sum(map(len, texts)) * 4)
+    return Records(from_texts(spark, texts), root, source, _bytes(texts))
 
 
 def from_text(spark: SparkSession, text: str | bytes, path: str | None = None, source: str = "json_string") -> Records:
     if path is None and J.is_array_text(text):
-        return Records(from_texts(spark, list(J.element_texts(text))), "array", source, len(text) * 4)
+        texts = list(J.element_texts(text))
+        return Records(from_texts(spark, texts), "array", source, _bytes(texts))
     return from_value(spark, J.walk_path(J.loads(text), path), source)
 
 
@@ -145,7 +150,7 @@ def load_any(spark: SparkSession, source: Any) -> Records:
         if source and isinstance(source[0], str):
             for text in source:
                 J.loads(text)
-            return Records(from_texts(spark, list(source)), "array", "json_strings", sum(map(len, source)) * 4)
+            return Records(from_texts(spark, list(source)), "array", "json_strings", _bytes(source))
         return from_value(spark, source, "list")
     if isinstance(source, Path):
         out = from_file(spark, str(source))
