@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.facts import collect_facts
@@ -139,13 +139,20 @@ sql("order_nulls_last", "SELECT k, v FROM (SELECT s_suppkey AS k, CASE WHEN s_su
 # ---- nested data: orders as documents, each with its customer and its lines
 
 
-def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each order that has lines: (o_orderkey, customer struct, totals struct, items array of structs, flags array)."""
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+def order_documents(spark: SparkSession, sf_dir: str, which: Column | None = None) -> DataFrame:
+    """One row for each order that has lines: (o_orderkey, customer struct, totals struct, items array of structs, flags array).
+
+    which: only these orders; lines of others are dropped before any are gathered.
+    """
+    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    if which is not None:
+        orders = orders.where(which)
+        lines = lines.join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    lines = lines.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"))).alias("items"),
         F.sort_array(F.collect_set("l_returnflag")).alias("flags"),
     )
-    return read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.struct(F.col("o_custkey").alias("id"), F.struct("o_orderpriority").alias("level")).alias("customer"), F.struct("o_totalprice", "o_orderstatus").alias("totals"), "items", "flags")
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.struct(F.col("o_custkey").alias("id"), F.struct("o_orderpriority").alias("level")).alias("customer"), F.struct("o_totalprice", "o_orderstatus").alias("totals"), "items", "flags")
 
 
 @frame("nested_struct_group", "SELECT o_orderpriority AS priority, o_orderstatus AS status, COUNT(*) AS n, COUNT(c_name) AS named FROM (SELECT DISTINCT l_orderkey FROM lineitem) l JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey GROUP BY o_orderpriority, o_orderstatus")
@@ -160,7 +167,7 @@ def _explode_group(spark, d):
 
 @frame("explode_join", "SELECT p_brand, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_totalprice > 50000 GROUP BY p_brand")
 def _explode_join(spark, d):
-    items = order_documents(spark, d).where("totals.o_totalprice > 50000").select(F.explode("items").alias("item"))
+    items = order_documents(spark, d, F.col("o_totalprice") > 50000).select(F.explode("items").alias("item"))
     return items.join(read(spark, d, "part"), F.col("item.l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count("*").alias("n"))
 
 

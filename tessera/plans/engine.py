@@ -27,6 +27,8 @@ from tessera.plans.result_size import can_be_large, passes_on, result_bytes
 from tessera.plans.table_text import check_format, table_text
 from tessera.sources.records import STREAM_MIN_BYTES, Records, load
 
+#: Headings by which readers of a description find its parts.
+TABLES_HEADING, COLUMNS_HEADING = "## Available Tables", ("| Column | Type |", "|--------|------|")
 #: Structure is shown down to this depth.
 SHOWN_DEPTH = 32
 #: Rows of a frame whose values a prompt shows.
@@ -343,13 +345,13 @@ class QueryEngine:
 
     def describe_tables(self, samples: int | None = 3, max_sample_len: int = 60, max_schema_depth: int | None = 8, enum_max: int = 12) -> str:
         """The tables' schemas in a compact notation; tables without objects get a table of their columns."""
-        lines = ["## Available Tables", ""]
+        lines = [TABLES_HEADING, ""]
         for name, t in self.tables.items():
             lines += [f"### `{name}` ({self._rows(t, name):,} rows)" + (f" — {t['description']}" if t["description"] else ""), ""]
             if t.shape is not None:
                 lines += ["```typescript", print_schema(t.shape, Samples(t.facts, max(0, samples or 0), max_sample_len, enum_max), max_schema_depth), "```", ""]
             else:
-                lines += ["| Column | Type |", "|--------|------|", *(f"| {quote(c)} | {k} |" for c, k in t["types"]), ""]
+                lines += [*COLUMNS_HEADING, *(f"| {quote(c)} | {k} |" for c, k in t["types"]), ""]
         return "\n".join(lines)
 
     def generate_prompt(self, samples: int | None = 3, max_sample_len: int = 60, max_schema_depth: int | None = 8, enum_max: int = 12) -> str:

@@ -14,6 +14,7 @@ def table(spark, value, **options):
     return dict(built.df.dtypes), [r.asDict(recursive=True) for r in built.df.collect()], built.wrapped
 
 
+# Inputs and the types and texts that they have to get.
 @pytest.mark.parametrize(
     ("value", "types", "rows"),
     [
@@ -37,6 +38,26 @@ def test_types_of_a_field(spark, value, types, rows):
     assert got_types == types and [r["v"] for r in got_rows] == rows and not wrapped
 
 
+# Inputs of our own: kinds that meet at several depths, numbers at the edges, texts that look like other kinds.
+@pytest.mark.parametrize(
+    ("value", "types", "rows"),
+    [
+        ([{"v": "null"}, {"v": None}, {"v": "true"}], {"v": "string"}, ["null", None, "true"]),
+        ([{"v": 0.0}, {"v": -0.0}, {"v": 1e300}], {"v": "double"}, [0.0, -0.0, 1e300]),
+        ([{"v": [{"a": 1}, {"b": "x"}]}, {"v": []}], {"v": "array<struct<a:bigint,b:string>>"}, [[{"a": 1, "b": None}, {"a": None, "b": "x"}], []]),
+        ([{"v": {"x": {"y": [1, 2]}}}, {"v": {"x": None}}], {"v": "struct<x:struct<y:array<bigint>>>"}, [{"x": {"y": [1, 2]}}, {"x": None}]),
+        ([{"v": [[], [None]]}, {"v": [["t"]]}], {"v": "array<array<string>>"}, [[[], [None]], [["t"]]]),
+        ([{"v": {"k": [1, {"z": 2}]}}], {"v": "struct<k:array<string>>"}, [{"k": ["1", '{"z":2}']}]),
+        ([{"v": -1}, {"v": -(2**63) - 1}], {"v": "string"}, ["-1", str(-(2**63) - 1)]),
+        ([{"v": "é\u2028\"\\"}], {"v": "string"}, ["é\u2028\"\\"]),
+    ],
+)
+def test_types_where_kinds_meet(spark, value, types, rows):
+    got_types, got_rows, wrapped = table(spark, value)
+    assert got_types == types and [r["v"] for r in got_rows] == rows and not wrapped
+
+
+# Fixed values, as above.
 @pytest.mark.parametrize(
     ("value", "types", "rows"),
     [
