@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import delete_at_exit, materialize, remove, scratch_path
+from tessera.llm.shared import delete_at_exit, discard, materialize, remove, scratch_path
 
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_CODE_POINTS = 10
@@ -153,6 +153,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         gone = part if gone is None else gone.unionByName(part)
     lists = materialize(gone.groupBy("id").agg(F.collect_set("key").alias("__keys")).withColumnRenamed("id", "__id"), "gone")
     runs.close()
+    discard(path_keys)
     kept_fields = [] if digest_only else [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
     base = docs.select(F.col(id_col).cast("long").alias("__own"), F.col(text_col).cast("string").alias("__text"), *([] if digest_only else [F.struct(*[F.col(f"`{f.name}`") for f in kept_fields]).alias("__row")]))
     joined = base.join(lists, base["__own"] == lists["__id"], "left")

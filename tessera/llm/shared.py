@@ -34,7 +34,10 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def delete_at_exit(spark: SparkSession, path: str) -> None:
-    """Have the driver's JVM remove a path when it ends; by Hadoop's file systems, so any shared store will do."""
+    """Have the driver's JVM remove a path when it ends; by Hadoop's file systems, so any shared store will do.
+
+    Tables on which a lazy result depends live until then; those of rounds that are over go at once, by discard().
+    """
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
@@ -44,7 +47,14 @@ def materialize(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path, compression=codec)
     delete_at_exit(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize() wrote for df, which nothing reads any more, so that a long-lived driver keeps no old rounds."""
+    remove(df.sparkSession, df.scratch)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -100,7 +110,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
         after = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(after, "edges")
+        before, now = now, materialize(after, "edges")
+        discard(before)
         fresh = _mark(now)
         if fresh == mark:
             break
