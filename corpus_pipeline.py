@@ -9,7 +9,7 @@ from tessera.llm.decontaminate import remove_contaminated
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.packing import pack
 from tessera.llm.quality import keep_good
-from tessera.llm.shared import materialize
+from tessera.llm.shared import discard, materialize
 from tessera.llm.similar_texts import drop_similar
 
 #: Learned models, counters and hashes can't be put in SQL; tests hold run() against a brute-force version.
@@ -64,8 +64,11 @@ STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what each returns is written to the shared folder, read by the next, and then deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
