@@ -1,5 +1,6 @@
 import datetime
 import os
+import re
 
 import duckdb
 import pytest
@@ -46,3 +47,16 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_approx_distinct_keeps_a_sketch_a_group(spark, tmp_path):
+    """No aggregate by pair holds a sketch, and the counts are those of all rows, with nulls and repeated rows."""
+    made = [(flag, None if key % 7 == 0 else key % (11 if flag is None else 400)) for flag in ("A", "R", None) for key in range(3000)] + [("N", None)] * 3
+    spark.createDataFrame(made, "l_returnflag string, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalogue.queries()["agg_approx_distinct"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "approx_count_distinct" in plan
+    assert not re.search(r"keys=\[[^\]]*l_partkey[^\]]*\], functions=\[[^\]]*approx_count_distinct", plan)
+    want = spark.sql("SELECT l_returnflag, ABS(approx_count_distinct(l_partkey) - COUNT(DISTINCT l_partkey)) <= 0.15 * COUNT(DISTINCT l_partkey) AS close FROM {t} GROUP BY l_returnflag", t=catalogue.read(spark, str(tmp_path), "lineitem"))
+    assert got.schema == want.schema
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
