@@ -149,14 +149,40 @@ sql("order_nulls_last", "SELECT k, v FROM (SELECT s_suppkey AS k, CASE WHEN s_su
 # ---- nested data: orders as documents, each with its customer and its lines
 
 
+#: Of the lines' files, for a task that gathers them.
+DEALT_BYTES = 32 << 20
+
+
+def table_bytes(table: DataFrame) -> int:
+    """Size of a table's files, as Spark's plan has it."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dealt(spark: SparkSession, sf_dir: str, table: DataFrame, key: str) -> DataFrame:
+    """table by key, to tasks that grow in number with the lines and not in size; few lines are left to Spark.
+
+    A task holds several sorts of what is dealt to it. Spark's own tasks take up to the advisory size of compressed bytes each,
+    and more once there are spark.sql.shuffle.partitions of them. Fewer tasks than that won't do: Spark would deal both sides
+    of a join anew. Over 200 tasks, shuffle writers sort in memory, so DEALT_BYTES isn't as small as it could be.
+    """
+    n_tasks = -(-table_bytes(read(spark, sf_dir, "lineitem")) // DEALT_BYTES)
+    if n_tasks <= spark.sparkContext.defaultParallelism:
+        return table
+    return table.repartition(max(n_tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def order_documents(spark: SparkSession, sf_dir: str, which: Column | None = None) -> DataFrame:
     """One row for each order that has lines: (o_orderkey, customer struct, totals struct, items array of structs, flags array).
 
     which: only these orders; lines of others are dropped before any are gathered.
     """
     orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
-    if which is not None:
+    if which is None:
+        lines = dealt(spark, sf_dir, lines, "l_orderkey")
+    else:
         orders = orders.where(which)
+    orders = dealt(spark, sf_dir, orders, "o_orderkey")
+    if which is not None:  # the join deals the lines as the orders are
         lines = lines.join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     lines = lines.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"))).alias("items"),
@@ -178,7 +204,8 @@ def _explode_group(spark, d):
 @frame("explode_join", "SELECT p_brand, COUNT(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE o_totalprice > 50000 GROUP BY p_brand")
 def _explode_join(spark, d):
     items = order_documents(spark, d, F.col("o_totalprice") > 50000).select(F.explode("items").alias("item"))
-    return items.join(read(spark, d, "part"), F.col("item.l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count("*").alias("n"))
+    parts = dealt(spark, d, read(spark, d, "part"), "p_partkey")
+    return items.join(parts, F.col("item.l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
 @frame("explode_nested", "SELECT o_custkey AS customer, l_orderkey AS o_orderkey, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey")

@@ -60,3 +60,20 @@ def test_approx_distinct_keeps_a_sketch_a_group(spark, tmp_path):
     want = spark.sql("SELECT l_returnflag, ABS(approx_count_distinct(l_partkey) - COUNT(DISTINCT l_partkey)) <= 0.15 * COUNT(DISTINCT l_partkey) AS close FROM {t} GROUP BY l_returnflag", t=catalogue.read(spark, str(tmp_path), "lineitem"))
     assert got.schema == want.schema
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name, moves", [("explode_join", 5), ("array_size", 2), ("array_contains_filter", 2)])
+def test_documents_are_dealt_by_size(spark, duck, monkeypatch, name, moves):
+    """On tables too large to broadcast, what is gathered and joined goes once, to tasks in number as the lines' files."""
+    monkeypatch.setattr(catalogue, "DEALT_BYTES", 10_000, raising=False)
+    n_tasks = -(-os.path.getsize(f"{SF}/lineitem.parquet") // 10_000)
+    assert n_tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = catalogue.queries()[name](spark, SF)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        data = [tuple(r) for r in got.collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.findall(r"hashpartitioning\(\S*(?:order|part)key#\w+, (\d+)\)", plan) == [str(n_tasks)] * moves
+    assert rows(got.columns, data) == rows(got.columns, duck.sql(f"SELECT {', '.join(got.columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall())
